@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,9 +47,9 @@ def on_host(url: Column | str, hosts, mode: str = "host") -> Column:
     """Is the URL on one of the hosts? ``mode="substring"`` searches the text."""
     if mode == "substring":
         return contains_any(F.coalesce(as_col(url), F.lit("")), hosts)
-    h = host(url)
-    tests = [(h == d) | h.endswith("." + d) for d in hosts]
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    names = "|".join(re.escape(h) for h in hosts)
+    pattern = rf"(?i)^https?://(?:[^/?#@]*@)?(?:[^/?#:]*\.)?(?:{names})(?:[/?#:]|\z)"
+    return F.coalesce(as_col(url).rlike(pattern), F.lit(False))
 
 
 def listing_score(url: Column | str, domain: Column, department: Column) -> Column:

@@ -21,11 +21,11 @@ def merge_by_source_key(old: DataFrame, keys: DataFrame, new: DataFrame) -> Data
     has_value = reduce(
         lambda a, b: a | b, (or_empty(col(c).cast("string")) != "" for c in old.columns)
     )
-    batch = keys.select(strip(SOURCE_KEY).alias("_k")).distinct()
+    batch = keys.select(strip(SOURCE_KEY).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     kept = (
         old.where(has_value)
         .withColumn("_k", strip(SOURCE_KEY))
-        .join(batch, F.col("_k").eqNullSafe(batch["_k"]), "left_anti")
+        .join(batch, "_k", "left_anti")
         .drop("_k")
     )
     return kept.unionByName(new, allowMissingColumns=True)

@@ -16,7 +16,7 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-WIDE_TEXT = ("pages", "documents", "conversations")
+SPREAD = ("pages", "documents", "conversations", "lineitem")
 
 SQL: dict[str, str] = {}
 
@@ -275,7 +275,7 @@ DETAIL_SPEC = RecordSpec.from_dict(
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in WIDE_TEXT else df
+    return spread(df) if name in SPREAD else df
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

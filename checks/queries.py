@@ -13,7 +13,7 @@ from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import dedup, enrichment, hits, lifecycle, links, listing, pages
 from rosterlake.operators import records, requests, responses, targets, traversal
-from rosterlake.session import scratch_root
+from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
 from rosterlake.sources import snapshots
 from rosterlake.sources.targets import normalize_targets
@@ -168,8 +168,10 @@ def page_changes(spark, sf):
 
 @query
 def subtree_changes(spark, sf):
-    snaps = fx(spark, sf, "fx_snapshots")
-    changes = pages.changes_between(snaps, 2)
+    # read twice, so it is written once (narrow: no html)
+    changes = StepTables(spark).write(
+        "changes", pages.changes_between(fx(spark, sf, "fx_snapshots"), 2)
+    )
     p = table(spark, sf, "pages").select("page_id", "url")
     host_links = p.select(
         "url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("page_id")

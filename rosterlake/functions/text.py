@@ -64,9 +64,10 @@ def emails_in(c: ColumnOrName) -> Column:
 
 def deobfuscate_emails(c: ColumnOrName) -> Column:
     """Turn ``a [at] b`` and ``a[@]b`` into ``a@b`` and drop ``mailto:``."""
-    c = F.regexp_replace(
-        as_col(c), rf"(?i)[{fv.SPACE}]*\[[{fv.SPACE}]*(?:@|at)[{fv.SPACE}]*\][{fv.SPACE}]*", "@"
-    )
+    c = as_col(c)
+    space = f"[{fv.SPACE}]*"
+    plain = F.regexp_replace(c, rf"(?i){space}\[{space}(?:@|at){space}\]{space}", "@")
+    c = F.when(c.contains("["), plain).otherwise(c)
     return F.regexp_replace(c, "(?i)mailto:", "")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import as_col, contains_any
+from .text import as_col
 
 
 def origin(url: Column | str) -> Column:
@@ -46,7 +46,8 @@ def resolve(base: Column | str, href: Column | str) -> Column:
 def on_host(url: Column | str, hosts, mode: str = "host") -> Column:
     """Is the URL on one of the hosts? ``mode="substring"`` searches the text."""
     if mode == "substring":
-        return contains_any(F.coalesce(as_col(url), F.lit("")), hosts)
+        pattern = "|".join(re.escape(h) for h in hosts)
+        return F.coalesce(as_col(url).rlike(pattern), F.lit(False))
     names = "|".join(re.escape(h) for h in hosts)
     pattern = rf"(?i)^https?://(?:[^/?#@]*@)?(?:[^/?#:]*\.)?(?:{names})(?:[/?#:]|\z)"
     return F.coalesce(as_col(url).rlike(pattern), F.lit(False))
@@ -56,15 +57,16 @@ def listing_score(url: Column | str, domain: Column, department: Column) -> Colu
     """Rank of a hit as a listing page; 0 means "not one".
 
     4 for the official domain, 2 for a department subdomain, 1 for a listing
-    path. Home pages, blocked hosts and foreign domains score 0.
+    path. Home pages, blocked hosts and foreign domains score 0. Each test is
+    one pattern, so that a computed ``url`` is not evaluated over and over.
     """
     url = as_col(url)
     h = host(url)
     official = (h == domain) | h.endswith(F.concat(F.lit("."), domain))
-    path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
-    home = path.rlike(r"^/?$")
-    listing = contains_any(F.lower(path), fv.LISTING_PATHS)
-    dept_host = official & h.startswith(F.concat(F.lower(department), F.lit(".")))
+    home = url.rlike(r"(?i)^https?://[^/?#]+/?(?:[?#]|\z)")
+    paths = "|".join(re.escape(p) for p in fv.LISTING_PATHS)
+    listing = url.rlike(rf"(?i)^https?://[^/?#]+[^?#]*?(?:{paths})")
+    dept_host = h.startswith(F.concat(F.lower(department), F.lit(".")))
     score = (
         F.lit(4)
         + F.when(F.coalesce(dept_host, F.lit(False)), 2).otherwise(0)

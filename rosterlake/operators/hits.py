@@ -34,10 +34,12 @@ def best_listing_url(hits: DataFrame, target: list[str], domain: str, department
     scored = hits.withColumn(
         "score", U.listing_score("url", F.col(domain), F.col(department)).cast("bigint")
     )
-    best = F.min(F.struct((-F.col("score")).alias("neg"), "rank", "url")).alias("_best")
+    place = F.struct((-F.col("score")).alias("neg"), "rank", "url")
+    # not a filter before the aggregate: pushed down, it would score every hit twice
+    best = F.min(F.when(F.col("score") > 0, place)).alias("_best")
     return (
-        scored.where(F.col("score") > 0)
-        .groupBy(*target)
+        scored.groupBy(*target)
         .agg(best)
+        .where(F.col("_best").isNotNull())
         .select(*target, F.col("_best.url").alias("listing_url"), (-F.col("_best.neg")).alias("score"))
     )

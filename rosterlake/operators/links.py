@@ -27,30 +27,29 @@ def allowed_urls(df: DataFrame, url: str = "url", mode: str = "host") -> DataFra
     return df.where(~U.on_host(url, fv.BLOCKED_HOSTS, mode))
 
 
-def series_key(url: Column | str) -> Column:
-    """(template, seq) of a URL that is part of a numbered or lettered series.
+_SERIES = (
+    r"([^#]*[?&]page=)(\d{1,18})((?:[&#].*)?)",
+    r"([^?#]*/page/)(\d{1,18})((?:[/?#].*)?)",
+    r"([^?#]*/)(\d{1,18})((?:/|\.html)?(?:[?#].*)?)",
+    r"([^?#]*/)([A-Z])((?:/|\.html)(?:[?#].*)?)",
+)
+_CUT = "\u0001"
 
-    ``{}`` stands for the page number or letter; NULL when there is none.
+
+def series_parts(url: Column | str) -> Column:
+    """URL as (before, number or letter, after), NULL when in no series.
+
+    The first form that fits counts: ``page=N``, ``/page/N``, a last path
+    segment N, a last path segment of one capital letter. All forms are one
+    pattern, so a URL is matched once.
     """
     url = F.col(url) if isinstance(url, str) else url
-    numbered = (
-        r"^([^#]*[?&]page=)(\d{1,18})((?:[&#].*)?)$",
-        r"^([^?#]*/page/)(\d{1,18})((?:[/?#].*)?)$",
-        r"^([^?#]*/)(\d{1,18})((?:/|\.html)?(?:[?#].*)?)$",
+    groups = [[f"${3 * i + part}" for i in range(len(_SERIES))] for part in (1, 2, 3)]
+    marked = F.regexp_replace(
+        url, "^(?:" + "|".join(_SERIES) + ")$", _CUT.join("".join(g) for g in groups)
     )
-    lettered = r"^([^?#]*/)([A-Z])((?:/|\.html)(?:[?#].*)?)$"
-
-    def parts(pattern: str, seq: Column) -> Column:
-        template = F.concat(
-            F.regexp_extract(url, pattern, 1), F.lit("{}"), F.regexp_extract(url, pattern, 3)
-        )
-        return F.when(
-            url.rlike(pattern), F.struct(template.alias("template"), seq.alias("seq"))
-        )
-
-    options = [parts(p, F.regexp_extract(url, p, 2).try_cast("bigint")) for p in numbered]
-    letter = F.ascii(F.regexp_extract(url, lettered, 2)).cast("bigint") - F.ascii(F.lit("A")) + 1
-    return F.coalesce(*options, parts(lettered, letter))
+    parts = F.split(marked, _CUT)
+    return F.when(F.size(parts) == 3, parts)
 
 
 def pagination_series(urls: DataFrame, bucket: int = SERIES_BUCKET) -> DataFrame:
@@ -60,12 +59,18 @@ def pagination_series(urls: DataFrame, bucket: int = SERIES_BUCKET) -> DataFrame
     buckets of sequence numbers. Successors are found inside the buckets, and
     only the last page of a bucket looks at the first page of the next one.
     """
+    part = F.col("_p")
+    letter = F.ascii(part[1]).cast("bigint") - ord("A") + 1
     pages = (
         urls.select("url")
         .distinct()
-        .withColumn("_s", series_key("url"))
-        .where(F.col("_s").isNotNull())
-        .select("url", "_s.template", "_s.seq")
+        .withColumn("_p", series_parts("url"))
+        .where(part.isNotNull())
+        .select(
+            "url",
+            F.concat(part[0], F.lit("{}"), part[2]).alias("template"),
+            F.coalesce(part[1].try_cast("bigint"), letter).alias("seq"),
+        )
         .withColumn("_bucket", F.floor(F.col("seq") / bucket))
     )
     this = F.struct("seq", "url")

@@ -37,9 +37,10 @@ def page_flags(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
 
 def comparable(html: Column | str, ignore_mailto: bool = True) -> Column:
     """Page text without ids, scripts, tokens and other volatile parts."""
-    c = F.regexp_replace(as_col(html), "\r\n?", "\n")
+    c = F.replace(as_col(html), F.lit("\r\n"), F.lit("\n"))
+    c = F.replace(c, F.lit("\r"), F.lit("\n"))
     rules = fv.VOLATILE_REWRITES if ignore_mailto else fv.VOLATILE_REWRITES[:-1]
-    for _, pattern, replacement in rules:
+    for pattern, replacement in rules:
         c = F.regexp_replace(c, pattern, replacement)
     c = F.regexp_replace(c, r"\n{2,}", "\n")
     c = F.regexp_replace(c, r"[ \t]+\n", "\n")
@@ -109,7 +110,8 @@ def subtree_changes(changes: DataFrame, links: DataFrame) -> DataFrame:
     """May a page be skipped? Only when it and all its known children are unchanged.
 
     ``links`` holds (src, dst). A page without children counts as unchanged
-    below; a child that is missing on either side does not.
+    below; a child that is missing on either side does not. ``changes`` is read
+    twice: pass a written table rather than a plan over html.
     """
     unchanged = F.col("status") == "unchanged"
     children = (

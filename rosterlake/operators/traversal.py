@@ -85,42 +85,38 @@ def pagination_walk(
 
     A walk ends when there is no usable next page, when the next page was
     visited before, or at ``max_pages`` (the page budget is part of the rule).
-    A page with several next links follows the first by position. A walk has at
-    most ``max_pages`` pages, so what it carries along is bounded.
+    A page with several next links follows the first by position.
+
+    Every page has one successor, so walks double: knowing the pages up to n and
+    where n steps lead from any page gives the pages up to 2n. A walk of n pages
+    takes log2(n) rounds. Repeats of a cycle are dropped at the end, since from
+    the first repeat on a walk holds nothing new.
     """
     steps = StepTables(starts.sparkSession)
-    following = (
+    jump = (
         links.where(F.col("kind") == "next")
         .groupBy("src")
         .agg(F.min(F.struct("pos", "dst")).alias("_n"))
         .select("src", F.col("_n.dst").alias("dst"))
     )
-    walks = steps.write(
-        "walk",
-        starts.select(F.col("root"))
-        .distinct()
-        .select(
-            "root",
-            F.col("root").alias("url"),
-            F.lit(1).cast("bigint").alias("page_no"),
-            F.array("root").alias("_seen"),
-        ),
-    )
-    for page_no in range(2, max_pages + 1):
-        step = (
-            walks.join(following, F.col("url") == F.col("src"))
-            .where(~F.array_contains("_seen", F.col("dst")))
-            .select(
-                "root",
-                F.col("dst").alias("url"),
-                F.lit(page_no).cast("bigint").alias("page_no"),
-                F.array_append("_seen", F.col("dst")).alias("_seen"),
-            )
+    walks = starts.select(
+        "root", F.col("root").alias("url"), F.lit(1).cast("bigint").alias("page_no")
+    ).distinct()
+    reach = 1
+    while reach < max_pages:
+        jump = steps.write("jump", jump)
+        further = walks.join(jump, F.col("url") == F.col("src")).select(
+            "root", F.col("dst").alias("url"), (F.col("page_no") + reach).alias("page_no")
         )
-        walks = steps.write("walk", step)
-        if walks.isEmpty():
-            break
-    return steps.union("walk").drop("_seen")
+        walks = steps.write("walks", walks.unionByName(further))
+        onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        jump = jump.join(onward, "dst").select("src", F.col("far").alias("dst"))
+        reach *= 2
+    return (
+        walks.where(F.col("page_no") <= max_pages)
+        .groupBy("root", "url")
+        .agg(F.min("page_no").alias("page_no"))
+    )
 
 
 def frontier_pruned(

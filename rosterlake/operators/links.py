@@ -36,20 +36,28 @@ _SERIES = (
 _CUT = "\u0001"
 
 
-def series_parts(url: Column | str) -> Column:
-    """URL as (before, number or letter, after), NULL when in no series.
+def series_place(url: Column | str) -> Column:
+    """Array with the (template, seq) of a URL in a series, else empty.
 
     The first form that fits counts: ``page=N``, ``/page/N``, a last path
-    segment N, a last path segment of one capital letter. All forms are one
-    pattern, so a URL is matched once.
+    segment N, a last path segment of one capital letter; ``{}`` stands for the
+    number or letter. All forms are one pattern, matched once per URL.
     """
     url = F.col(url) if isinstance(url, str) else url
     groups = [[f"${3 * i + part}" for i in range(len(_SERIES))] for part in (1, 2, 3)]
     marked = F.regexp_replace(
         url, "^(?:" + "|".join(_SERIES) + ")$", _CUT.join("".join(g) for g in groups)
     )
-    parts = F.split(marked, _CUT)
-    return F.when(F.size(parts) == 3, parts)
+
+    def place(parts: Column) -> Column:
+        letter = F.ascii(parts[1]).cast("bigint") - ord("A") + 1
+        return F.struct(
+            F.concat(parts[0], F.lit("{}"), parts[2]).alias("template"),
+            F.coalesce(parts[1].try_cast("bigint"), letter).alias("seq"),
+        )
+
+    cut = F.filter(F.array(F.split(marked, _CUT)), lambda parts: F.size(parts) == 3)
+    return F.transform(cut, place)
 
 
 def pagination_series(urls: DataFrame, bucket: int = SERIES_BUCKET) -> DataFrame:
@@ -59,19 +67,12 @@ def pagination_series(urls: DataFrame, bucket: int = SERIES_BUCKET) -> DataFrame
     buckets of sequence numbers. Successors are found inside the buckets, and
     only the last page of a bucket looks at the first page of the next one.
     """
-    part = F.col("_p")
-    letter = F.ascii(part[1]).cast("bigint") - ord("A") + 1
     pages = (
         urls.select("url")
         .distinct()
-        .withColumn("_p", series_parts("url"))
-        .where(part.isNotNull())
-        .select(
-            "url",
-            F.concat(part[0], F.lit("{}"), part[2]).alias("template"),
-            F.coalesce(part[1].try_cast("bigint"), letter).alias("seq"),
-        )
+        .select("url", F.inline(series_place("url")))
         .withColumn("_bucket", F.floor(F.col("seq") / bucket))
+        .repartition("template", "_bucket")  # shared by both uses below
     )
     this = F.struct("seq", "url")
     inside = W.partitionBy("template", "_bucket").orderBy("seq", "url")

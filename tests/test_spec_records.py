@@ -81,16 +81,22 @@ def test_validation_report_counts_the_first_broken_rule(spark):
     ("given", "want"), [("Own ", "Own "), (None, "Math"), ("", "Math"), (" \t", "Math")]
 )
 def test_fallback_fill(spark, given, want):
-    df = spark.createDataFrame([("HKU", "Math", given)], "university string, department string, Department string")
-    df = df.toDF("university", "dept", "Department").withColumnRenamed("dept", "unit")
-    df = df.withColumn("Department", F.col("Department"))
-    filled = records.fill_records(
-        df.select("university", F.col("Department").alias("Own"), "unit"), SPEC
+    df = spark.createDataFrame(
+        [("HKU", "Math", given)], "university string, department string, Unit string"
+    )
+    spec = RecordSpec.from_dict(
+        {
+            "columns": [
+                {"name": "Unit", "type": "fallback", "value_from": "department"},
+                {"name": "Site", "type": "fallback"},
+                {"name": "Institution", "type": "static", "value_from": "university_name"},
+                {"name": "Source", "type": "static", "value": "crawl"},
+            ]
+        }
     )
-    assert filled.first()["Institution"] == "HKU"
-    spec = RecordSpec.from_dict({"columns": [{"name": "Own", "type": "fallback", "value_from": "department"}]})
-    again = df.select(F.col("unit").alias("department"), F.col("Department").alias("Own"))
-    assert records.fill_records(again, spec).first()["Own"] == want
+    got = records.fill_records(df, spec).first()
+    assert (got["Unit"], got["Institution"], got["Source"]) == (want, "HKU", "crawl")
+    assert "Site" not in got.asDict()
 
 
 def test_formula(spark):

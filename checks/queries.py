@@ -121,8 +121,10 @@ def merge_by_source_key(spark, sf):
 def generation_table(spark, sf):
     """The same replacement through the written table of generations."""
     r = _records(spark, sf).select(K.SOURCE_KEY, "full_name", "email", "department")
-    out = tables.GenerationTable(spark, f"{scratch_root(spark)}/generations/{uuid.uuid4().hex}")
-    out.commit(1, r, r.drop("department"))
+    rows = r.drop("department")
+    path = f"{scratch_root(spark)}/generations/{uuid.uuid4().hex}"
+    out = tables.GenerationTable(spark, path, rows.schema)
+    out.commit(1, r, rows)
     again = r.where(F.col("department").isin("BUILDING", "MACHINERY"))
     kept = again.where(F.col("department") == "BUILDING").withColumn("full_name", F.upper("full_name"))
     out.commit(2, again, kept.drop("department"))

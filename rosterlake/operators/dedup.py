@@ -40,10 +40,7 @@ def merge_duplicates(
 
 def _first_value(value: Column, order: Column) -> Column:
     """First non-blank value by order, else the first one (NULL or blank)."""
-    present = F.when(~X.is_blank(value), order)
-    return F.coalesce(
-        F.min_by(F.when(~X.is_blank(value), value), present), F.min_by(value, order)
-    )
+    return F.min_by(value, F.struct(X.is_blank(value), order))
 
 
 def dedup_report(

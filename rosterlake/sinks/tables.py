@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import SOURCE_KEY
 from ..functions.text import or_empty, strip
@@ -53,31 +54,38 @@ class GenerationTable:
     it replaces under ``keys/run_no=N``. A row is current when its run is the
     last one that lists its key, so a key without new rows disappears. Writing a
     run again overwrites just that run: a retry changes nothing. A run counts
-    once its keys are written.
+    once its keys are written. ``schema`` names the row columns, so that reading
+    need not look into all files; columns a run lacks read as NULL.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self._spark = spark
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+        self._spark, self._schema = spark, schema
         self._rows, self._keys = f"{path}/rows", f"{path}/keys"
 
     def commit(self, run_no: int, keys: DataFrame, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self._rows}/run_no={run_no}")
+        # the hint evens out file sizes, whatever share of the rows a key holds
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self._rows}/run_no={run_no}")
         keys.select(SOURCE_KEY).distinct().write.mode("overwrite").parquet(
             f"{self._keys}/run_no={run_no}"
         )
 
     def current(self) -> DataFrame:
-        rows = self._spark.read.option("mergeSchema", "true").parquet(self._rows)
+        key = T.StructType([T.StructField(SOURCE_KEY, T.StringType())])
+        rows = self._read(self._rows, self._schema)
         last = (
-            self._spark.read.parquet(self._keys)
+            self._read(self._keys, key)
             .groupBy(SOURCE_KEY)
             .agg(F.max("run_no").alias("run_no"))
         )
         return rows.join(last, [SOURCE_KEY, "run_no"], "left_semi")
 
+    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+        with_run = T.StructType([*schema.fields, T.StructField("run_no", T.LongType())])
+        return self._spark.read.schema(with_run).parquet(path)
+
     def compact(self, path: str) -> GenerationTable:
         """Write the current rows as the first run of a table at another path."""
         current = self.current()
-        out = GenerationTable(self._spark, path)
+        out = GenerationTable(self._spark, path, self._schema)
         out.commit(0, current, current.drop("run_no"))
         return out

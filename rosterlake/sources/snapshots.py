@@ -26,6 +26,18 @@ def latest_pages(
     return snapshots.groupBy(key).agg(newest).select(key, "_newest.*")
 
 
+def save_by_url(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Save pages bucketed by URL.
+
+    Page rows are wide. Tables saved this way with the same number of buckets
+    join and group by URL without moving the html over the network again.
+    """
+    writer = pages.repartition(buckets, "url").write.mode("overwrite")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+
+
 def live_entries(
     entries: DataFrame, as_of: Column, stored_at: str = "stored_at", ttl: str = "ttl_sec"
 ) -> DataFrame:

@@ -11,6 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.pages import fingerprint_snapshots, page_changes
 
 SNAPSHOT_SCHEMA = "url string, run_no bigint, html string"
+_STATE = "url string, run_no bigint, fingerprint string"
+
+
+def _newest_per_url(log: DataFrame) -> DataFrame:
+    return (
+        log.groupBy("url")
+        .agg(F.max(F.struct("run_no", "fingerprint")).alias("_n"))
+        .select("url", "_n.run_no", "_n.fingerprint")
+    )
 
 
 def read_snapshot_stream(
@@ -27,9 +36,11 @@ class ChangeTracker:
 
     State is a log of narrow rows (url, run_no, fingerprint), one folder per
     batch. A batch reads only earlier folders and overwrites its own, so a batch
-    that runs again gives the same result. A snapshot with a lower run_no than
-    the stored one is late and ignored. ``on_changes(pages, batch_id)`` gets the
-    new and changed pages with their html.
+    that runs again gives the same result. Every ``compact_every`` batches the
+    newest row per URL is written as a base, and the log before it is not read
+    any more. A snapshot with a lower run_no than the stored one is late and
+    ignored. ``on_changes(pages, batch_id)`` gets the new and changed pages with
+    their html.
     """
 
     def __init__(
@@ -37,32 +48,33 @@ class ChangeTracker:
         spark: SparkSession,
         state_path: str,
         on_changes: Callable[[DataFrame, int], None] | None = None,
+        compact_every: int = 20,
     ) -> None:
         self._spark = spark
         self._state, self._changes = f"{state_path}/state", f"{state_path}/changes"
+        self._base = f"{state_path}/base"
         self._on_changes = on_changes
+        self._every = compact_every
+
+    def _newest(self, base: int, batch_id: int) -> DataFrame:
+        paths = [f"{self._base}/upto={base}"] if base else []
+        paths += [f"{self._state}/batch_id={b}" for b in range(base, batch_id)]
+        return _newest_per_url(self._spark.read.schema(_STATE).parquet(*paths))
 
-    def _stored(self, batch_id: int, like: DataFrame) -> DataFrame:
+    def _stored(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
-            return like.limit(0).select("url", "run_no", "fingerprint")
-        log = self._spark.read.schema(
-            "url string, run_no bigint, fingerprint string, batch_id bigint"
-        ).parquet(self._state)
-        return (
-            log.where(F.col("batch_id") < batch_id)
-            .groupBy("url")
-            .agg(F.max(F.struct("run_no", "fingerprint")).alias("_n"))
-            .select("url", "_n.run_no", "_n.fingerprint")
-        )
+            return self._spark.createDataFrame([], _STATE)
+        base = batch_id - batch_id % self._every
+        if batch_id > base:
+            return self._newest(base, batch_id)
+        path = f"{self._base}/upto={base}"
+        self._newest(base - self._every, batch_id).write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(_STATE).parquet(path)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         marked = fingerprint_snapshots(batch)
-        newest = (
-            marked.groupBy("url")
-            .agg(F.max(F.struct("run_no", "fingerprint")).alias("_n"))
-            .select("url", "_n.run_no", "_n.fingerprint")
-        )
-        stored = self._stored(batch_id, marked)
+        newest = _newest_per_url(marked)
+        stored = self._stored(batch_id)
         late = stored.select("url", F.col("run_no").alias("_have"))
         fresh = (
             newest.join(late, "url", "left")
@@ -70,7 +82,7 @@ class ChangeTracker:
             .drop("_have")
         )
         fresh.write.mode("overwrite").parquet(f"{self._state}/batch_id={batch_id}")
-        fresh = self._spark.read.schema(fresh.schema).parquet(f"{self._state}/batch_id={batch_id}")
+        fresh = self._spark.read.schema(_STATE).parquet(f"{self._state}/batch_id={batch_id}")
         changes = page_changes(stored, fresh).where(F.col("status") != "gone")
         changes.write.mode("overwrite").parquet(f"{self._changes}/batch_id={batch_id}")
         if self._on_changes is not None:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import listing, pages
 from rosterlake.sinks.tables import GenerationTable, merge_by_source_key, write_partitioned
-from rosterlake.sources.snapshots import latest_pages, live_entries
+from rosterlake.sources.snapshots import latest_pages, live_entries, save_by_url
 from rosterlake.spec import RecordSpec
 from rosterlake.streaming.snapshots import ChangeTracker, distinct_events, read_snapshot_stream
 
@@ -26,8 +26,8 @@ def test_replace_by_source_key(spark):
 
 
 def test_generations(spark, tmp_path):
-    table = GenerationTable(spark, str(tmp_path / "t"))
     first = spark.createDataFrame([("A/U", "1"), ("B/U", "1"), ("C/U", "1")], ROWS)
+    table = GenerationTable(spark, str(tmp_path / "t"), first.schema)
     table.commit(1, first, first)
     keys = spark.createDataFrame([("A/U",), ("B/U",)], "_source_key string")
     new = spark.createDataFrame([("A/U", "2")], ROWS)
@@ -39,8 +39,8 @@ def test_generations(spark, tmp_path):
 
 
 def test_rows_without_committed_keys_are_not_current(spark, tmp_path):
-    table = GenerationTable(spark, str(tmp_path / "t"))
     first = spark.createDataFrame([("A/U", "1")], ROWS)
+    table = GenerationTable(spark, str(tmp_path / "t"), first.schema)
     table.commit(1, first, first)
     first.withColumn("name", F.lit("torn")).write.parquet(f"{tmp_path}/t/rows/run_no=2")
     assert rows(table.current(), "name") == [("1",)]
@@ -62,6 +62,23 @@ def test_latest_and_live(spark):
     assert rows(live, "k") == [("long",), ("never",)]
 
 
+def test_pages_saved_by_url_join_without_shuffle(spark, tmp_path):
+    pages_df = spark.range(50).selectExpr("concat('u', id) AS url", "id AS run_no", "'x' AS html")
+    spark.sql("DROP TABLE IF EXISTS t_old")
+    spark.sql("DROP TABLE IF EXISTS t_new")
+    save_by_url(pages_df, "t_old", 4, path=str(tmp_path / "old"))
+    save_by_url(pages_df, "t_new", 4, path=str(tmp_path / "new"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("t_old").join(spark.table("t_new").select("url", "run_no"), "url")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE t_old")
+        spark.sql("DROP TABLE t_new")
+
+
 def test_changes_and_subtrees(spark):
     snaps = spark.createDataFrame(
         [("same", 1, "x"), ("same", 2, "x"), ("diff", 1, "x"), ("diff", 2, "y"), ("gone", 1, "x"), ("new", 2, "x"),
@@ -109,6 +126,26 @@ def test_stream_of_snapshots(spark, tmp_path):
     assert rows(tracker.changes(), "batch_id", "url", "status") == got
 
 
+def test_tracker_state_is_compacted(spark, tmp_path):
+    """The same changes, whether state is read from a base or from all batches."""
+
+    def changes(every):
+        tracker = ChangeTracker(spark, str(tmp_path / f"every{every}"), compact_every=every)
+        for b in range(5):
+            batch = spark.createDataFrame(
+                [("steady", b, "x"), ("moving", b, str(b)), (f"once{b}", b, "x"), ("late", 4 - b, str(b))],
+                "url string, run_no long, html string",
+            )
+            tracker.process(batch, b)
+            tracker.process(batch, b)
+        return rows(tracker.changes(), "batch_id", "url", "status")
+
+    got = changes(2)
+    assert got == changes(100)
+    assert (4, "steady", "unchanged") in got and (4, "moving", "changed") in got
+    assert [r for r in got if r[1] == "late"] == [(0, "late", "new")]
+
+
 def test_stream_without_duplicates(spark, tmp_path):
     path = str(tmp_path / "ev")
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:00:00")], "id long, t string")

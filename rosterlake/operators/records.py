@@ -61,18 +61,21 @@ def validation_report(records: DataFrame, spec: RecordSpec) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def fill_records(records: DataFrame, spec: RecordSpec) -> DataFrame:
+# Columns the metadata is in. Column names ignore case, so a spec with a column
+# "Department" needs other names, such as META_COLUMNS.
+PLAIN_COLUMNS = ("university", "department", "listing_url")
+META_COLUMNS = ("_university", "_department", "_listing_url")
+
+
+def fill_records(
+    records: DataFrame, spec: RecordSpec, meta_columns: tuple[str, str, str] = PLAIN_COLUMNS
+) -> DataFrame:
     """Static columns from value or metadata; fallback columns where blank.
 
-    Metadata comes from the columns university, department and listing_url of
-    the same rows. A fallback value that is present stays unstripped.
+    Metadata comes from ``meta_columns`` of the same rows. A fallback value that
+    is present stays unstripped.
     """
-    meta = {
-        "university_name": _have(records, "university"),
-        "department": _have(records, "department"),
-        "listing_url": _have(records, "listing_url"),
-    }
-    assert set(meta) == set(METADATA)
+    meta = {name: _have(records, c) for name, c in zip(METADATA, meta_columns, strict=True)}
     filled: dict[str, Column] = {}
     for c in spec.of_kind("static"):
         if c.value_from in meta:
@@ -112,10 +115,13 @@ def role_filtered(records: DataFrame, position: str = "position") -> DataFrame:
     return records.where(X.has_included_role(position))
 
 
-def export_rows(records: DataFrame, spec: RecordSpec) -> DataFrame:
+def export_rows(
+    records: DataFrame, spec: RecordSpec, meta_columns: tuple[str, str, str] = PLAIN_COLUMNS
+) -> DataFrame:
     """Source key first, then the spec columns in order; NULL becomes ""."""
+    university, department, _ = meta_columns
     return records.select(
-        source_key("university", "department").alias(SOURCE_KEY),
+        source_key(university, department).alias(SOURCE_KEY),
         *[X.or_empty(_have(records, n)).alias(n) for n in spec.names()],
     )
 

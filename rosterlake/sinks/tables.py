@@ -69,12 +69,18 @@ class GenerationTable:
             f"{self._keys}/run_no={run_no}"
         )
 
-    def current(self) -> DataFrame:
+    def current(self, before: int | None = None) -> DataFrame:
+        """Current rows, or those that were current before a run.
+
+        A run that may be retried reads the latter, so that its own first
+        attempt does not change what it does.
+        """
         key = T.StructType([T.StructField(SOURCE_KEY, T.StringType())])
-        rows = self._read(self._rows, self._schema)
+        rows, keys = self._read(self._rows, self._schema), self._read(self._keys, key)
+        if before is not None:
+            rows, keys = rows.where(F.col("run_no") < before), keys.where(F.col("run_no") < before)
         last = (
-            self._read(self._keys, key)
-            .groupBy(SOURCE_KEY)
+            keys.groupBy(SOURCE_KEY)
             .agg(F.max("run_no").alias("run_no"))
         )
         return rows.join(last, [SOURCE_KEY, "run_no"], "left_semi")

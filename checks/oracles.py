@@ -327,6 +327,14 @@ SELECT url, CAST(pos AS BIGINT) AS pos, name,
 FROM fields WHERE href <> '' OR regexp_matches({DEOBFUSCATED}, '{EMAIL}')
 """)
 
+ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+oracle("records_extracted", f"""
+SELECT url, i - 1 AS pos, CAST(NULL AS VARCHAR) AS "Title", names[i] AS "Full Name", CAST(NULL AS VARCHAR) AS "Email",
+ CAST(NULL AS VARCHAR) AS "Unit", links[i] AS profile_url
+FROM (SELECT url, regexp_extract_all(html, '{ANCHOR}', 1) AS links, regexp_extract_all(html, '{ANCHOR}', 2) AS names,
+ unnest(range(1, len(regexp_extract_all(html, '{ANCHOR}', 1)) + 1)) AS i FROM pages)
+""")
+
 # --- links ------------------------------------------------------------------
 
 HREF = r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>'
@@ -830,6 +838,20 @@ oracle("jobs_by_status", f"WITH {JOBS} SELECT job_id, error FROM jobs WHERE stat
 oracle("jobs_recent", f"""
 WITH {JOBS} SELECT job_id, last_attempted_us FROM jobs ORDER BY last_attempted_us DESC NULLS LAST, job_id""", "fx_job_events")
 
+# --- a whole run ------------------------------------------------------------
+
+oracle("full_run", f"""
+WITH {PARSED},
+recs AS (
+ SELECT page_id, url, j, unnest(from_json(j->'$.records', '["JSON"]')) AS r FROM parsed WHERE parse_status = 'ok'),
+named AS (SELECT *, lower(split_part(regexp_replace(split_part(url, '://', 2), '[/?#].*$', ''), ':', 1)) AS host FROM recs)
+SELECT 'P' || CAST(page_id AS VARCHAR) || '/' || host AS _source_key,
+ coalesce(r->>'$.title', r->>'$.field_1', r->>'$.Title', '') AS "Title", coalesce(r->>'$.field_2', '') AS "Full Name",
+ coalesce(CASE WHEN json_exists(r, '$.field_3') THEN r->>'$.field_3' ELSE r->>'$.Email' END, '') AS "Email",
+ j->>'$.static_values.field_4' AS "Unit", host AS "Institution"
+FROM named
+""", "fx_responses")
+
 # --- streams ----------------------------------------------------------------
 
 oracle("stream_page_changes", f"""

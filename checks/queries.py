@@ -13,6 +13,7 @@ from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import dedup, enrichment, hits, lifecycle, links, listing, pages
 from rosterlake.operators import records, requests, responses, targets, traversal
+from rosterlake.plans import roster_run
 from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
 from rosterlake.sources import snapshots
@@ -673,6 +674,26 @@ def jobs_recent(spark, sf):
     return jobs.orderBy(F.col("last_attempted_us").desc_nulls_last(), "job_id")
 
 
+# --- a whole run ------------------------------------------------------------
+
+
+@query
+def full_run(spark, sf):
+    """Every page is the listing page of a target; records of the ones that parse."""
+    p = table(spark, sf, "pages")
+    t = p.select(
+        U.host("url").alias("university"),
+        F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("department"),
+        F.col("url").alias("link"),
+        F.lit(None).cast("string").alias("status"),
+    )
+    store = roster_run.RosterStore(
+        spark, f"{scratch_root(spark)}/roster/{uuid.uuid4().hex}", LISTING_SPEC
+    )
+    roster_run.run(store, 1, t, p.select("url", "html"), fx(spark, sf, "fx_responses"), first_run=True)
+    return store.records.current().drop("run_no")
+
+
 # --- streams ----------------------------------------------------------------
 
 

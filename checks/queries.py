@@ -701,10 +701,12 @@ def full_run(spark, sf):
 def stream_page_changes(spark, sf):
     work = f"{scratch_root(spark)}/stream/{uuid.uuid4().hex}"
     snaps = fx(spark, sf, "fx_snapshots")
+    files = 8  # per run, which makes one batch of each run
     for run_no in (1, 2):
-        snaps.where(F.col("run_no") == run_no).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        one_run = snaps.where(F.col("run_no") == run_no).repartition(files)
+        one_run.write.mode("append").parquet(f"{work}/in")
     tracker = streams.ChangeTracker(spark, f"{work}/state")
-    stream = streams.read_snapshot_stream(spark, f"{work}/in", files_per_batch=1)
+    stream = streams.read_snapshot_stream(spark, f"{work}/in", files_per_batch=files)
     tracker.start(stream, f"{work}/checkpoint").awaitTermination()
     return tracker.changes().select("url", "status", "batch_id")
 

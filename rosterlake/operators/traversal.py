@@ -186,93 +186,87 @@ def crawl_order(
     steps = StepTables(roots.sparkSession)
     edges = steps.write("edges", _expansion_links(links, max_pages))
     guards = steps.write(
-        "guards", edges.where(F.col("k") == 0).select("dst").distinct()
+        "guards", edges.where(F.col("k") == 0).select(F.col("dst").alias("url")).distinct()
     )
-    none_so_far = None
-    queue = roots.select("root").distinct().select(
-        "root",
-        F.col("root").alias("url"),
-        F.struct(
-            F.lit(1).cast("bigint").alias("a"),
-            F.lit(0).cast("bigint").alias("b"),
-            F.lit(0).cast("bigint").alias("c"),
-            F.lit("").alias("d"),
-        ).alias("rank"),
-        F.array().cast("array<string>").alias("ancestors"),
-        F.lit(0).cast("bigint").alias("visited"),
+    no_number = F.lit(None).cast("bigint")
+    place = F.struct(
+        F.lit(0).cast("bigint").alias("round"),
+        F.lit(0).cast("bigint").alias("from"),
+        F.lit(0).cast("bigint").alias("pos"),
+        F.lit("").alias("url"),
+    )
+    state = steps.write(
+        "state",
+        roots.select("root").distinct().select(
+            "root",
+            F.col("root").alias("url"),
+            F.array().cast("array<string>").alias("ancestors"),
+            place.alias("place"),
+            no_number.alias("visit_no"),
+            F.lit(0).cast("bigint").alias("visited"),
+        ),
     )
-    queue = steps.write("queue", queue)
+    in_line = W.partitionBy("root").orderBy("place")
     for round_no in range(1, max_pages + 1):
-        # the part of every queue that the budget still reaches, numbered
-        order = W.partitionBy("root").orderBy("rank")
-        ahead = (
-            queue.withColumn("rn", F.row_number().over(order).cast("bigint"))
-            .where(F.col("rn") <= max_pages)
-            .where(F.col("rn") <= F.lit(max_pages) - F.col("visited"))
-        )
+        waiting = F.col("visit_no").isNull()
+        queue = state.where(waiting).withColumn("rn", F.row_number().over(in_line).cast("bigint"))
+        reachable = F.col("rn") <= F.lit(max_pages) - F.col("visited")
         offers = (
-            ahead.join(edges, F.col("url") == F.col("src"))
+            queue.where(F.col("rn") <= max_pages)
+            .where(reachable)
+            .join(edges, F.col("url") == F.col("src"))
             .groupBy("root", "dst")
-            .agg(
-                F.min(
-                    F.struct("rn", "k", "p", "src", "ancestors")
-                ).alias("o")
-            )
+            .agg(F.min(F.struct("rn", "k", "p", "src", "ancestors", "visited")).alias("o"))
+            .join(state.select("root", F.col("url").alias("dst")), ["root", "dst"], "left_anti")
         )
-        known = queue.select("root", F.col("url").alias("dst"))
-        if none_so_far is not None:
-            known = known.unionByName(
-                steps.union("visits").select("root", F.col("url").alias("dst"))
-            )
-        offers = offers.join(known, ["root", "dst"], "left_anti")
         offers = steps.write("offers", offers)
-        cuts = (
-            offers.where(F.col("o.k") == 0)
-            .groupBy("root")
-            .agg(F.min("o.rn").alias("cut"))
-        )
-        settled = ahead.join(cuts, "root", "left").where(
-            F.col("cut").isNull() | (F.col("rn") <= F.col("cut"))
+        cuts = offers.where(F.col("o.k") == 0).groupBy("root").agg(F.min("o.rn").alias("cut"))
+        before_cut = F.col("cut").isNull() | (F.col("rn") <= F.col("cut"))
+        moved = queue.join(cuts, "root", "left").withColumn(
+            "visit_no", F.when(reachable & before_cut, F.col("visited") + F.col("rn"))
         )
-        visits = steps.write(
-            "visits",
-            settled.select(
-                "root",
-                (F.col("visited") + F.col("rn")).alias("visit_no"),
-                "url",
-                F.size("ancestors").cast("bigint").alias("depth"),
-                "ancestors",
-            ),
-        )
-        none_so_far = visits
-        progress = visits.groupBy("root").agg(F.max("visit_no").alias("visited"))
+        is_next = F.col("o.k") == 0
         added = (
             offers.join(cuts, "root", "left")
-            .where(F.col("cut").isNull() | (F.col("o.rn") <= F.col("cut")))
+            .withColumn("rn", F.col("o.rn"))
+            .where(before_cut)
             .select(
                 "root",
                 F.col("dst").alias("url"),
-                F.struct(
-                    F.when(F.col("o.k") == 0, 0).otherwise(1).cast("bigint").alias("a"),
-                    (F.lit(round_no * (max_pages + 1)) + F.col("o.rn")).cast("bigint").alias("b"),
-                    F.col("o.p").alias("c"),
-                    F.col("dst").alias("d"),
-                ).alias("rank"),
                 F.array_append("o.ancestors", F.col("o.src")).alias("ancestors"),
+                F.struct(
+                    # a next page goes in front of everything, children behind
+                    F.when(is_next, -1).otherwise(round_no).cast("bigint").alias("round"),
+                    F.col("o.rn").alias("from"),
+                    F.col("o.p").alias("pos"),
+                    F.col("dst").alias("url"),
+                ).alias("place"),
+                no_number.alias("visit_no"),
+                F.col("o.visited").alias("visited"),
             )
         )
-        waiting = queue.drop("visited").join(
-            visits.select("root", "url"), ["root", "url"], "left_anti"
+        done = state.where(~waiting)
+        everything = done.unionByName(moved.select(*done.columns)).unionByName(added)
+        numbered = everything.withColumn(
+            "visited", F.coalesce(F.max("visit_no").over(W.partitionBy("root")), F.lit(0))
+        )
+        # a queue keeps what the budget can reach and children that guard a next link
+        order = W.partitionBy("root").orderBy(F.col("visit_no").asc_nulls_last(), "place")
+        ranked = numbered.withColumn("rn", F.row_number().over(order)).join(
+            guards.withColumn("guard", F.lit(True)), "url", "left"
         )
-        merged = waiting.unionByName(added.select(*waiting.columns))
-        merged = merged.join(progress, "root", "left").where(
-            F.coalesce("visited", F.lit(0)) < max_pages
+        kept = (
+            F.col("visit_no").isNotNull()
+            | (F.col("visited") < max_pages)
+            & ((F.col("rn") <= max_pages) | F.coalesce("guard", F.lit(False)))
         )
-        # beyond the budget only children that guard a next link matter
-        ranked = merged.withColumn("rn", F.row_number().over(order))
-        near = ranked.where(F.col("rn") <= max_pages).drop("rn")
-        guard = merged.join(guards, F.col("url") == F.col("dst"), "left_semi")
-        queue = steps.write("queue", near.unionByName(guard).distinct())
-        if queue.isEmpty():
+        state = steps.write("state", ranked.where(kept).select(*done.columns))
+        if state.where(waiting).isEmpty():
             break
-    return steps.union("visits").select("root", "visit_no", "url", "depth", "ancestors")
+    return state.where(F.col("visit_no").isNotNull()).select(
+        "root",
+        "visit_no",
+        "url",
+        F.size("ancestors").cast("bigint").alias("depth"),
+        "ancestors",
+    )

@@ -63,28 +63,29 @@ URL_PATTERN = rf"https?://[^{SPACE}]+"
 CJK_PATTERN = r"[\u4e00-\u9fff\u3400-\u4dbf]"
 
 # --- page comparison --------------------------------------------------------
-# (pattern, replacement), applied in this order; ``ignore_mailto=False`` leaves
-# the last one out. Patterns start with their literal, so that the engine skips
-# to it; the look-behind then tests the character before the literal.
+# (needle, pattern, replacement), applied in this order; ``ignore_mailto=False``
+# leaves the last one out. The needle is a text that every match holds: pages
+# without it are not searched. Patterns start with their literal, so that the
+# engine skips to it; the look-behind tests the character before it.
 
 VOLATILE_REWRITES = (
-    (rf'id=(?<![{WORD}]id=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
-    (rf'for=(?<![{WORD}]for=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
-    (rf'class=(?<![{WORD}]class=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
-    (rf'name="(?<![{WORD}]name=")[0-9a-f]{{32}}"', 'name=""'),
-    (rf"(?s)<script(?![{WORD}]).*?</script>", ""),
-    (rf'nonce="(?<![{WORD}]nonce=")[^"]*"', ""),
-    (rf'_csrf(?<![{WORD}]_csrf)[^=]*="[^"]*"', ""),
-    (rf'"csrf\.token":[{SPACE}]*"[^"]*"', ""),
-    (rf"<meta(?![{WORD}])[^>]*>", ""),
-    (rf'data-[{WORD}-]+="[^"]*"', ""),
-    (r'href="([^"]*)\?[^"]*"', 'href="$1"'),
-    (rf'\.css\?(?<=[^{SPACE}"<>?]\.css\?)[^{SPACE}"<>]*', ".css"),
-    (r"_wpnonce[a-zA-Z0-9_]*", "_wpnonce"),
-    (rf'\.js\?(?<=[^{SPACE}"<>?]\.js\?)[^{SPACE}"<>]*', ".js"),
-    (rf'(https?://[^{SPACE}"<>?]*)\?[^{SPACE}"<>]*', "$1"),
-    (r"-\p{Nd}{10,}", "-0"),
-    (rf'<a[{SPACE}][^>]*href="mailto:[^"]*"[^>]*>[^\n]*?</a>', ""),
+    ("id=", rf'id=(?<![{WORD}]id=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
+    ("for=", rf'for=(?<![{WORD}]for=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
+    ("class=", rf'class=(?<![{WORD}]class=)(?:"|&quot;)[^"&]*(?:"|&quot;)', ""),
+    ('name="', rf'name="(?<![{WORD}]name=")[0-9a-f]{{32}}"', 'name=""'),
+    ("<script", rf"(?s)<script(?![{WORD}]).*?</script>", ""),
+    ('nonce="', rf'nonce="(?<![{WORD}]nonce=")[^"]*"', ""),
+    ("_csrf", rf'_csrf(?<![{WORD}]_csrf)[^=]*="[^"]*"', ""),
+    ('"csrf.token":', rf'"csrf\.token":[{SPACE}]*"[^"]*"', ""),
+    ("<meta", rf"<meta(?![{WORD}])[^>]*>", ""),
+    ("data-", rf'data-[{WORD}-]+="[^"]*"', ""),
+    ('href="', r'href="([^"]*)\?[^"]*"', 'href="$1"'),
+    (".css?", rf'\.css\?(?<=[^{SPACE}"<>?]\.css\?)[^{SPACE}"<>]*', ".css"),
+    ("_wpnonce", r"_wpnonce[a-zA-Z0-9_]*", "_wpnonce"),
+    (".js?", rf'\.js\?(?<=[^{SPACE}"<>?]\.js\?)[^{SPACE}"<>]*', ".js"),
+    ("?", rf'(https?://[^{SPACE}"<>?]*)\?[^{SPACE}"<>]*', "$1"),
+    ("-", r"-\p{Nd}{10,}", "-0"),
+    ("mailto:", rf'<a[{SPACE}][^>]*href="mailto:[^"]*"[^>]*>[^\n]*?</a>', ""),
 )
 
 # --- URLs -------------------------------------------------------------------

@@ -203,6 +203,15 @@ SELECT p_partkey AS ord, p_brand AS university,
 FROM part
 """
 
+SQL["fx_department_lists"] = """
+SELECT p_partkey AS ord, p_brand AS university,
+ CASE p_partkey % 5 WHEN 0 THEN 'nothing found' WHEN 1 THEN '{"departments": [broken'
+  WHEN 2 THEN 'Found: {"departments": ["Department of ' || p_name || '", " ' || p_name || ' ", "Finance"], "next_page_url": ""}'
+  WHEN 3 THEN '{"departments": null}'
+  ELSE '{"departments": ["' || upper(p_name) || '", "' || p_type || ' ' || CAST(p_size AS STRING) || ', School of", ""]}' END AS response
+FROM part
+"""
+
 SQL["fx_contacts"] = """
 SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' contact: u' || CAST(doc_id AS STRING) || ' [at] ' || lang || '.example.edu'
  WHEN 1 THEN ' mailto:U' || CAST(doc_id AS STRING) || '@x.edu, U' || CAST(doc_id AS STRING) || '@x.edu'

@@ -335,6 +335,12 @@ FROM (SELECT url, regexp_extract_all(html, '{ANCHOR}', 1) AS links, regexp_extra
  unnest(range(1, len(regexp_extract_all(html, '{ANCHOR}', 1)) + 1)) AS i FROM pages)
 """)
 
+DEPT_OUT = (
+    "hr|human resources|finance|it|library|registrar|centre|center|lab|laboratory|graduate school"
+    "|continuing education|professional studies"
+)
+UNIT = "(?:department|dept\\.?|school|faculty|division|institute) of"
+
 # --- links ------------------------------------------------------------------
 
 HREF = r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>'
@@ -525,6 +531,48 @@ SELECT profile_url, failed,
 FROM f
 """, "fx_detail_responses")
 
+LISTED = r"""
+listed AS (
+ SELECT ord, university, b, from_json(nullif(CAST(json_extract(b, '$.departments') AS VARCHAR), 'null'), '["VARCHAR"]') AS names FROM (
+  SELECT ord, university, nullif(regexp_extract(response, '(?s)\{.*\}'), '') AS b FROM fx_department_lists)
+ WHERE json_valid(b)),
+names AS (SELECT ord, university, generate_subscripts(names, 1) - 1 AS pos, unnest(names) AS name FROM listed)
+"""
+oracle("departments_parsed", f"WITH {LISTED} SELECT ord, university, pos, name FROM names", "fx_department_lists")
+
+oracle("departments_discovered", rf"""
+WITH {LISTED},
+firsts AS (
+ SELECT university, trim(name) AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY university, lower(trim(name)) ORDER BY ord, pos) AS rn FROM names WHERE trim(name) <> '')
+ WHERE rn = 1 AND NOT regexp_matches(name, '{_words(DEPT_OUT)}')),
+keyed AS (
+ SELECT university, name, regexp_replace(regexp_replace(lower(name), ', {UNIT}$', ''), '^{UNIT} ', '') AS k FROM firsts),
+found AS (
+ SELECT university, name FROM (SELECT *, row_number() OVER (PARTITION BY university, k ORDER BY length(name), name) AS rn FROM keyed) WHERE rn = 1)
+SELECT university, CAST(NULL AS VARCHAR) AS department, CAST(NULL AS VARCHAR) AS link,
+ CASE WHEN university IN (SELECT university FROM found) THEN 'completed' WHEN ord % 3 = 0 THEN 'Skipped' END AS status
+FROM fx_department_lists
+UNION ALL SELECT university, name, NULL, NULL FROM found
+""", "fx_department_lists")
+
+oracle("listing_urls_found", f"""
+WITH firsts AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, department, query_no ORDER BY rank, url) AS rn
+  FROM fx_hits WHERE NOT {BLOCKED}) WHERE rn <= 8),
+scored AS (
+ SELECT target_id, department, rank, url, CASE WHEN starts_with({HOST}, department || '.') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/people|/staff|/faculty|/academic-staff') THEN 1 ELSE 0 END AS score
+ FROM firsts WHERE ({HOST} = domain OR ends_with({HOST}, '.' || domain))
+  AND NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/?$')),
+best AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, department ORDER BY score DESC, rank, url) AS rn FROM scored) WHERE rn = 1)
+SELECT CAST(t.target_id AS VARCHAR) AS university, t.department, coalesce(b.url, 'ftp://none') AS link,
+ CASE WHEN b.url IS NULL THEN 'nan' ELSE 'url-found' END AS status
+FROM (SELECT DISTINCT target_id, department FROM fx_hits) t
+LEFT JOIN best b ON b.target_id = t.target_id AND b.department = t.department
+""", "fx_hits")
+
 oracle("extraction_requests", f"""
 WITH {CLEANED},
 links AS (SELECT p.url, list_transform(regexp_extract_all(p.html, '{HREF}', 1),
@@ -603,10 +651,6 @@ SELECT ord, CASE WHEN trim(coalesce(department_name, '')) = '' THEN department E
 oracle("records_formula", f"SELECT ord, {LAST_NAME} AS last_name FROM fx_records", "fx_records")
 oracle("records_role_filtered", f"SELECT ord, position FROM fx_records WHERE {_role('position')}", "fx_records")
 
-DEPT_OUT = (
-    "hr|human resources|finance|it|library|registrar|centre|center|lab|laboratory|graduate school"
-    "|continuing education|professional studies"
-)
 oracle("departments_filtered", f"""
 SELECT ord, university, name FROM fx_departments
 WHERE trim(coalesce(name, '')) <> '' AND NOT regexp_matches(name, '{_words(DEPT_OUT)}')
@@ -677,7 +721,6 @@ SELECT university, arg_min(trim(name), ord) AS name, min(ord) AS ord FROM fx_dep
 WHERE trim(coalesce(name, '')) <> '' GROUP BY university, lower(trim(name))
 """, "fx_departments")
 
-UNIT = "(?:department|dept\\.?|school|faculty|division|institute) of"
 oracle("departments_canonical", rf"""
 WITH k AS (
  SELECT university, trim(name) AS name, regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '[ \t]+', ' ', 'g'),

@@ -13,7 +13,7 @@ from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import dedup, enrichment, hits, lifecycle, links, listing, pages
 from rosterlake.operators import records, requests, responses, targets, traversal
-from rosterlake.plans import roster_run
+from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
 from rosterlake.sources import snapshots
@@ -371,6 +371,36 @@ def values_coerced(spark, sf):
     return responses.parse_details(fx(spark, sf, "fx_detail_responses"), DETAIL_SPEC)
 
 
+@query
+def departments_parsed(spark, sf):
+    return responses.department_names(fx(spark, sf, "fx_department_lists"), ["ord", "university"])
+
+
+@query
+def departments_discovered(spark, sf):
+    answers = fx(spark, sf, "fx_department_lists")
+    asking = answers.select(
+        F.col("university"),
+        F.lit(None).cast("string").alias("department"),
+        F.lit(None).cast("string").alias("link"),
+        F.when(F.col("ord") % 3 == 0, "Skipped").alias("status"),
+    )
+    return discovery.discover_departments(asking, answers)
+
+
+@query
+def listing_urls_found(spark, sf):
+    """Best listing page over all hits of a target, written back to it."""
+    h = fx(spark, sf, "fx_hits").select(
+        F.col("target_id").cast("string").alias("university"),
+        "department", "query_no", "rank", "url", "domain",
+    )
+    t = h.select("university", "department").distinct().select(
+        "*", F.lit("ftp://none").alias("link"), F.lit("nan").alias("status")
+    )
+    return discovery.find_listing_urls(t, h)
+
+
 @query
 def extraction_requests(spark, sf):
     p = table(spark, sf, "pages").select("url", "html")

@@ -123,6 +123,7 @@ REMARK_BLOCKED = "Detail page unreachable: "
 REMARK_FAILED = "LLM extraction failed for: "
 STATUS_COMPLETED = "completed"
 STATUS_SKIPPED = "Skipped"
+STATUS_URL_FOUND = "url-found"
 STATUS_FAILED_PREFIX = "failed: "
 PAGE_ISSUE_PREFIX = "Listing page issue: "
 NO_PAGE_ERROR = "No page HTML available for scraping."

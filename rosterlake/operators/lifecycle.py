@@ -172,7 +172,7 @@ def _placed_sightings(sightings: DataFrame, with_next_run: bool = False) -> Data
     the number of runs, never over a whole scope's records.
     """
     seen = sightings.select("run_no", *SCOPE, "rec_key").distinct()
-    runs = sightings.select("run_no", *SCOPE).distinct()
+    runs = seen.select("run_no", *SCOPE).distinct()
     scope_runs = W.partitionBy(*SCOPE).orderBy("run_no")
     whole_scope = W.partitionBy(*SCOPE)
     places = runs.select(

@@ -88,6 +88,30 @@ def response_links(parsed: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def department_names(
+    answers: DataFrame, keep: list[str], text: str = "response"
+) -> DataFrame:
+    """(keep..., pos, name) from responses that list departments.
+
+    The list is the ``departments`` of the JSON object; a response that is not
+    valid, or lists none, gives no rows.
+    """
+    block = json_object_text(text)
+    listed = F.from_json(F.from_json("_block", "departments string")["departments"], "array<string>")
+    return (
+        answers.select(*keep, block.alias("_block"))
+        .where(is_one_json_object(F.col("_block")))
+        .select(*keep, F.posexplode(listed).alias("pos", "name"))
+        .withColumn("pos", F.col("pos").cast("bigint"))
+    )
+
+
+def name_list(text: Column | str) -> Column:
+    """First JSON array of texts in a response; NULL when there is none."""
+    found = F.regexp_extract(as_col(text), r"(?s)\[.*?\]", 0)
+    return F.when(found != "", F.from_json(found, "array<string>"))
+
+
 def field_value(entries: Column, index: int, name: str) -> Column:
     """Value of a spec column in a record's (key, value) entries.
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # pages are wide rows: a batch handed to Python stays in the tens of megabytes
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import as_col, contains_any, emails_in, strip
+from .text import as_col, contains_any, emails_in, or_empty, strip
 
 _ATTR = (
     rf'[{fv.SPACE}]([{fv.WORD}][{fv.WORD}-]*)'
     rf'(?:[{fv.SPACE}]*=[{fv.SPACE}]*(?:"([^"]*)"|\'([^\']*)\'|([^{fv.SPACE}]+)))?'
 )
-_OPEN_TAG = rf"<[{fv.WORD}]+[^>]*>"
+# Opening tags that hold more than a name; a bare "<p>" stays as it is anyway.
+_OPEN_TAG = rf"<[{fv.WORD}]++[^>]+>"
 
 
 def compress_attributes(html: Column) -> Column:
@@ -98,7 +99,7 @@ def is_blocked(html: Column | str) -> Column:
 
 def is_blocked_render(html: Column | str, title: Column | str) -> Column:
     """The same test for rendered pages, which know their title."""
-    html, title = as_col(html), as_col(title)
+    html, title = as_col(html), or_empty(title)
     return F.coalesce(
         (F.length(html) < fv.BLOCKED_MIN_CHARS)
         | contains_any(title, fv.BLOCKED_TITLE_TEXTS)

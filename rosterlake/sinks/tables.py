@@ -47,6 +47,16 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     )
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines without the NULL fields of a row."""
+    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Add rows to an append-only log (runs, schema versions, job events)."""
+    df.write.mode("append").parquet(path)
+
+
 class GenerationTable:
     """Replace-by-source-key on plain files, without rewriting other keys.
 

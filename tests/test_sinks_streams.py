@@ -3,7 +3,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from rosterlake.operators import listing, pages
-from rosterlake.sinks.tables import GenerationTable, merge_by_source_key, write_partitioned
+from rosterlake.sinks.tables import (
+    GenerationTable,
+    append_rows,
+    merge_by_source_key,
+    write_json,
+    write_partitioned,
+)
 from rosterlake.sources.snapshots import latest_pages, live_entries, save_by_url
 from rosterlake.spec import RecordSpec
 from rosterlake.streaming.snapshots import ChangeTracker, distinct_events, read_snapshot_stream
@@ -53,6 +59,16 @@ def test_partitioned_write_replaces_only_its_partitions(spark, tmp_path):
     assert rows(spark.read.parquet(path), "_source_key", "name") == [("A", "1"), ("B", "2")]
 
 
+def test_json_lines_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([("A", None), (None, "x")], ROWS)
+    write_json(df, str(tmp_path / "j"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "j")).collect())
+    assert lines == ['{"_source_key":"A"}', '{"name":"x"}']
+    for _ in range(2):
+        append_rows(df, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
 def test_latest_and_live(spark):
     snaps = spark.createDataFrame([("u", 1, "a"), ("u", 3, "c"), ("u", 2, "b"), ("v", 1, "x")], "url string, run_no long, html string")
     assert rows(latest_pages(snaps), "url", "html") == [("u", "c"), ("v", "x")]

@@ -113,7 +113,7 @@ SELECT department || '/' || university, NULL, email FROM fx_details WHERE depart
 
 oracle("generation_table", """
 SELECT department || '/' || university AS _source_key,
- CASE WHEN department = 'BUILDING' THEN 2 ELSE 1 END AS run_no,
+ CAST(CASE WHEN department = 'BUILDING' THEN 2 ELSE 1 END AS BIGINT) AS run_no,
  CASE WHEN department = 'BUILDING' THEN upper(full_name) ELSE full_name END AS full_name, email
 FROM fx_records WHERE department <> 'MACHINERY'
 """, "fx_records")
@@ -400,7 +400,7 @@ FROM k WINDOW w AS (PARTITION BY template ORDER BY seq, url)
 """, "fx_series")
 
 targets_oracle("search_queries", """
-SELECT university, department, q.n AS query_no,
+SELECT university, department, CAST(q.n AS BIGINT) AS query_no,
  CASE WHEN department IS NULL THEN CASE q.n WHEN 0 THEN university || ' faculty' WHEN 1 THEN university || ' academic staff'
    WHEN 2 THEN university || ' staff' ELSE university || ' professors' END
   ELSE CASE q.n WHEN 0 THEN university || ' ' || department || ' faculty'
@@ -733,7 +733,7 @@ SELECT university, name_key, name, n_spellings FROM (
 
 oracle("results_filtered", """
 SELECT CAST(ord AS VARCHAR) AS ord, nullif(email, '') AS email,
- 4 + CASE WHEN coalesce(email, '') <> '' THEN 1 ELSE 0 END AS n_fields
+ CAST(4 + CASE WHEN coalesce(email, '') <> '' THEN 1 ELSE 0 END AS BIGINT) AS n_fields
 FROM fx_records WHERE lower(university) = 'nation_3' AND lower(department) = 'building'
 """, "fx_records")
 

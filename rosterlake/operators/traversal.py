@@ -180,20 +180,16 @@ def crawl_order(
 
     One round handles, for all roots at once, the queue up to and including the
     first page with a usable next link: until there the order is settled. So the
-    number of rounds is that of levels plus next links followed. A queue keeps
-    what can still be visited plus the children that can hold back a next link.
+    number of rounds is that of levels plus next links followed. Only the front
+    of a queue, as far as the budget reaches, is ever ordered; that is a top n,
+    cut before the shuffle, however long the queue is.
     """
     steps = StepTables(roots.sparkSession)
     edges = steps.write("edges", _expansion_links(links, max_pages))
-    guards = steps.write(
-        "guards", edges.where(F.col("k") == 0).select(F.col("dst").alias("url")).distinct()
-    )
     no_number = F.lit(None).cast("bigint")
-    place = F.struct(
-        F.lit(0).cast("bigint").alias("round"),
-        F.lit(0).cast("bigint").alias("from"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.lit("").alias("url"),
+    zero = F.lit(0).cast("bigint")
+    first_place = F.struct(
+        zero.alias("round"), zero.alias("from"), zero.alias("pos"), F.lit("").alias("url")
     )
     state = steps.write(
         "state",
@@ -201,35 +197,49 @@ def crawl_order(
             "root",
             F.col("root").alias("url"),
             F.array().cast("array<string>").alias("ancestors"),
-            place.alias("place"),
+            first_place.alias("place"),
             no_number.alias("visit_no"),
-            F.lit(0).cast("bigint").alias("visited"),
         ),
     )
     in_line = W.partitionBy("root").orderBy("place")
+    is_next = F.col("o.k") == 0
     for round_no in range(1, max_pages + 1):
-        waiting = F.col("visit_no").isNull()
-        queue = state.where(waiting).withColumn("rn", F.row_number().over(in_line).cast("bigint"))
-        reachable = F.col("rn") <= F.lit(max_pages) - F.col("visited")
+        visited = (
+            state.where(F.col("visit_no").isNotNull())
+            .groupBy("root")
+            .agg(F.max("visit_no").alias("visited"))
+        )
+        front = (
+            state.where(F.col("visit_no").isNull())
+            .withColumn("rn", F.row_number().over(in_line))
+            .where(F.col("rn") <= max_pages)
+        )
+        ahead = (
+            front.join(visited, "root", "left")
+            .withColumn("visit_no", F.coalesce("visited", zero) + F.col("rn"))
+            .where(F.col("visit_no") <= max_pages)
+            .select("root", "url", "ancestors", "visit_no")
+        )
+        ahead = steps.write("ahead", ahead)
+        if ahead.isEmpty():
+            break
         offers = (
-            queue.where(F.col("rn") <= max_pages)
-            .where(reachable)
-            .join(edges, F.col("url") == F.col("src"))
+            ahead.join(edges, F.col("url") == F.col("src"))
             .groupBy("root", "dst")
-            .agg(F.min(F.struct("rn", "k", "p", "src", "ancestors", "visited")).alias("o"))
+            .agg(F.min(F.struct("visit_no", "k", "p", "src", "ancestors")).alias("o"))
             .join(state.select("root", F.col("url").alias("dst")), ["root", "dst"], "left_anti")
         )
         offers = steps.write("offers", offers)
-        cuts = offers.where(F.col("o.k") == 0).groupBy("root").agg(F.min("o.rn").alias("cut"))
-        before_cut = F.col("cut").isNull() | (F.col("rn") <= F.col("cut"))
-        moved = queue.join(cuts, "root", "left").withColumn(
-            "visit_no", F.when(reachable & before_cut, F.col("visited") + F.col("rn"))
+        cuts = offers.where(is_next).groupBy("root").agg(F.min("o.visit_no").alias("cut"))
+        settled = (
+            ahead.select("root", "url", F.col("visit_no").alias("_no"))
+            .join(cuts, "root", "left")
+            .where(F.col("cut").isNull() | (F.col("_no") <= F.col("cut")))
+            .drop("cut")
         )
-        is_next = F.col("o.k") == 0
         added = (
             offers.join(cuts, "root", "left")
-            .withColumn("rn", F.col("o.rn"))
-            .where(before_cut)
+            .where(F.col("cut").isNull() | (F.col("o.visit_no") <= F.col("cut")))
             .select(
                 "root",
                 F.col("dst").alias("url"),
@@ -237,32 +247,17 @@ def crawl_order(
                 F.struct(
                     # a next page goes in front of everything, children behind
                     F.when(is_next, -1).otherwise(round_no).cast("bigint").alias("round"),
-                    F.col("o.rn").alias("from"),
+                    F.col("o.visit_no").alias("from"),
                     F.col("o.p").alias("pos"),
                     F.col("dst").alias("url"),
                 ).alias("place"),
                 no_number.alias("visit_no"),
-                F.col("o.visited").alias("visited"),
             )
         )
-        done = state.where(~waiting)
-        everything = done.unionByName(moved.select(*done.columns)).unionByName(added)
-        numbered = everything.withColumn(
-            "visited", F.coalesce(F.max("visit_no").over(W.partitionBy("root")), F.lit(0))
-        )
-        # a queue keeps what the budget can reach and children that guard a next link
-        order = W.partitionBy("root").orderBy(F.col("visit_no").asc_nulls_last(), "place")
-        ranked = numbered.withColumn("rn", F.row_number().over(order)).join(
-            guards.withColumn("guard", F.lit(True)), "url", "left"
+        numbered = state.join(settled, ["root", "url"], "left").select(
+            "root", "url", "ancestors", "place", F.coalesce("visit_no", "_no").alias("visit_no")
         )
-        kept = (
-            F.col("visit_no").isNotNull()
-            | (F.col("visited") < max_pages)
-            & ((F.col("rn") <= max_pages) | F.coalesce("guard", F.lit(False)))
-        )
-        state = steps.write("state", ranked.where(kept).select(*done.columns))
-        if state.where(waiting).isEmpty():
-            break
+        state = steps.write("state", numbered.unionByName(added))
     return state.where(F.col("visit_no").isNotNull()).select(
         "root",
         "visit_no",

@@ -67,21 +67,30 @@ def test_queued_child_holds_back_a_next_link(spark):
     assert [r[2] for r in got] == [u("r"), u("A"), u("X")]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_random_graphs(spark, seed):
-    rng = random.Random(seed)
-    names = [u(i) for i in range(rng.choice([6, 14, 25]))]
+def random_graph(rng, prefix):
+    names = [u(f"{prefix}/{i}") for i in range(rng.choice([4, 9, 14, 25]))]
     links = []
     for src in names:
-        if rng.random() < 0.5:
-            links.append((src, rng.choice(names), "next", 0))
-        for pos, dst in enumerate(rng.sample(names, rng.randint(0, min(5, len(names))))):
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            links.append((src, rng.choice(names), "next", rng.randint(0, 3)))
+        for pos, dst in enumerate(rng.sample(names, rng.randint(0, min(6, len(names))))):
             links.append((src, dst, "child", pos))
+            if rng.random() < 0.1:
+                links.append((src, dst, "child", pos + 3))
     links.append((names[0], "/relative", "child", 9))
-    limit = rng.choice([3, 7, 30])
-    roots = names[:4]
-    r, e = frames(spark, roots, links)
-    want = sorted(row for root in roots for row in visit(root, links, limit))
+    return names[:3], links
+
+
+@pytest.mark.parametrize("limit", [2, 5, 12, 30])
+def test_random_graphs(spark, limit):
+    """Eighty graphs at a time, each apart from the others by its URLs."""
+    rng = random.Random(limit)
+    graphs = [random_graph(rng, f"g{i}") for i in range(80)]
+    roots = [r for names, _ in graphs for r in names]
+    r, e = frames(spark, roots, [link for _, links in graphs for link in links])
+    want = sorted(
+        row for names, links in graphs for root in names for row in visit(root, links, limit)
+    )
     assert collected(G.crawl_order(r, G.usable_links(e), max_pages=limit)) == want
 
 

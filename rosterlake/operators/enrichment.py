@@ -97,23 +97,27 @@ def enrich_records(
 ) -> DataFrame:
     """Fill NULL and "" fields from the detail row of the record's profile page.
 
-    ``details`` has one row per profile page: the fields, ``blocked`` and
-    ``failed``. A record value that is present is kept; a remark is added when
-    the page was blocked or its response failed. Pass only the details of groups
-    the enrichment plan selects.
+    ``details`` has the fields, ``blocked`` and ``failed`` per profile page; of
+    several rows for a page a usable one counts. A record value that is present
+    is kept; a remark is added when the page was blocked or its response failed.
+    Pass only the details of groups the enrichment plan selects.
     """
     names = [c.name for c in spec.extractable() if c.name in details.columns]
-    seen = details.select(
-        F.col(profile).alias("_key"),
-        F.lit(True).alias("_found"),
-        F.col("blocked").alias("_blocked"),
-        F.col("failed").alias("_failed"),
+    is_blocked = F.coalesce("blocked", F.lit(False))
+    is_failed = F.coalesce("failed", F.lit(False))
+    row = F.struct(
+        (~is_blocked & ~is_failed).alias("_usable"),
+        is_blocked.alias("_blocked"),
+        is_failed.alias("_failed"),
         *[col(n).alias(f"_d{i}") for i, n in enumerate(names)],
     )
+    # grouped by the join key, so the join needs no second shuffle of it
+    seen = details.groupBy(F.col(profile).alias("_key")).agg(F.max(row).alias("_row"))
+    seen = seen.select("_key", "_row.*")
     joined = spread_null_keys(records, profile, order, "_key").join(seen, "_key", "left")
     blocked = F.coalesce("_blocked", F.lit(False))
     failed = F.coalesce("_failed", F.lit(False))
-    usable = F.coalesce("_found", F.lit(False)) & ~blocked & ~failed
+    usable = F.coalesce("_usable", F.lit(False))
     message = F.when(
         blocked, F.concat(F.lit(fv.REMARK_BLOCKED), F.col(profile))
     ).when(failed, F.concat(F.lit(fv.REMARK_FAILED), F.col(profile)))

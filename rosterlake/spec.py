@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
@@ -81,6 +81,12 @@ class ColumnRule:
         return F.when(broken, F.lit("")).otherwise(value)
 
 
+def _known(cls: type, given: dict[str, Any]) -> dict[str, Any]:
+    """The entries a spec class knows; others in a spec file are left alone."""
+    names = {f.name for f in fields(cls)}
+    return {k: v for k, v in given.items() if k in names and v is not None}
+
+
 @dataclass(frozen=True)
 class RecordSpec:
     columns: tuple[ColumnRule, ...] = ()
@@ -93,9 +99,9 @@ class RecordSpec:
             entry = dict(entry)
             rules = entry.pop("validation", None)
             kind = entry.pop("type", None) or entry.pop("kind")
-            known = {k: v for k, v in (rules or {}).items() if v is not None}
+            validation = Validation(**_known(Validation, rules)) if rules else None
             columns.append(
-                ColumnRule(kind=kind, validation=Validation(**known) if rules else None, **entry)
+                ColumnRule(kind=kind, validation=validation, **_known(ColumnRule, entry))
             )
         return cls(tuple(columns), tuple(data.get("dedup_keys", ())))
 

@@ -32,7 +32,7 @@ def rows(df, *cols):
 def test_spec_from_json_and_absent_file(tmp_path):
     assert RecordSpec.load(tmp_path / "none.json") == RecordSpec()
     path = tmp_path / "spec.json"
-    path.write_text(json.dumps({"columns": [{"name": "A", "type": "extracted"}], "dedup_keys": ["A"]}))
+    path.write_text(json.dumps({"columns": [{"name": "A", "type": "extracted", "note": 1}], "dedup_keys": ["A"]}))
     spec = RecordSpec.load(path)
     assert spec.names() == ["A"] and spec.dedup_keys == ("A",)
     assert [f.name for f in spec.schema()] == ["A"]
@@ -193,7 +193,7 @@ def test_enrichment_fills_gaps_only(spark):
     details = spark.createDataFrame(
         [
             ("http://p/1", False, False, "Prof.", "new@x"), ("http://p/2", True, False, "Prof.", "n@x"),
-            ("http://p/3", False, True, None, None),
+            ("http://p/3", False, True, None, None), ("http://p/1", True, False, "zzz", "zzz"),
         ],
         "profile_url string, blocked boolean, failed boolean, Title string, Email string",
     )

@@ -141,12 +141,12 @@ list_transform(
   || CASE WHEN regexp_extract(a, '{ATTRIBUTE}', 2) || regexp_extract(a, '{ATTRIBUTE}', 3) || regexp_extract(a, '{ATTRIBUTE}', 4) = '' THEN ''
    ELSE '="' || regexp_extract(a, '{ATTRIBUTE}', 2) || regexp_extract(a, '{ATTRIBUTE}', 3) || regexp_extract(a, '{ATTRIBUTE}', 4) || '"' END)
 """
-CLEANED = rf"""
+PAGE_CLEANING = rf"""
 stripped AS (
  SELECT page_id, url,
   regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '{NOISE}', '', 'gsi'),
    '<(?:meta|link|input|br|hr|img)[^>]*>', '', 'gi') AS h
- FROM pages),
+ FROM cleaning_source),
 parts AS (
  SELECT page_id, url, string_split_regex(h, '<[\p{{L}}\p{{N}}_]+[^>]*>') AS texts,
   list_transform(regexp_extract_all(h, '<[\p{{L}}\p{{N}}_]+[^>]*>'),
@@ -162,6 +162,7 @@ cleaned AS (
   array_to_string(list_filter(string_split_regex(h, '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: regexp_matches(l, '\S')), chr(10)) AS html
  FROM joined)
 """
+CLEANED = f"cleaning_source AS (SELECT * FROM pages), {PAGE_CLEANING}"
 oracle("pages_clean", f"WITH {CLEANED} SELECT page_id, html FROM cleaned")
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -307,8 +308,7 @@ def _role(column: str) -> str:
     )
 
 
-oracle("listing_rows", rf"""
-WITH {CLEANED},
+LISTING_ROWS = rf"""
 blocks AS (
  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:li(?:\s[^>]*)?>(.*?)</li|tr(?:\s[^>]*)?>(.*?)</tr)>', 0)) AS whole,
   generate_subscripts(regexp_extract_all(html, '(?is)<(?:li(?:\s[^>]*)?>(.*?)</li|tr(?:\s[^>]*)?>(.*?)</tr)>', 0), 1) - 1 AS pos
@@ -325,7 +325,14 @@ SELECT url, CAST(pos AS BIGINT) AS pos, name,
  nullif(regexp_extract(text, '^(Prof\.|Dr\.|Mr\.|Ms\.|Professor)', 1), '') AS title,
  {_role("text")} AS is_academic_role
 FROM fields WHERE href <> '' OR regexp_matches({DEOBFUSCATED}, '{EMAIL}')
-""")
+"""
+oracle("listing_rows", f"WITH {CLEANED}, {LISTING_ROWS}")
+oracle("stream_listing_rows", f"""
+WITH cleaning_source AS (
+ SELECT 0 AS page_id, url, html FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_no DESC) AS rn FROM fx_snapshots) WHERE rn = 1),
+{PAGE_CLEANING}, {LISTING_ROWS.replace("SELECT url, CAST(pos AS BIGINT)", "SELECT url AS _source_key, CAST(pos AS BIGINT)")}
+""", "fx_snapshots")
 
 ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 oracle("records_extracted", f"""

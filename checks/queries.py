@@ -727,18 +727,33 @@ def full_run(spark, sf):
 # --- streams ----------------------------------------------------------------
 
 
-@query
-def stream_page_changes(spark, sf):
+def _tracked(spark, sf, publisher=None):
+    """Both runs of snapshots through the tracker, one batch each."""
     work = f"{scratch_root(spark)}/stream/{uuid.uuid4().hex}"
     snaps = fx(spark, sf, "fx_snapshots")
     files = 8  # per run, which makes one batch of each run
     for run_no in (1, 2):
         one_run = snaps.where(F.col("run_no") == run_no).repartition(files)
         one_run.write.mode("append").parquet(f"{work}/in")
-    tracker = streams.ChangeTracker(spark, f"{work}/state")
+    tracker = streams.ChangeTracker(spark, f"{work}/state", publisher)
     stream = streams.read_snapshot_stream(spark, f"{work}/in", files_per_batch=files)
     tracker.start(stream, f"{work}/checkpoint").awaitTermination()
-    return tracker.changes().select("url", "status", "batch_id")
+    return tracker
+
+
+@query
+def stream_page_changes(spark, sf):
+    return _tracked(spark, sf).changes().select("url", "status", "batch_id")
+
+
+@query
+def stream_listing_rows(spark, sf):
+    """Listing rows of every page, kept up to date by the stream."""
+    schema = listing.listing_rows(table(spark, sf, "pages")).withColumnRenamed("url", K.SOURCE_KEY).schema
+    path = f"{scratch_root(spark)}/stream/{uuid.uuid4().hex}/rows"
+    rows = tables.GenerationTable(spark, path, schema)
+    _tracked(spark, sf, streams.page_row_publisher(rows, listing.listing_rows))
+    return rows.current().drop("run_no")
 
 
 @query

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.keys import SOURCE_KEY
 from ..operators.pages import fingerprint_snapshots, page_changes
+from ..sinks.tables import GenerationTable
 
 SNAPSHOT_SCHEMA = "url string, run_no bigint, html string"
 _STATE = "url string, run_no bigint, fingerprint string"
@@ -108,6 +110,24 @@ class ChangeTracker:
         )
 
 
+def page_row_publisher(
+    table: GenerationTable, rows_of: Callable[[DataFrame], DataFrame]
+) -> Callable[[DataFrame, int], None]:
+    """An ``on_changes`` that keeps a table of rows per page up to date.
+
+    ``rows_of(pages)`` gives rows with a ``url`` column. The rows of a new or
+    changed page replace all its earlier ones, a page that lost its rows loses
+    them in the table, and other pages are not touched. The batch id is the run,
+    so a batch that runs again writes the same again.
+    """
+
+    def publish(changed: DataFrame, batch_id: int) -> None:
+        keys = changed.select(F.col("url").alias(SOURCE_KEY))
+        table.commit(batch_id, keys, rows_of(changed).withColumnRenamed("url", SOURCE_KEY))
+
+    return publish
+
+
 def distinct_events(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """First event per key; state is dropped once the watermark has passed."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)

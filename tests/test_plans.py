@@ -16,7 +16,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 # these run jobs of their own while the plan is built
 ITERATIVE = {
     "crawl_closure", "crawl_ancestors", "crawl_order", "pagination_walk", "full_run",
-    "generation_table", "stream_page_changes", "stream_dedup", "subtree_changes",
+    "generation_table", "stream_page_changes", "stream_dedup", "stream_listing_rows",
+    "subtree_changes",
 }
 
 

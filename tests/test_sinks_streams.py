@@ -12,7 +12,12 @@ from rosterlake.sinks.tables import (
 )
 from rosterlake.sources.snapshots import latest_pages, live_entries, save_by_url
 from rosterlake.spec import RecordSpec
-from rosterlake.streaming.snapshots import ChangeTracker, distinct_events, read_snapshot_stream
+from rosterlake.streaming.snapshots import (
+    ChangeTracker,
+    distinct_events,
+    page_row_publisher,
+    read_snapshot_stream,
+)
 
 ROWS = "_source_key string, name string"
 
@@ -142,6 +147,28 @@ def test_stream_of_snapshots(spark, tmp_path):
     assert rows(tracker.changes(), "batch_id", "url", "status") == got
 
 
+def test_rows_follow_changed_pages(spark, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    names = "_source_key string, name string"
+    table = GenerationTable(spark, str(tmp_path / "rows"), spark.createDataFrame([], names).schema)
+
+    def rows_of(df):
+        items = F.explode(F.regexp_extract_all("html", F.lit("<li>([^<]*)"), 1))
+        return df.select("url", items.alias("name"))
+
+    tracker = ChangeTracker(spark, state, page_row_publisher(table, rows_of))
+    runs = [
+        [("a", "<li>1<li>2"), ("b", "<li>3")],
+        [("a", "<li>2"), ("b", "<li>3")],
+        [("b", "nobody"), ("c", "<li>4")],
+    ]
+    for run_no, page_rows in enumerate(runs):
+        write_run(spark, source, run_no, page_rows)
+        stream = read_snapshot_stream(spark, source)
+        tracker.start(stream, str(tmp_path / "cp")).awaitTermination()
+    assert rows(table.current(), "_source_key", "name") == [("a", "2"), ("c", "4")]
+
+
 def test_tracker_state_is_compacted(spark, tmp_path):
     """The same changes, whether state is read from a base or from all batches."""
 

@@ -9,7 +9,7 @@ LINKS = "src string, dst string, kind string, pos long"
 
 
 def visit(root, links, limit, fetched=None):
-    """Reference order by hand: a queue per root, one page at a time."""
+    """The order by hand: a queue per root, one page at a time."""
     nxt, kids = {}, {}
     for src, dst, kind, pos in sorted(links, key=lambda e: (e[3], e[1])):
         if not dst.startswith("http") or (fetched is not None and dst not in fetched):

@@ -11,10 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, mixing, sharding
+from rosterlake.llm import decontaminate, language, mixing, near_dedup, sharding
 from rosterlake.llm.columns import table, whole_text
 
 SHARDS = 24
+#: The vocabulary whose pieces language identification weighs.
+PIECES = "piece_bpe_32k.model"
+
+
+def public_file(name: str) -> str:
+    """The place of a file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True))
+    return found.select("doc_id", "class_id", "group_id", kept.alias("kept"))
 
 
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +39,26 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
+def language_model(docs: DataFrame) -> language.Model:
+    """Trained on the labelled documents whose crc32 of the id isn't 1 modulo 3."""
+    return language.train(docs.where(~held_out()), language.vocabulary(public_file(PIECES)))
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op8_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("language")["lang"].alias("lang_pred"),
+        F.col("language")["score"].alias("score"),
+    )
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = whole_text()
@@ -53,6 +88,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
+    "op8_unigram_language": op8_unigram_language,
     "op4_fair_mix": op4_fair_mix,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,

@@ -6,13 +6,15 @@ columns asked for from the operator's result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, language, mixing, near_dedup, sharding
+from rosterlake.llm import decontaminate, language, mixing, near_dedup, sharding, token_frames
 from rosterlake.llm.columns import table, whole_text
+from rosterlake.session import scratch_root
 
 SHARDS = 24
 #: The vocabulary whose pieces language identification weighs.
@@ -32,6 +34,13 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "group_id", kept.alias("kept"))
 
 
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_root(spark)}/rosterlake/{uuid.uuid4().hex}/tokens"
+    docs = table(spark, sf_dir, "documents")
+    token_frames.write_tokens(docs, folder, public_file("byte_bpe_50k.json"))
+    return token_frames.read_digests(spark, folder)
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size")))
@@ -89,6 +98,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op3_token_frames": op3_token_frames,
     "op8_unigram_language": op8_unigram_language,
     "op4_fair_mix": op4_fair_mix,
     "op9_rendezvous_shards": op9_rendezvous_shards,

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, language, mixing, near_dedup, sharding, token_frames
+from rosterlake.llm import decontaminate, fingerprints, language, mixing, near_dedup, sharding, token_frames
 from rosterlake.llm.columns import table, whole_text
+from rosterlake.llm.successors import with_next
 from rosterlake.session import scratch_root
 
 SHARDS = 24
@@ -34,6 +35,25 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "group_id", kept.alias("kept"))
 
 
+def op2_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("t"))
+    docs = with_next(fingerprints.add_fingerprint(docs, "t", "fp"), "doc_id", ["t", "fp"])
+    n = F.length("t").cast("long")
+    tail = F.floor(n / 4).cast("int")
+    start = F.lit(1)
+    edited = F.concat(F.substring("t", start, n.cast("int") - tail), F.substring("next_t", start, tail))
+    docs = fingerprints.add_fingerprint(docs.withColumn("edited", edited), "edited", "edited_fp")
+    return docs.select(
+        "doc_id",
+        n.alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_root(spark)}/rosterlake/{uuid.uuid4().hex}/tokens"
     docs = table(spark, sf_dir, "documents")
@@ -98,6 +118,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_one_permutation_fingerprints": op2_one_permutation_fingerprints,
     "op3_token_frames": op3_token_frames,
     "op8_unigram_language": op8_unigram_language,
     "op4_fair_mix": op4_fair_mix,

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, fingerprints, language, mixing, near_dedup, sharding, token_frames
+from rosterlake.llm import decontaminate, fingerprints, language, mixing, near_dedup, repeats, sharding, token_frames
 from rosterlake.llm.columns import table, whole_text
 from rosterlake.llm.successors import with_next
 from rosterlake.session import scratch_root
@@ -68,6 +68,13 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digests = repeats.remove_repeats(docs, with_text=False)
+    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"))
+    return keyed.join(digests, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def language_model(docs: DataFrame) -> language.Model:
     """Trained on the labelled documents whose crc32 of the id isn't 1 modulo 3."""
     return language.train(docs.where(~held_out()), language.vocabulary(public_file(PIECES)))
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_one_permutation_fingerprints": op2_one_permutation_fingerprints,
     "op3_token_frames": op3_token_frames,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_unigram_language": op8_unigram_language,
     "op4_fair_mix": op4_fair_mix,
     "op9_rendezvous_shards": op9_rendezvous_shards,

@@ -12,21 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rosterlake.llm import decontaminate, fingerprints, language, mixing, near_dedup, repeats, sharding, token_frames
 from rosterlake.llm.columns import table, whole_text
+from rosterlake.llm.models import held_out, language_model, public_file
 from rosterlake.llm.successors import with_next
 from rosterlake.session import scratch_root
 
 SHARDS = 24
-#: The vocabulary whose pieces language identification weighs.
-PIECES = "piece_bpe_32k.model"
-
-
-def public_file(name: str) -> str:
-    """The place of a file of the public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,15 +68,6 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(digests, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def language_model(docs: DataFrame) -> language.Model:
-    """Trained on the labelled documents whose crc32 of the id isn't 1 modulo 3."""
-    return language.train(docs.where(~held_out()), language.vocabulary(public_file(PIECES)))
-
-
-def held_out():
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
 def op8_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs.select("doc_id", "text"), language_model(docs))
@@ -132,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fair_mix": op4_fair_mix,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

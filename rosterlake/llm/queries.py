@@ -13,13 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterlake.llm import decontaminate, fingerprints, language, mixing, near_dedup, repeats, sharding, token_frames
+from rosterlake.llm import (
+    decontaminate,
+    fingerprints,
+    language,
+    main_text,
+    mixing,
+    near_dedup,
+    repeats,
+    sharding,
+    surrogates,
+    token_frames,
+)
 from rosterlake.llm.columns import table, whole_text
 from rosterlake.llm.models import held_out, language_model, public_file
 from rosterlake.llm.successors import with_next
 from rosterlake.session import scratch_root
 
 SHARDS = 24
+#: Keys surrogates. A deployment passes its own secret to the operator.
+SURROGATE_KEY = b"registered query"
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +74,17 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = main_text.extract(pages, main_text.train(main_text.sample(pages)))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digests = repeats.remove_repeats(docs, with_text=False)
@@ -111,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_one_permutation_fingerprints": op2_one_permutation_fingerprints,
     "op3_token_frames": op3_token_frames,
+    "op5_surrogates": op5_surrogates,
+    "op6_main_text": op6_main_text,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_unigram_language": op8_unigram_language,
     "op4_fair_mix": op4_fair_mix,

@@ -13,6 +13,7 @@ import time
 
 from checks.fixtures import table
 from checks.queries import QUERIES
+from checks.scratch import with_scratch
 from rosterlake.session import local_session
 
 DEFAULT_SF = "/root/testdata/sf0.1"
@@ -20,7 +21,7 @@ DEFAULT_SF = "/root/testdata/sf0.1"
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", DEFAULT_SF)
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    spark = with_scratch(local_session(os.environ.get("BENCH_CPUS", "8")))
     names = sys.argv[1:] or list(QUERIES)
     table(spark, sf_dir, "pages").write.format("noop").mode("overwrite").save()
     seconds = {}

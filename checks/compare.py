@@ -13,6 +13,7 @@ from rosterlake.session import local_session
 from .fixtures import TABLES
 from .oracles import ORACLES
 from .queries import QUERIES
+from .scratch import with_scratch
 
 
 def duckdb_rows(sf_dir: str, sql: str):
@@ -42,7 +43,7 @@ def differences(spark, sf_dir: str, name: str) -> str | None:
 
 def main() -> int:
     sf_dir, only = sys.argv[1], sys.argv[2:]
-    spark = local_session(8)
+    spark = with_scratch(local_session(8))
     bad = 0
     for name in only or QUERIES:
         if name not in ORACLES:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.session import spread
 from rosterlake.spec import RecordSpec
 
 TABLES = (
@@ -48,7 +47,9 @@ SELECT c_custkey AS ord, n_name AS university, c_mktsegment AS department,
  CASE c_custkey % 3 WHEN 0 THEN 'Ann ' || c_name WHEN 1 THEN c_name || ' von Berg' ELSE c_name END AS full_name,
  CASE c_custkey % 4 WHEN 0 THEN 'Prof.' WHEN 1 THEN 'Dr.' WHEN 2 THEN '' ELSE NULL END AS title,
  CASE c_custkey % 5 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Associate Professor'
-  WHEN 2 THEN 'Postdoctoral Fellow' WHEN 3 THEN 'Senior Lecturer' ELSE 'Teaching Assistant' END AS position,
+  WHEN 2 THEN CASE c_custkey % 3 WHEN 0 THEN 'Professor of Finance' WHEN 1 THEN 'HR Director' ELSE 'Postdoctoral Fellow' END
+  WHEN 3 THEN CASE c_custkey % 4 WHEN 0 THEN 'Lecturers in HR and Finance' ELSE 'Senior Lecturer' END
+  ELSE CASE c_custkey % 4 WHEN 0 THEN 'Finance Officer, Dean for IT support' ELSE 'Teaching Assistant' END END AS position,
  CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 1 THEN ''
   WHEN c_custkey % 11 = 2 THEN 'not-an-email'
   ELSE 'u' || CAST(c_custkey % 13 AS STRING) || '@' || lower(replace(n_name, '_', '-')) || '.edu' END AS email,
@@ -106,7 +107,7 @@ UNION ALL
 SELECT 'https://d/n' || CAST(c_nationkey AS STRING), 'https://d/c' || CAST(c_custkey AS STRING), 'child', c_custkey FROM customer
 UNION ALL
 SELECT 'https://d/c' || CAST(c_custkey AS STRING), 'https://d/c' || CAST(following AS STRING), 'next', CAST(0 AS BIGINT)
-FROM (SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS following FROM customer) t
+FROM (SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS following FROM customer) t
 WHERE following IS NOT NULL
 UNION ALL
 SELECT 'https://d/c' || CAST(c_custkey AS STRING), 'https://d/r' || CAST(c_custkey % 5 AS STRING), 'child', CAST(0 AS BIGINT) FROM customer
@@ -131,6 +132,26 @@ SELECT page_id, url, CASE page_id % 6
 FROM pages
 """
 
+
+
+def _run_responses(run_no: int, kind: str) -> str:
+    """Responses of one run: of kinds 0 to 2 all fail. Even pages name no further page."""
+    return f"""
+SELECT CAST({run_no} AS BIGINT) AS run_no, page_id, url, CASE {kind}
+ WHEN 0 THEN 'Sorry, I cannot parse this.'
+ WHEN 1 THEN '{{"records":[{{"field_1": broken' || url
+ WHEN 2 THEN '{{"records":[],"error":"Cloudflare challenge","next_page_url":"","child_page_urls":[]}}'
+ ELSE 'Run {run_no}: {{"static_values":{{"field_4":"Unit {run_no}"}},"records":[{{"field_1":"Prof","field_2":"P' || CAST(page_id AS STRING)
+  || '.{run_no}","field_3":null,"profile_url":"' || url || '"}},{{"title":"Dr","field_2":"Q' || CAST(page_id AS STRING)
+  || '","Email":"kept@x.edu"}}],"error":null,"next_page_url":"' || CASE page_id % 2 WHEN 0 THEN '' ELSE 'https://d/none' END
+  || '","child_page_urls":null}}' END AS response
+FROM pages"""
+
+
+SQL["fx_run_responses"] = "\nUNION ALL".join(
+    [_run_responses(1, "page_id % 6"), _run_responses(2, "(page_id + 1) % 6"), _run_responses(3, "3")]
+)
+
 SQL["fx_hits"] = """
 SELECT l_orderkey AS query_id, o_custkey AS target_id, o_orderkey % 5 AS query_no, CAST(l_linenumber AS BIGINT) AS rank,
  lower(replace(n_name, '_', '-')) || '.edu' AS domain, lower(c_mktsegment) AS department,
@@ -166,7 +187,8 @@ SQL["fx_run_events"] = """
 SELECT event_id AS run_id, ts AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at,
  CAST(NULL AS BIGINT) AS total_jobs, CAST(NULL AS BIGINT) AS successful, CAST(NULL AS BIGINT) AS failed FROM events
 UNION ALL
-SELECT event_id, CAST(NULL AS TIMESTAMP), ts, user_id + 2, user_id, CAST(2 AS BIGINT) FROM events WHERE event_type <> 'error'
+SELECT event_id, CAST(NULL AS TIMESTAMP), CASE event_type WHEN 'error' THEN NULL ELSE ts END,
+ CASE event_type WHEN 'error' THEN NULL ELSE user_id + 2 END, user_id, CAST(2 AS BIGINT) FROM events
 """
 SQL["fx_stored"] = """
 SELECT 'r' || CAST(c_custkey AS STRING) AS record_id, n_name AS university, c_mktsegment AS department,
@@ -176,6 +198,12 @@ SELECT 'r' || CAST(c_custkey AS STRING) AS record_id, n_name AS university, c_mk
  c_name AS data,
  CASE c_custkey % 2 WHEN 0 THEN 'https://people.example.edu/' || CAST(c_custkey AS STRING) ELSE NULL END AS profile_url
 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING), n_name, CASE s_suppkey % 3 WHEN 0 THEN 'NEVER SCRAPED' ELSE 'FURNITURE' END,
+ CAST('2024-01-01 00:00:00' AS TIMESTAMP), CAST('2024-02-01 00:00:00' AS TIMESTAMP),
+ CASE s_suppkey % 2 WHEN 0 THEN 'not_found' ELSE 'active' END, CASE s_suppkey % 2 WHEN 0 THEN s_suppkey % 3 + 1 ELSE 0 END,
+ s_name, NULL
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
 SQL["fx_seen"] = """
@@ -184,14 +212,13 @@ SELECT CASE o_orderkey % 20 WHEN 0 THEN 'new' || CAST(c_custkey AS STRING) ELSE
  c_name || ' / ' || o_orderpriority AS data,
  CASE o_orderkey % 3 WHEN 0 THEN 'https://new.example.edu/' || CAST(o_orderkey AS STRING) ELSE NULL END AS profile_url
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderpriority = '1-URGENT' AND c_mktsegment <> 'BUILDING'
 """
 
 SQL["fx_archive"] = """
-SELECT 'r' || CAST(c_custkey AS STRING) AS record_id, n_name AS university, c_mktsegment AS department,
- CAST('2023-01-01 00:00:00' AS TIMESTAMP) AS first_seen, CAST('2023-06-01 00:00:00' AS TIMESTAMP) AS last_seen,
+SELECT CASE WHEN c_acctbal < 3000 THEN 'r' ELSE 's' END || CAST(c_custkey AS STRING) AS record_id,
+ n_name AS university, c_mktsegment AS department, CAST('2023-01-01 00:00:00' AS TIMESTAMP) AS first_seen, CAST('2023-06-01 00:00:00' AS TIMESTAMP) AS last_seen,
  'old ' || c_name AS data, CAST('2023-07-01 00:00:00' AS TIMESTAMP) AS archived_at
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 3000
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 
 SQL["fx_departments"] = """
@@ -284,7 +311,8 @@ DETAIL_SPEC = RecordSpec.from_dict(
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in SPREAD else df
+    # a file of the test data is one split: deal its rows out to all cores
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in SPREAD else df
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -304,8 +332,8 @@ def with_fixtures(query: str, *names: str) -> str:
     if not ctes:
         return query
     recursive = ""
-    if query.upper().startswith("WITH RECURSIVE "):
-        recursive, query = "RECURSIVE ", query[len("WITH RECURSIVE ") :]
+    if query.upper().startswith("WITH RECURSIVE"):
+        recursive, query = "RECURSIVE ", query[len("WITH RECURSIVE") :].lstrip()
         return f"WITH {recursive}{ctes},\n{query}"
     if query.upper().startswith("WITH "):
         return f"WITH {ctes},\n{query[5:]}"

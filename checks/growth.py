@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import dedup, enrichment, lifecycle, links, pages, targets
 from rosterlake.operators.listing import listing_rows
-from rosterlake.session import local_session, spread
+from rosterlake.session import local_session
 from rosterlake.sinks.tables import merge_by_source_key
 from rosterlake.sources.snapshots import latest_pages
 
 from .fixtures import SPEC
+from .scratch import with_scratch
 
 SF = "/root/testdata/sf0.1"
 
@@ -33,16 +34,16 @@ def timed(name: str, df) -> None:
 
 
 def page_growth(factors: list[int]) -> None:
-    spark = local_session(8)
+    spark = with_scratch(local_session(8))
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     base = spark.read.parquet(f"{SF}/pages.parquet")
     for n in factors:
         path = f"{root}/x{n}"
         copies = spark.range(n).withColumnRenamed("id", "copy").hint("broadcast")
-        spread(base).join(copies).withColumn(
+        base.repartition(8).join(copies).withColumn(
             "url", F.concat("url", F.lit("&c="), F.col("copy"))
         ).write.parquet(path)
-        df = spread(spark.read.parquet(path))
+        df = spark.read.parquet(path)
         two = df.withColumn("run_no", F.lit(1)).unionByName(df.withColumn("run_no", F.lit(2)))
         print(f"pages x{n}: {df.count()} rows")
         timed("page_fingerprint", pages.fingerprint_snapshots(two))
@@ -55,7 +56,7 @@ def page_growth(factors: list[int]) -> None:
 
 
 def skewed_keys(rows: int) -> None:
-    spark = local_session(8)
+    spark = with_scratch(local_session(8))
     hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % (rows // 10))
     for label, key in (("even", F.col("id") % (rows // 10)), ("one key holds a third", hot)):
         k = key.cast("string")

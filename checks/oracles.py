@@ -120,7 +120,7 @@ FROM fx_records WHERE department <> 'MACHINERY'
 
 oracle("run_log", """
 SELECT run_id, epoch_us(min(started_at)) AS started_us, epoch_us(max(finished_at)) AS finished_us,
- max(total_jobs) AS total_jobs, max(successful) AS successful, max(failed) AS failed
+ arg_max(total_jobs, finished_at) AS total_jobs, arg_max(successful, finished_at) AS successful, arg_max(failed, finished_at) AS failed
 FROM fx_run_events GROUP BY run_id
 """, "fx_run_events")
 
@@ -190,15 +190,15 @@ oracle("page_flags", rf"""
 WITH f AS (
  SELECT url, run_no, html, length(html) AS n_chars,
   length(regexp_replace({TEXT}, '^\s+|\s+$', '', 'g')) > 200 AS has_content,
-  {_any("substr(html, 1, 50000)", MARKERS)}
-   OR len(list_filter(regexp_extract_all(substr(html, 1, 50000), '(?is)<script[^>]*>.*?</script>'),
+  {_any("html", MARKERS)}
+   OR len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>'),
        lambda s: {_any("lower(s)", APIS)})) > 0
    OR ({_any(f"lower({TEXT})", WORDS)} AND length(html) > 15000
        AND len(list_distinct(regexp_extract_all(html, '{EMAIL}'))) < 3
        AND NOT regexp_matches(html, '(?is)<li[^>]*>\s*(?:Prof\.|Dr\.|Professor)\s*[A-Z]')
        AND NOT regexp_matches(html, '(?is)<table[^>]*>.*?<t[rd][^>]*>\s*(?:Prof\.|Dr\.|Professor)\s+[A-Z].*?</table>')) AS is_template,
-  length(html) < 1000 OR regexp_matches(substr(html, 1, 2000), '(?i)403|forbidden|just a moment')
-   OR contains(substr(html, 1, 2000), 'cf-browser-verification') AS is_blocked,
+  length(html) < 1000 OR regexp_matches(html, '(?i)403|forbidden|just a moment')
+   OR contains(html, 'cf-browser-verification') AS is_blocked,
   len(list_distinct(regexp_extract_all(html, '{EMAIL}'))) AS n_emails
  FROM fx_snapshots)
 SELECT url, run_no, n_chars, has_content, is_template, is_blocked, n_emails,
@@ -303,9 +303,9 @@ def _words(words: str) -> str:
 
 
 def _role(column: str) -> str:
-    return (
-        f"(regexp_matches({column}, '{_words(ROLE_IN)}') AND NOT regexp_matches({column}, '{_words(ROLE_OUT)}'))"
-    )
+    field = f"(?is)((?:^|[^a-z])(?:{ROLE_IN})s?,?)\\s+(?:of|in|for)[^a-z].*"
+    own = f"regexp_replace({column}, '{field}', '\\1')"
+    return f"(regexp_matches({column}, '{_words(ROLE_IN)}') AND NOT regexp_matches({own}, '{_words(ROLE_OUT)}'))"
 
 
 LISTING_ROWS = rf"""
@@ -444,8 +444,8 @@ SELECT target_id, url AS listing_url, CAST(score AS BIGINT) AS score FROM (
 oracle("crawl_closure", """
 WITH RECURSIVE walk AS (
  SELECT DISTINCT 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS root, 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS url, 0 AS depth FROM region
- UNION
- SELECT w.root, l.dst, w.depth + 1 FROM walk w JOIN fx_links l ON l.src = w.url WHERE w.depth < 3)
+ UNION -- every page is within five links of a root: regions, nations, customers, regions, ...
+ SELECT w.root, l.dst, w.depth + 1 FROM walk w JOIN fx_links l ON l.src = w.url WHERE w.depth < 9)
 SELECT root, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, url
 """, "fx_links")
 
@@ -453,23 +453,51 @@ oracle("crawl_ancestors", """
 WITH RECURSIVE walk AS (
  SELECT 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS root, 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS url, 0 AS depth,
   '' AS steps, '' AS chain FROM region
- UNION ALL
- SELECT w.root, l.dst, w.depth + 1,
-  w.steps || CASE kind WHEN 'next' THEN '0' ELSE '1' END || lpad(CAST(l.pos AS VARCHAR), 20, '0'),
-  CASE WHEN w.depth = 0 THEN w.url ELSE w.chain || ' > ' || w.url END
- FROM walk w JOIN fx_links l ON l.src = w.url WHERE w.depth < 3)
+ UNION ALL -- of each level the first path to a page
+ SELECT root, url, depth, steps, chain FROM (
+  SELECT *, row_number() OVER (PARTITION BY root, url ORDER BY steps, chain) AS rn FROM (
+   SELECT w.root, l.dst AS url, w.depth + 1 AS depth,
+    w.steps || CASE kind WHEN 'next' THEN '0' ELSE '1' END || lpad(CAST(l.pos AS VARCHAR), 20, '0') AS steps,
+    CASE WHEN w.depth = 0 THEN w.url ELSE w.chain || ' > ' || w.url END AS chain
+   FROM walk w JOIN fx_links l ON l.src = w.url WHERE w.depth < 9)) WHERE rn = 1)
 SELECT root, url, chain AS ancestors FROM (
  SELECT *, row_number() OVER (PARTITION BY root, url ORDER BY depth, steps, chain) AS rn FROM walk) WHERE rn = 1
 """, "fx_links")
 
 oracle("pagination_walk", """
 WITH RECURSIVE walk AS (
- SELECT DISTINCT src AS root, src AS url, CAST(1 AS BIGINT) AS page_no FROM fx_links WHERE kind = 'next'
+ SELECT DISTINCT src AS root, src AS url, CAST(1 AS BIGINT) AS page_no FROM fx_links
+ WHERE kind = 'next' AND src NOT IN (SELECT dst FROM fx_links WHERE kind = 'next')
  UNION ALL
- SELECT w.root, l.dst, w.page_no + 1 FROM walk w JOIN fx_links l ON l.src = w.url AND l.kind = 'next' WHERE w.page_no < 30)
+ SELECT w.root, l.dst, w.page_no + 1 FROM walk w JOIN fx_links l ON l.src = w.url AND l.kind = 'next')
 SELECT root, url, page_no FROM walk
 """, "fx_links")
 
+oracle("crawl_order", """
+WITH RECURSIVE
+nexts AS (SELECT src, arg_min(dst, (pos, dst)) AS nxt FROM fx_links WHERE kind = 'next' GROUP BY src),
+kids AS (
+ SELECT src, list(dst ORDER BY pos, dst) AS kids
+ FROM (SELECT src, dst, min(pos) AS pos FROM fx_links WHERE kind = 'child' GROUP BY src, dst) GROUP BY src),
+walk AS ( -- a row for each step of each root: its queue of pages with the way to them, and all pages queued so far
+ SELECT 'https://d/n' || CAST(n_nationkey AS VARCHAR) AS root, CAST(0 AS BIGINT) AS visit_no, CAST(NULL AS VARCHAR) AS url,
+  CAST(0 AS BIGINT) AS depth, CAST('' AS VARCHAR) AS ancestors,
+  [{'u': 'https://d/n' || CAST(n_nationkey AS VARCHAR), 'c': CAST('' AS VARCHAR), 'd': CAST(0 AS BIGINT)}] AS queue,
+  ['https://d/n' || CAST(n_nationkey AS VARCHAR)] AS known FROM nation
+ UNION ALL
+ SELECT root, visit_no + 1, page.u, page.d, page.c,
+  list_transform(ahead, lambda u: {'u': u, 'c': onward, 'd': page.d + 1}) || rest
+   || list_transform(list_filter(children, lambda u: NOT list_contains(known || ahead, u)), lambda u: {'u': u, 'c': onward, 'd': page.d + 1}),
+  known || ahead || list_filter(children, lambda u: NOT list_contains(known || ahead, u))
+ FROM (
+  SELECT w.root, w.visit_no, w.known, w.queue[1] AS page, w.queue[2:] AS rest, coalesce(k.kids, []) AS children,
+   CASE WHEN x.nxt IS NULL OR list_contains(w.known, x.nxt) THEN [] ELSE [x.nxt] END AS ahead,
+   CASE WHEN w.queue[1].d = 0 THEN w.queue[1].u ELSE w.queue[1].c || ' > ' || w.queue[1].u END AS onward
+  FROM walk w LEFT JOIN nexts x ON x.src = w.queue[1].u LEFT JOIN kids k ON k.src = w.queue[1].u
+  WHERE len(w.queue) > 0 AND w.visit_no < 30))
+SELECT root, visit_no, url, depth, ancestors FROM walk WHERE visit_no > 0
+""", "fx_links")
+
 oracle("frontier_pruned", """
 WITH full_pages AS (
  SELECT url FROM (SELECT 'https://d/r' || CAST(o_custkey % 2 AS VARCHAR) AS url FROM orders) GROUP BY url HAVING count(*) >= 40)
@@ -564,9 +592,7 @@ UNION ALL SELECT university, name, NULL, NULL FROM found
 """, "fx_department_lists")
 
 oracle("listing_urls_found", f"""
-WITH firsts AS (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, department, query_no ORDER BY rank, url) AS rn
-  FROM fx_hits WHERE NOT {BLOCKED}) WHERE rn <= 8),
+WITH firsts AS (SELECT * FROM fx_hits WHERE NOT {BLOCKED}),
 scored AS (
  SELECT target_id, department, rank, url, CASE WHEN starts_with({HOST}, department || '.') THEN 2 ELSE 0 END
   + CASE WHEN regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/people|/staff|/faculty|/academic-staff') THEN 1 ELSE 0 END AS score
@@ -785,7 +811,7 @@ WITH per AS (
  FROM fx_page_results GROUP BY target_id),
 outcomes AS (
  SELECT t.target_id, t.university, t.department, t.link,
-  CASE WHEN p.skipped THEN 'Skipped' WHEN p.exception IS NOT NULL THEN 'failed: ' || substr(p.exception, 1, 100)
+  CASE WHEN p.skipped THEN 'Skipped' WHEN p.exception IS NOT NULL THEN 'failed: ' || p.exception
    WHEN p.first_error IS NOT NULL THEN 'failed: Listing page issue: ' || p.first_error
    WHEN p.target_id IS NULL THEN 'failed: No page HTML available for scraping.' ELSE 'completed' END AS status,
   CASE WHEN p.exception IS NOT NULL OR p.first_error IS NOT NULL THEN 0 ELSE CAST(coalesce(p.n, 0) AS BIGINT) END AS n_records,
@@ -888,19 +914,33 @@ oracle("jobs_by_status", f"WITH {JOBS} SELECT job_id, error FROM jobs WHERE stat
 oracle("jobs_recent", f"""
 WITH {JOBS} SELECT job_id, last_attempted_us FROM jobs ORDER BY last_attempted_us DESC NULLS LAST, job_id""", "fx_job_events")
 
+oracle("records_ordered", """
+SELECT university, department, record_id FROM fx_stored ORDER BY university, department, record_id""", "fx_stored")
+
+oracle("rows_numbered", """
+SELECT ord, university, department, row_number() OVER (PARTITION BY university, department ORDER BY ord) AS row_no FROM fx_records
+""", "fx_records")
+
 # --- a whole run ------------------------------------------------------------
 
+RUN_PARSED = PARSED.replace("page_id, url", "run_no, page_id, url").replace("fx_responses", "fx_run_responses")
 oracle("full_run", f"""
-WITH {PARSED},
+WITH {RUN_PARSED},
+first AS (SELECT page_id, page_id % 4 >= 2 AS changed, page_id % 2 = 0 AS leaf, page_id % 6 >= 3 AS ok1 FROM pages),
+second AS (
+ SELECT *, page_id % 7 <> 0 AND NOT (ok1 AND leaf AND NOT changed) AND (page_id + 1) % 6 >= 3 AS ok2 FROM first),
+third AS (
+ SELECT page_id, CASE WHEN NOT ((ok1 OR ok2) AND leaf AND (ok2 OR NOT changed)) THEN 3 WHEN ok2 THEN 2 ELSE 1 END AS run_no FROM second),
 recs AS (
- SELECT page_id, url, j, unnest(from_json(j->'$.records', '["JSON"]')) AS r FROM parsed WHERE parse_status = 'ok'),
+ SELECT p.page_id, url, j, unnest(from_json(j->'$.records', '["JSON"]')) AS r
+ FROM parsed p JOIN third t ON t.page_id = p.page_id AND t.run_no = p.run_no WHERE parse_status = 'ok'),
 named AS (SELECT *, lower(split_part(regexp_replace(split_part(url, '://', 2), '[/?#].*$', ''), ':', 1)) AS host FROM recs)
 SELECT 'P' || CAST(page_id AS VARCHAR) || '/' || host AS _source_key,
  coalesce(r->>'$.title', r->>'$.field_1', r->>'$.Title', '') AS "Title", coalesce(r->>'$.field_2', '') AS "Full Name",
  coalesce(CASE WHEN json_exists(r, '$.field_3') THEN r->>'$.field_3' ELSE r->>'$.Email' END, '') AS "Email",
  j->>'$.static_values.field_4' AS "Unit", host AS "Institution"
 FROM named
-""", "fx_responses")
+""", "fx_run_responses")
 
 # --- streams ----------------------------------------------------------------
 

@@ -21,12 +21,18 @@ from rosterlake.sources.targets import normalize_targets
 from rosterlake.streaming import snapshots as streams
 
 from .fixtures import DETAIL_SPEC, LISTING_SPEC, SPEC, fx, table
+from .scratch import with_scratch
 
 QUERIES: dict[str, object] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query; it may write to the scratch folder of its session."""
+
+    def run(spark, sf):
+        return fn(with_scratch(spark), sf)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -293,24 +299,23 @@ def _regions(spark, sf):
 
 @query
 def crawl_closure(spark, sf):
-    closure = traversal.crawl_closure(_regions(spark, sf), fx(spark, sf, "fx_links"), 3)
+    closure = traversal.crawl_closure(_regions(spark, sf), fx(spark, sf, "fx_links"))
     return closure.select("root", "url", "depth")
 
 
 @query
 def crawl_ancestors(spark, sf):
-    closure = traversal.crawl_closure(_regions(spark, sf), fx(spark, sf, "fx_links"), 3)
+    closure = traversal.crawl_closure(_regions(spark, sf), fx(spark, sf, "fx_links"))
     return closure.select("root", "url", F.array_join("ancestors", " > ").alias("ancestors"))
 
 
 @query
 def pagination_walk(spark, sf):
+    """Every chain of next links from its head to its end."""
     edges = fx(spark, sf, "fx_links")
-    starts = (
-        edges.where(F.col("kind") == "next")
-        .select(F.col("src").alias("root"))
-        .distinct()
-    )
+    nexts = edges.where(F.col("kind") == "next")
+    starts = nexts.select(F.col("src").alias("root")).distinct()
+    starts = starts.join(nexts.select(F.col("dst").alias("root")), "root", "left_anti")
     return traversal.pagination_walk(starts, edges)
 
 
@@ -319,7 +324,7 @@ def crawl_order(spark, sf):
     roots = table(spark, sf, "nation").select(
         F.concat(F.lit("https://d/n"), F.col("n_nationkey").cast("string")).alias("root")
     )
-    order = traversal.crawl_order(roots, fx(spark, sf, "fx_links"))
+    order = traversal.crawl_order(roots, fx(spark, sf, "fx_links"), max_pages=30)
     return order.withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
@@ -701,7 +706,21 @@ def jobs_by_status(spark, sf):
 def jobs_recent(spark, sf):
     """Jobs in order, newest attempt first, unattempted ones last."""
     jobs = _jobs(spark, sf).select("job_id", "last_attempted_us")
-    return jobs.orderBy(F.col("last_attempted_us").desc_nulls_last(), "job_id")
+    return lifecycle.recent_jobs(jobs, "last_attempted_us")
+
+
+@query
+def records_ordered(spark, sf):
+    """Stored records in listing order."""
+    rows = lifecycle.ordered_records(fx(spark, sf, "fx_stored"))
+    return rows.select("university", "department", "record_id")
+
+
+@query
+def rows_numbered(spark, sf):
+    """Place of every record among those of its university and department."""
+    rows = records.number_rows(_records(spark, sf), ("university", "department"), ("ord",))
+    return rows.select("ord", "university", "department", "row_no")
 
 
 # --- a whole run ------------------------------------------------------------
@@ -709,18 +728,38 @@ def jobs_recent(spark, sf):
 
 @query
 def full_run(spark, sf):
-    """Every page is the listing page of a target; records of the ones that parse."""
+    """Three runs over pages of which half change after the first.
+
+    Every page is the listing page of a target. Responses fail for half the pages in the
+    first two runs; one target in seven is not processed in the second. What changed
+    meanwhile, or failed, is made up for in the third; the rest is skipped there.
+    """
     p = table(spark, sf, "pages")
+    no_status = F.lit(None).cast("string")
     t = p.select(
         U.host("url").alias("university"),
         F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("department"),
         F.col("url").alias("link"),
-        F.lit(None).cast("string").alias("status"),
+        F.when(F.col("page_id") % 7 == 0, "completed").alias("_second"),
     )
+    changed = F.when(
+        F.col("page_id") % 4 >= 2, F.concat("html", F.lit("<p>another entry</p>"))
+    ).otherwise(F.replace(F.col("html"), F.lit('class="ad"'), F.lit('class="ad-17"')))
+    later = p.select("url", changed.alias("html"))
+    answers = fx(spark, sf, "fx_run_responses")
     store = roster_run.RosterStore(
         spark, f"{scratch_root(spark)}/roster/{uuid.uuid4().hex}", LISTING_SPEC
     )
-    roster_run.run(store, 1, t, p.select("url", "html"), fx(spark, sf, "fx_responses"), first_run=True)
+    for run_no, found in ((1, p.select("url", "html")), (2, later), (3, later)):
+        status = F.col("_second") if run_no == 2 else no_status
+        roster_run.run(
+            store,
+            run_no,
+            t.withColumn("status", status).drop("_second"),
+            found,
+            answers.where(F.col("run_no") == run_no).select("url", "response"),
+            first_run=run_no == 1,
+        )
     return store.records.current().drop("run_no")
 
 

@@ -47,10 +47,8 @@ STAFF_WORDS = (
     "professor", "associate", "lecturer", "faculty",
     "academic staff", "teaching staff", "staff directory",
 )
-TEMPLATE_HEAD_CHARS = 50_000
 TEMPLATE_MIN_CHARS = 15_000
 TEMPLATE_MIN_EMAILS = 3
-BLOCKED_HEAD_CHARS = 2_000
 BLOCKED_MIN_CHARS = 1_000
 BLOCKED_HEAD_PATTERN = r"(?i)403|forbidden|just a moment"
 BLOCKED_TITLE_TEXTS = ("403", "Forbidden", "Just a moment")
@@ -130,11 +128,8 @@ NO_PAGE_ERROR = "No page HTML available for scraping."
 
 # --- limits that are part of the rules --------------------------------------
 
-MAX_PAGES = 30
 ERROR_BUDGET = 5
-ERROR_TEXT_CHARS = 100
 EXPIRY_SECONDS = 30 * 24 * 3600
-SEARCH_HITS_LISTING = 8
 SEARCH_HITS_DISCOVERY = 5
 QUERIES_WITH_DEPARTMENT = (
     "{u} {d} faculty", "{u} {d} academic staff", "{u} department of {d} faculty",

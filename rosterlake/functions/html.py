@@ -56,25 +56,33 @@ def visible_text(html: Column | str) -> Column:
     return F.regexp_replace(as_col(html), r"<[^>]+>", " ")
 
 
-def has_content(html: Column | str) -> Column:
-    return F.length(strip(visible_text(html))) > fv.CONTENT_MIN_CHARS
+def _head(html: Column, chars: int | None) -> Column:
+    return html if chars is None else F.substring(html, 1, chars)
 
 
-def is_template(html: Column | str) -> Column:
+def has_content(html: Column | str, min_chars: int = fv.CONTENT_MIN_CHARS) -> Column:
+    """Whether the visible text has more than ``min_chars`` characters."""
+    return F.length(strip(visible_text(html))) > min_chars
+
+
+def is_template(
+    html: Column | str, head_chars: int | None = None, min_chars: int = fv.TEMPLATE_MIN_CHARS
+) -> Column:
     """Pages whose records are filled in by scripts and so need rendering.
 
-    Framework markers and data scripts are looked for in the head of the page
-    (that is the rule); the staff tests read the whole page.
+    Framework markers and data scripts are looked for in the whole page, or in
+    its first ``head_chars``; only pages of more than ``min_chars`` can be
+    templates for mentioning staff without listing any.
     """
     html = as_col(html)
-    head = F.substring(html, 1, fv.TEMPLATE_HEAD_CHARS)
+    head = _head(html, head_chars)
     framework = contains_any(head, fv.TEMPLATE_MARKERS)
     scripts = F.regexp_extract_all(head, F.lit(r"(?is)<script[^>]*>.*?</script>"), 0)
     data_script = F.exists(scripts, lambda s: contains_any(F.lower(s), fv.DATA_API_MARKERS))
     # cheap tests first: the rest is only evaluated for long pages
     person = fv.TITLE_PREFIX_PATTERN
     staff_without_rows = (
-        (F.length(html) > fv.TEMPLATE_MIN_CHARS)
+        (F.length(html) > min_chars)
         & contains_any(F.lower(visible_text(html)), fv.STAFF_WORDS)
         & (F.size(emails_in(html)) < fv.TEMPLATE_MIN_EMAILS)
         & ~html.rlike(rf"(?is)<li[^>]*>[{fv.SPACE}]*{person}[{fv.SPACE}]*[A-Z]")
@@ -85,41 +93,39 @@ def is_template(html: Column | str) -> Column:
     return framework | data_script | staff_without_rows
 
 
-def is_blocked(html: Column | str) -> Column:
-    """Missing, very short, refused or challenge pages; never NULL."""
+def is_blocked(
+    html: Column | str, head_chars: int | None = None, min_chars: int = fv.BLOCKED_MIN_CHARS
+) -> Column:
+    """Missing, refused or challenge pages and those under ``min_chars``; never NULL.
+
+    The signs are looked for in the whole page, or in its first ``head_chars``.
+    """
     html = as_col(html)
-    head = F.substring(html, 1, fv.BLOCKED_HEAD_CHARS)
+    head = _head(html, head_chars)
     return F.coalesce(
-        (F.length(html) < fv.BLOCKED_MIN_CHARS)
+        (F.length(html) < min_chars)
         | head.rlike(fv.BLOCKED_HEAD_PATTERN)
         | head.contains(fv.BLOCKED_MARKER),
         F.lit(True),
     )
 
 
-def is_blocked_render(html: Column | str, title: Column | str) -> Column:
+def is_blocked_render(
+    html: Column | str,
+    title: Column | str,
+    head_chars: int | None = None,
+    min_chars: int = fv.BLOCKED_MIN_CHARS,
+) -> Column:
     """The same test for rendered pages, which know their title."""
     html, title = as_col(html), or_empty(title)
     return F.coalesce(
-        (F.length(html) < fv.BLOCKED_MIN_CHARS)
+        (F.length(html) < min_chars)
         | contains_any(title, fv.BLOCKED_TITLE_TEXTS)
-        | F.substring(html, 1, fv.BLOCKED_HEAD_CHARS).contains(fv.BLOCKED_MARKER),
+        | _head(html, head_chars).contains(fv.BLOCKED_MARKER),
         F.lit(True),
     )
 
 
-def anchor_parts(html: Column | str) -> Column:
-    """All anchors as an array of (href, text) in page order."""
-    pattern = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
-    hrefs = F.regexp_extract_all(as_col(html), F.lit(pattern), 1)
-    texts = F.regexp_extract_all(as_col(html), F.lit(pattern), 2)
-    return F.zip_with(
-        hrefs,
-        texts,
-        lambda h, t: F.struct(h.alias("href"), strip(visible_text(t)).alias("text")),
-    )
-
-
 def hrefs(html: Column | str) -> Column:
     return F.regexp_extract_all(
         as_col(html), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>'), 1

@@ -83,9 +83,15 @@ def title_prefix(c: ColumnOrName) -> Column:
 
 
 def has_included_role(c: ColumnOrName) -> Column:
-    """Teaching and research roles; an excluded role wins, NULL is not a role."""
+    """Teaching and research roles; an excluded role wins, NULL is not a role.
+
+    What follows "of", "in" or "for" after an included role is its field, which
+    excludes nothing: a professor of finance is no finance officer.
+    """
     c = or_empty(c)
-    return c.rlike(word_list_pattern(fv.ROLE_INCLUDE)) & ~c.rlike(
+    roles = "|".join(fv.ROLE_INCLUDE)
+    own = F.regexp_replace(c, rf"(?is)((?:^|[^a-z])(?:{roles})s?,?)\s+(?:of|in|for)[^a-z].*", "$1")
+    return c.rlike(word_list_pattern(fv.ROLE_INCLUDE)) & ~own.rlike(
         word_list_pattern((*fv.ROLE_EXCLUDE, "postdoctoral"))
     )
 

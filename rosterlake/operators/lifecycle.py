@@ -240,3 +240,13 @@ def schema_version(spark: SparkSession, spec: RecordSpec, applied_at: Column) ->
         applied_at.cast("timestamp").alias("applied_at"),
         F.lit(spec.columns_json()).alias("columns_json"),
     )
+
+
+def ordered_records(records: DataFrame) -> DataFrame:
+    """Stored records in the order they are listed: by scope, then by id."""
+    return records.orderBy("university", "department", "record_id")
+
+
+def recent_jobs(jobs: DataFrame, attempted: str = "last_attempted") -> DataFrame:
+    """Jobs, newest attempt first, unattempted ones last."""
+    return jobs.orderBy(F.col(attempted).desc_nulls_last(), "job_id")

@@ -14,20 +14,34 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", H.clean("html"))
 
 
-def page_flags(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Content, template and block tests per page, with the resulting route."""
+def page_flags(
+    pages: DataFrame,
+    keep: tuple[str, ...] = ("url",),
+    head_chars: int | None = None,
+    content_chars: int = fv.CONTENT_MIN_CHARS,
+    template_chars: int = fv.TEMPLATE_MIN_CHARS,
+    blocked_chars: int = fv.BLOCKED_MIN_CHARS,
+    accept_chars: int = fv.ACCEPT_MIN_CHARS,
+) -> DataFrame:
+    """Content, template and block tests per page, with the resulting route.
+
+    Markers are looked for in whole pages (``head_chars``: only in so many first
+    characters). A page has content from ``content_chars`` of visible text on,
+    may be a template for its staff words from ``template_chars`` on, is blocked
+    under ``blocked_chars`` and accepted without rendering from ``accept_chars`` on.
+    """
     flags = pages.select(
         *keep,
         F.length("html").cast("bigint").alias("n_chars"),
-        F.coalesce(H.has_content("html"), F.lit(False)).alias("has_content"),
-        F.coalesce(H.is_template("html"), F.lit(False)).alias("is_template"),
-        H.is_blocked("html").alias("is_blocked"),
+        F.coalesce(H.has_content("html", content_chars), F.lit(False)).alias("has_content"),
+        F.coalesce(H.is_template("html", head_chars, template_chars), F.lit(False)).alias("is_template"),
+        H.is_blocked("html", head_chars, blocked_chars).alias("is_blocked"),
         F.coalesce(F.size(emails_in("html")), F.lit(0)).cast("bigint").alias("n_emails"),
     )
     accepted = (
         F.col("has_content")
         & ~F.col("is_template")
-        & F.coalesce(F.col("n_chars") >= fv.ACCEPT_MIN_CHARS, F.lit(False))
+        & F.coalesce(F.col("n_chars") >= accept_chars, F.lit(False))
     )
     return flags.withColumn(
         "page_route",

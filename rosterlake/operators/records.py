@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -152,3 +153,8 @@ def results_filtered(
     fields = F.create_map(*[x for c in shown for x in (F.lit(c), col(c))])
     present = F.map_filter(fields, lambda _, v: v.isNotNull() & ~v.isin("", "nan", "None"))
     return out.select(present.alias("record")).where(F.size("record") > 0)
+
+
+def number_rows(rows: DataFrame, scope: tuple[str, ...], order: tuple[str, ...], name: str = "row_no") -> DataFrame:
+    """Number the rows of each scope from 1, as they stand in its part of the output."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*scope).orderBy(*order)).cast("bigint"))

@@ -76,15 +76,24 @@ def apply_status(targets: DataFrame, updates: DataFrame, order: str = "seq") ->
     )
 
 
-def append_targets(targets: DataFrame, new: DataFrame, dedupe: bool = True) -> DataFrame:
+def append_targets(
+    targets: DataFrame, new: DataFrame, dedupe: bool = True, order: tuple[str, ...] = ()
+) -> DataFrame:
     """Append rows; columns they lack become NULL.
 
-    With ``dedupe`` a key that is already there, or comes twice, is added once.
+    With ``dedupe`` a key that is already there, or comes twice, is added once: its
+    first row by the ``order`` columns, then by all others.
     """
     if dedupe:
+        rest = [c for c in new.columns if c not in KEY]
+        if rest:
+            by = [*order, *(c for c in rest if c not in order)]
+            first = new.groupBy(*KEY).agg(F.min(F.struct(*by)).alias("_first"))
+            new = first.select(*[c if c in KEY else F.col("_first")[c].alias(c) for c in new.columns])
+        else:
+            new = new.distinct()
         new = (
             new.alias("n")
-            .dropDuplicates(list(KEY))
             .join(targets.select(*KEY).distinct().alias("t"), _same_key("n", "t"), "left_anti")
         )
     return targets.unionByName(new, allowMissingColumns=True)
@@ -169,7 +178,7 @@ def target_outcomes(targets: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``pages(target_id, page_no, n_records, page_error, skipped, exception)`` has
     one row per visited page. An error on the first page fails the target, on a
-    later page it drops that page only; exception text is cut to 100 characters.
+    later page it drops that page only; exception text is kept whole.
     """
     error = F.nullif(F.col("page_error"), F.lit(""))
     good = error.isNull()
@@ -185,7 +194,7 @@ def target_outcomes(targets: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(F.col("_skipped"), fv.STATUS_SKIPPED)
         .when(
             F.col("_exception").isNotNull(),
-            F.concat(failed, F.substring("_exception", 1, fv.ERROR_TEXT_CHARS)),
+            F.concat(failed, "_exception"),
         )
         .when(
             F.col("_first_error").isNotNull(),

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
 from ..functions.urls import is_http
 from ..session import StepTables
 
@@ -31,8 +30,13 @@ def _step_key() -> Column:
     )
 
 
-def crawl_closure(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
-    """(root, url, depth, ancestors) for all pages within ``max_depth`` links.
+def crawl_closure(
+    roots: DataFrame, links: DataFrame, max_depth: int | None = None
+) -> DataFrame:
+    """(root, url, depth, ancestors) for all pages that a root reaches.
+
+    ``max_depth`` keeps pages within that many links; without it levels are added
+    until one brings nothing new. The result holds each root with all its pages.
 
     A page gets its smallest depth. Among the paths of that length the first in
     page order (next before children, children by position) gives the ancestors.
@@ -51,7 +55,9 @@ def crawl_closure(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFra
             F.array().cast("array<struct<k:int,p:bigint>>").alias("_path"),
         ),
     )
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         reached = frontier.join(edges, F.col("url") == F.col("src")).select(
             "root",
             F.col("dst").alias("url"),
@@ -79,18 +85,19 @@ def crawl_closure(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFra
 
 
 def pagination_walk(
-    starts: DataFrame, links: DataFrame, max_pages: int = fv.MAX_PAGES
+    starts: DataFrame, links: DataFrame, max_pages: int | None = None
 ) -> DataFrame:
     """(root, page_no, url): follow next links from every start page.
 
     A walk ends when there is no usable next page, when the next page was
-    visited before, or at ``max_pages`` (the page budget is part of the rule).
+    visited before, or at ``max_pages`` if a budget is given.
     A page with several next links follows the first by position.
 
     Every page has one successor, so walks double: knowing the pages up to n and
     where n steps lead from any page gives the pages up to 2n. A walk of n pages
-    takes log2(n) rounds. Repeats of a cycle are dropped at the end, since from
-    the first repeat on a walk holds nothing new.
+    takes log2(n) rounds. Repeats of a cycle are dropped in each round, since from
+    the first repeat on a walk holds nothing new. Start at heads of chains: a
+    walk from every page of a chain of n pages has n * n / 2 rows.
     """
     steps = StepTables(starts.sparkSession)
     jump = (
@@ -103,20 +110,24 @@ def pagination_walk(
         "root", F.col("root").alias("url"), F.lit(1).cast("bigint").alias("page_no")
     ).distinct()
     reach = 1
-    while reach < max_pages:
+    walks = steps.write("walks", walks)
+    while max_pages is None or reach < max_pages:
         jump = steps.write("jump", jump)
-        further = walks.join(jump, F.col("url") == F.col("src")).select(
-            "root", F.col("dst").alias("url"), (F.col("page_no") + reach).alias("page_no")
+        further = (
+            walks.join(jump, F.col("url") == F.col("src"))
+            .select("root", F.col("dst").alias("url"), (F.col("page_no") + reach).alias("page_no"))
+            .groupBy("root", "url")
+            .agg(F.min("page_no").alias("page_no"))
+            .join(walks.select("root", "url"), ["root", "url"], "left_anti")
         )
-        walks = steps.write("walks", walks.unionByName(further))
+        further = steps.write("walks", further)
+        if further.isEmpty():
+            break
+        walks = steps.union("walks")
         onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
         jump = jump.join(onward, "dst").select("src", F.col("far").alias("dst"))
         reach *= 2
-    return (
-        walks.where(F.col("page_no") <= max_pages)
-        .groupBy("root", "url")
-        .agg(F.min("page_no").alias("page_no"))
-    )
+    return walks if max_pages is None else walks.where(F.col("page_no") <= max_pages)
 
 
 def frontier_pruned(
@@ -138,8 +149,8 @@ def frontier_pruned(
     return links.join(full, "src", "left_anti")
 
 
-def _expansion_links(links: DataFrame, max_pages: int) -> DataFrame:
-    """The links a walk of at most ``max_pages`` pages can ever need.
+def _expansion_links(links: DataFrame, max_pages: int | None) -> DataFrame:
+    """The links a walk of at most ``max_pages`` pages can ever need (None: all).
 
     Per page: its first next link; its first ``max_pages`` distinct children,
     since the pages already known and those still to be visited add up to no
@@ -157,6 +168,8 @@ def _expansion_links(links: DataFrame, max_pages: int) -> DataFrame:
         .groupBy("src", "dst")
         .agg(F.min("pos").alias("p"))
     )
+    if max_pages is None:
+        return nexts.unionByName(children.select("src", "dst", F.lit(1).alias("k"), "p"))
     by_place = W.partitionBy("src").orderBy("p", "dst")
     first = (
         children.withColumn("_rn", F.row_number().over(by_place))
@@ -170,18 +183,18 @@ def _expansion_links(links: DataFrame, max_pages: int) -> DataFrame:
 
 
 def crawl_order(
-    roots: DataFrame, links: DataFrame, max_pages: int = fv.MAX_PAGES
+    roots: DataFrame, links: DataFrame, max_pages: int | None = None
 ) -> DataFrame:
     """(root, visit_no, url, depth, ancestors) in exact visiting order.
 
     From each root a next page is visited right after its page, children queue
     up behind everything queued before; every URL is queued once, by the page
-    that offers it first; at most ``max_pages`` pages are visited.
+    that offers it first; with a budget at most ``max_pages`` pages are visited.
 
     One round handles, for all roots at once, the queue up to and including the
     first page with a usable next link: until there the order is settled. So the
-    number of rounds is that of levels plus next links followed. Only the front
-    of a queue, as far as the budget reaches, is ever ordered; that is a top n,
+    number of rounds is that of levels plus next links followed. With a budget only
+    the front of a queue, as far as it reaches, is ever ordered; that is a top n,
     cut before the shuffle, however long the queue is.
     """
     steps = StepTables(roots.sparkSession)
@@ -203,7 +216,9 @@ def crawl_order(
     )
     in_line = W.partitionBy("root").orderBy("place")
     is_next = F.col("o.k") == 0
-    for round_no in range(1, max_pages + 1):
+    round_no = 0
+    while max_pages is None or round_no < max_pages:
+        round_no += 1
         visited = (
             state.where(F.col("visit_no").isNotNull())
             .groupBy("root")
@@ -212,12 +227,12 @@ def crawl_order(
         front = (
             state.where(F.col("visit_no").isNull())
             .withColumn("rn", F.row_number().over(in_line))
-            .where(F.col("rn") <= max_pages)
+            .where(F.lit(True) if max_pages is None else F.col("rn") <= max_pages)
         )
         ahead = (
             front.join(visited, "root", "left")
             .withColumn("visit_no", F.coalesce("visited", zero) + F.col("rn"))
-            .where(F.col("visit_no") <= max_pages)
+            .where(F.lit(True) if max_pages is None else F.col("visit_no") <= max_pages)
             .select("root", "url", "ancestors", "visit_no")
         )
         ahead = steps.write("ahead", ahead)

@@ -43,17 +43,13 @@ def find_listing_urls(target_rows: DataFrame, hit_rows: DataFrame) -> DataFrame:
     """Targets with the best listing page among their search hits.
 
     ``hit_rows(university, department, query_no, rank, url, domain)``. Blocked
-    hosts are dropped, every query counts its first hits, the URLs of all
-    queries are ranked together. A target without a usable hit stays as it is.
+    hosts are dropped and the hits of all queries are ranked together, every one of them. A target without a usable hit stays as it is.
     """
     key = ["university", "department"]
     open_targets = targets.missing_link_targets(target_rows).select(*key).distinct()
     mine = links.allowed_urls(hit_rows).join(open_targets, key, "left_semi")
-    first = hits.top_hits(
-        mine.withColumn("_q", F.struct(*key, "query_no")), fv.SEARCH_HITS_LISTING, query="_q"
-    )
     best = hits.best_listing_url(
-        first.withColumn("_dept", X.or_empty("department")), key, "domain", "_dept"
+        mine.withColumn("_dept", X.or_empty("department")), key, "domain", "_dept"
     )
     updates = best.select(
         *key,

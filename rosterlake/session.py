@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +34,11 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would lose the steps together with an executor.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = os.path.join(tempfile.gettempdir(), "rosterlake-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named
 
 
 class StepTables:
@@ -75,14 +65,8 @@ class StepTables:
         schema = self._spark.read.parquet(paths[0]).schema
         return self._spark.read.schema(schema).parquet(*paths)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a scan with few splits one task per core.
-
-    A large table has more splits than cores and passes through unshuffled.
-    Call it on plain scans only: counting splits plans the frame.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    def close(self) -> None:
+        """Delete the steps, once nothing that reads them is needed any more."""
+        jvm = self._spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._root)
+        path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

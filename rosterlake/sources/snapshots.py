@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
-
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Page table, spread over all cores when the files have few splits."""
-    return spread(spark.read.format(fmt).load(path))
+    """Page table; ``spark.sql.files.maxPartitionBytes`` sets the size of its splits."""
+    return spark.read.format(fmt).load(path)
 
 
 def latest_pages(

@@ -45,7 +45,7 @@ FILL = "<p>" + "lorem ipsum " * 1500 + "</p>"
     [
         ("<div>{{ name }}</div>", True),
         ('<div id="root"></div>', True),
-        (" " * 50_000 + "{{ late }}", False),
+        (" " * 50_000 + "{{ late }}", True),
         ("<script>fetch('/x')</script>", True),
         ("<SCRIPT>XMLHttpRequest</SCRIPT>", True),
         ("<p>fetch(</p>", False),
@@ -69,7 +69,7 @@ def test_template_pages(value, html, want):
         ("x" * 999, True),
         ("x" * 1000, False),
         ("<title>Just A Moment</title>" + "x" * 1000, True),
-        ("x" * 2000 + "forbidden", False),
+        ("x" * 2000 + "forbidden", True),
         ("cf-browser-verification" + "x" * 1000, True),
     ],
 )
@@ -126,3 +126,10 @@ def test_cache_buster_patterns_match_the_plain_form(value):
         for pattern, to in plain:
             want = re.sub(pattern, to, want)
         assert value(comparable, text) == want.strip()
+
+
+def test_heads_of_pages_by_choice(value):
+    late = "x" * 2000 + "forbidden {{ late }}"
+    assert value(lambda c: H.is_blocked(c, head_chars=2000), late) is False
+    assert value(lambda c: H.is_template(c, head_chars=2000), late) is False
+    assert value(lambda c: H.is_blocked(c, min_chars=5000), "x" * 2000) is True

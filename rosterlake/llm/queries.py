@@ -27,9 +27,12 @@ from rosterlake.llm import (
 )
 from rosterlake.llm.columns import table, whole_text
 from rosterlake.llm.models import held_out, language_model, public_file
+from rosterlake.llm.oracles import ORACLES
 from rosterlake.llm.successors import with_next
 from rosterlake.session import scratch_root
 
+__all__ = ["ORACLES", "QUERIES"]
+
 SHARDS = 24
 #: Keys surrogates. A deployment passes its own secret to the operator.
 SURROGATE_KEY = b"registered query"
@@ -144,5 +147,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}

@@ -54,7 +54,7 @@ def add_slot(df: DataFrame, shard: str, order: Sequence[str], rows: int, name: s
     """
     blocks = max(1, rows // BLOCK_ROWS)
     block, before = unused(df, "_block"), unused(df, "_before")
-    placed = df.withColumn(block, F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    placed = df.withColumn(block, F.pmod(hash52(F.lit("slot"), *[F.col(c) for c in order]), F.lit(blocks)))
     counts = placed.groupBy(shard, block).agg(F.count("*").alias(before))
     so_far = Window.partitionBy(shard).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(before, F.coalesce(F.sum(before).over(so_far), F.lit(0)))

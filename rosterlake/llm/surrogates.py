@@ -153,7 +153,7 @@ class Stream:
 def _same_shape(text: str, numbers: Stream) -> str:
     """Letters for letters of the same case, digits for digits, the rest as is;
     hexadecimal digits for those of a long number in them."""
-    if re.fullmatch("[0-9a-f]{12,}", text):
+    if re.fullmatch("[0-9a-f]{12,}", text) and not text.isdigit():
         return "".join("0123456789abcdef"[numbers.below(16)] for _ in text)
     out = []
     for c in text:

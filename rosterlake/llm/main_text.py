@@ -327,20 +327,30 @@ INSERTS = (
     '<div class="comments"><article class="comment"><p>{t}</p></article><ol><li>{t}</li></ol></div>',
     '<ol class="comment-list"><li class="reply"><p>{t}</p></li><li><p>{t}</p></li></ol>',
     '<div class="reader-comments"><p>{t}</p><p>{t}</p></div>',
+    "<footer>{s}</footer>",
+    "<footer>&copy; {t}</footer>",
+    "<header>{s}</header>",
+    "<nav>{s}</nav>",
+    "<aside>{t}</aside>",
+    '<div class="footer">{t}</div>',
+    '<section class="comments">{t}</section>',
+    '<div class="sidebar">{t}</div>',
     '<div class="share-buttons"><a href="#">{s}</a><a href="#">{s}</a></div>',
 )
 #: What holds the article in training pages.
 HOLDERS = ("article", "main", 'div class="content"', 'div id="main-text"', 'section class="post-body"', "div", 'div class="entry"', 'article class="story"')
 #: Stands around the numbers of main blocks in training pages: a private character.
 MARK = chr(0xE000)
-FILLER = "the text of a page that says one thing after another, and then some more of it. "
+FILLER = "the text of page that says one thing after another and then some more of it all day long in many other words".split()
+#: Articles made of filler words that training sees besides those of pages.
+MADE_BODIES = 40
 
 
 def training_page(body: list[str], others: list[str], rng: random.Random, plain: bool) -> tuple[str, set[str]]:
     """A page and the marks of its main blocks; each block of it starts with a mark."""
 
     def text(most: int) -> str:
-        words = rng.choice(others).split() if others else FILLER.split()
+        words = rng.choice(others).split() if others else FILLER
         return html_module.escape(" ".join(words[: rng.randint(1, most)]))
 
     def insert() -> str:
@@ -364,6 +374,20 @@ def training_page(body: list[str], others: list[str], rng: random.Random, plain:
     return f"<html><body>{''.join(before)}{main}{''.join(after)}</body></html>", marks
 
 
+def _made_body(rng: random.Random) -> list[str]:
+    """A headline and paragraphs of a few to a hundred words, in sentences."""
+
+    def sentence(n: int) -> str:
+        words = rng.choices(FILLER, k=n)
+        marks = [w + ("," if rng.random() < 0.1 else "") for w in words[:-1]]
+        return " ".join([*marks, words[-1]]).capitalize() + "."
+
+    blocks = [sentence(rng.randint(2, 9)).rstrip(".")]
+    for _ in range(rng.randint(1, 10)):
+        blocks.append(" ".join(sentence(rng.randint(3, 20)) for _ in range(rng.randint(1, 6))))
+    return blocks
+
+
 def train(pages: list[str], seed: int = 0, copies: int = 4) -> BoostedTrees:
     """Fit on pages with an ``article`` or ``main``, and on changed copies of them."""
     rng = random.Random(seed)
@@ -390,8 +414,8 @@ def train(pages: list[str], seed: int = 0, copies: int = 4) -> BoostedTrees:
         if main:
             learn(page, main)
             bodies.append([t for node, t in page.blocks if node in main])
-    bodies = bodies or [[FILLER * k for k in (1, 3, 5, 2, 4)]]
-    for k in range(max(copies * len(bodies), 40)):
+    bodies += [_made_body(rng) for _ in range(MADE_BODIES)]
+    for k in range(copies * len(bodies)):
         body = bodies[k % len(bodies)]
         others = [t for _ in range(4) for t in rng.choice(bodies)]
         source, _ = training_page(body, others, rng, plain=k % copies == 0)
@@ -402,8 +426,12 @@ def train(pages: list[str], seed: int = 0, copies: int = 4) -> BoostedTrees:
 
 def sample(pages: DataFrame, html: str = "html", key: str = "url", most: int = SAMPLE_PAGES) -> list[str]:
     """At most ``most`` pages: those with the least hashes of their key."""
-    rows = pages.where(F.col(html).isNotNull()).select(F.xxhash64(key, html).alias("h"), F.col(html).alias("p"))
-    return [r["p"] for r in rows.orderBy("h").limit(most).collect()]
+    pages = pages.where(F.col(html).isNotNull())
+    # a few times the sample passes the hash, so few pages are sent anywhere
+    share = 2 * most / max(1, pages.count()) + 1e-6
+    rows = pages.select(F.xxhash64(key, html).alias("h"), F.col(html).alias("p"))
+    some = rows.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share)
+    return [r["p"] for r in some.orderBy("h").limit(most).collect()]
 
 
 def _text(page: Page, log_odds: np.ndarray) -> str:

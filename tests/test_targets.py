@@ -111,7 +111,7 @@ def test_outcomes(spark):
     got = {r["target_id"]: (r["status"], r["n_records"]) for r in targets.target_outcomes(df, pages).collect()}
     assert got == {
         0: ("completed", 5), 1: ("failed: Listing page issue: Cloudflare", 0), 2: ("Skipped", 0),
-        3: ("failed: " + "x" * 100, 0), 4: ("completed", 0),
+        3: ("failed: " + "x" * 200, 0), 4: ("completed", 0),
         5: ("failed: No page HTML available for scraping.", 0), 6: ("completed", 0),
     }
     summary = targets.run_summary(targets.target_outcomes(df, pages)).first().asDict()

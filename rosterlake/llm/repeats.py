@@ -16,11 +16,13 @@ places, so two copies share a chosen suffix together with the bytes before it.
    agrees with whom: a place is repeated from r bytes before the suffix on if another
    agrees in r bytes before and ``length`` - r bytes after it.
 4. A splitter never parts equal beginnings, so nothing is to be compared across
-   it. A key of more than ``bucket_rows`` places doesn't fit a bucket: its
-   strings are compared across all tasks by their hashes, which spreads any such key.
+   it. A key of more than ``bucket_rows`` places doesn't fit a bucket: its equal
+   surroundings are first counted, and only different ones sorted. If even those are
+   too many, strings are compared across all tasks by their hashes, which spreads any key.
 
 Texts are hashed to 64 bits; equal texts are sorted once and removed as a whole
-where they have ``length`` bytes, so thousands of copies cost one.
+where they have ``length`` bytes, so thousands of copies cost one. The list of
+places, a large table, is made twice rather than written.
 
 * Null texts are empty; texts shorter than ``length`` are never touched.
 * Overlaps count, also of a text with itself. Removal is judged on the input.
@@ -47,7 +49,7 @@ KEY_BYTES = 50
 #: Places of one key that are compared in one task.
 BUCKET_ROWS = 1 << 17
 #: Places that a task gathers before it sorts.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 10_000
 #: Places in a range between two splitters, on average.
 RANGE_ROWS = 40_000
 
@@ -175,17 +177,17 @@ def _cutter(length: int):
         names = ["range", "key", "hot", "text_key", "place", "before", "after"]
         for batch in batches:
             rows = []
-            for text, text_key, chosen in zip(batch["text"], batch["text_key"], batch["chosen"], strict=True):
+            columns = [batch[c] for c in ("text", "text_key", "place", "key", "range", "hot")]
+            for text, text_key, *chosen in zip(*columns, strict=True):
                 raw = text.encode("utf-8", "replace")
-                for c in chosen:
-                    a = c["place"]
-                    row = (c["range"], c["key"], c["hot"], text_key, a, raw[max(0, a - length + KEY_BYTES) : a], raw[a : a + length])
-                    rows.append(row)
+                for a, key, part, hot in zip(*(c.tolist() for c in chosen), strict=True):
+                    rows.append((part, key, hot, text_key, a, raw[max(0, a - length + KEY_BYTES) : a], raw[a : a + length]))
                 if len(rows) > CHUNK_ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=names)
+                rows = []
 
     return cut
 
@@ -193,36 +195,58 @@ def _cutter(length: int):
 CUT = "range int, key long, hot boolean, text_key long, place int, before binary, after binary"
 
 
-def _sorter(length: int):
-    """Spans of the places of whole keys; rows come sorted by key."""
-
-    def found(keep: pd.DataFrame) -> pd.DataFrame:
-        low, high = repeated_reach(keep["before"].tolist(), keep["after"].tolist(), length)
-        hit = high >= 0
-        place = keep["place"].to_numpy()[hit]
-        return pd.DataFrame(
-            {"text_key": keep["text_key"].to_numpy()[hit], "start": place - high[hit], "end": place - low[hit] + length}
-        )
+def _by_keys(rows_of, size: int):
+    """Apply ``rows_of`` to runs of whole keys of rows that come sorted by key."""
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size = 0
+        n = 0
         for batch in batches:
             if batch.empty:
                 continue
             held.append(batch)
-            size += len(batch)
-            if size >= CHUNK_ROWS:
+            n += len(batch)
+            if n >= size:
                 rows = pd.concat(held, ignore_index=True)
                 last = rows["key"].iloc[-1]  # its places may go on in the next batch
                 whole = int(np.argmax(rows["key"].to_numpy() == last))
                 if whole:
-                    yield found(rows.iloc[:whole])
-                held, size = [rows.iloc[whole:]], len(rows) - whole
-        if size:
-            yield found(pd.concat(held, ignore_index=True))
+                    yield rows_of(rows.iloc[:whole])
+                held, n = [rows.iloc[whole:]], len(rows) - whole
+        if n:
+            yield rows_of(pd.concat(held, ignore_index=True))
+
+    return over
+
+
+def _sorter(length: int):
+    """Spans of the places of whole keys; rows come sorted by key."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = repeated_reach(rows["before"].tolist(), rows["after"].tolist(), length)
+        hit = high >= 0
+        place = rows["place"].to_numpy()[hit]
+        return pd.DataFrame(
+            {"text_key": rows["text_key"].to_numpy()[hit], "start": place - high[hit], "end": place - low[hit] + length}
+        )
+
+    return _by_keys(found, CHUNK_ROWS)
+
+
+def _weighted_sorter(length: int):
+    """The same for different surroundings with their numbers of places: low and high."""
 
-    return spans
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = repeated_reach(rows["before"].tolist(), rows["after"].tolist(), length)
+        # surroundings of several places repeat all that is in them
+        left = rows["before"].str.len().to_numpy()
+        least = np.maximum(0, length - rows["after"].str.len().to_numpy())
+        several = (rows["n"].to_numpy() > 1) & (least <= left)
+        low, high = np.where(several, least, low), np.where(several, left, high)
+        hit = high >= 0
+        return pd.DataFrame({"ctx": rows["ctx"][hit], "low": low[hit], "high": high[hit]})
+
+    return _by_keys(found, CHUNK_ROWS)
 
 
 def _windows(length: int):
@@ -245,15 +269,33 @@ def _windows(length: int):
     return windows
 
 
-def _hot_spans(cuts: DataFrame, length: int, steps_: StepTables) -> DataFrame:
-    rows = cuts.select("text_key", "place", F.explode(_windows(length)("before", "after")).alias("w"))
-    rows = steps_.write("hot", rows.select("text_key", "place", "w.r", "w.h"))
-    twice = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return (
-        rows.join(twice, "h")
-        .groupBy("text_key", "place")
-        .agg(F.min("r").alias("low"), F.max("r").alias("high"))
-        .select("text_key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
+def _hot_spans(cuts: DataFrame, length: int, bucket_rows: int, steps_: StepTables) -> DataFrame:
+    """Spans of keys with too many places for a bucket."""
+    sizes = [F.length(c).cast("string").cast("binary") for c in ("before", "after")]
+    ctx = F.md5(F.concat(sizes[0], F.lit(b":"), sizes[1], F.lit(b":"), "before", "after"))
+    held = steps_.write("hot", cuts.select("key", "text_key", "place", "before", "after", ctx.alias("ctx")))
+    different = held.groupBy("key", "ctx").agg(
+        F.first("before").alias("before"), F.first("after").alias("after"), F.count("*").alias("n")
+    )
+    different = steps_.write("different", different)
+    counts = different.groupBy("key").agg(F.count("*").alias("m"))
+    fits = counts.where(F.col("m") <= bucket_rows).select("key")
+    reach = (
+        different.join(fits, "key", "left_semi")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .select("key", "ctx", "before", "after", "n")
+        .mapInPandas(_weighted_sorter(length), "ctx string, low int, high int")
+    )
+    rest = different.join(fits, "key", "left_anti")
+    if rest.limit(1).count():
+        each = rest.select("ctx", "n", F.explode(_windows(length)("before", "after")).alias("w")).select("ctx", "n", "w.*")
+        each = steps_.write("windows", each)
+        # by r too: two places of a text may both surround one and the same string
+        twice = each.groupBy("h", "r").agg(F.sum("n").alias("places")).where("places > 1")
+        reach = reach.union(each.join(twice, ["h", "r"]).groupBy("ctx").agg(F.min("r").alias("low"), F.max("r").alias("high")))
+    return held.join(reach, "ctx").select(
+        "text_key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end")
     )
 
 
@@ -266,9 +308,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, bu
     keyed = docs.select(whole_text(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     listed = keyed.where(F.octet_length("text") >= length).select("text_key", _lister(length)("text").alias("l"))
-    places = listed.select("text_key", F.explode(F.arrays_zip(F.col("l.places").alias("place"), F.col("l.keys").alias("key"))).alias("c"))
-    places = steps_.write("places", places.select("text_key", F.col("c.place").alias("place"), F.col("c.key").alias("key")))
-    at = F.struct("text_key", "place")
+    each = F.explode(F.arrays_zip(F.col("l.places").alias("place"), F.col("l.keys").alias("key")))
+    places = listed.select("text_key", each.alias("c")).select("text_key", "c.place", "c.key")
+    at = F.xxhash64("text_key", "place")
     keys = places.groupBy("key").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.count("*").alias("n"))
     keys = steps_.write("keys", keys.where("one <> other").select("key", "n"))
     total = keys.agg(F.sum(F.least("n", F.lit(bucket_rows)))).first()[0] or 0
@@ -281,13 +323,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, bu
     hot = F.col("n") > bucket_rows
     # the bucket of a key: how many splitters are at most as great
     keys = keys.withColumn("range", F.size(F.filter(edges, lambda e: e <= F.col("key"))).cast("int")).withColumn("hot", hot)
-    chosen = places.join(keys, "key").groupBy("text_key", "place").agg(F.first(F.struct("place", "key", "range", "hot")).alias("c"))
-    chosen = chosen.groupBy("text_key").agg(F.collect_list("c").alias("chosen"))
-    cuts = texts.join(chosen, "text_key").select("text", "text_key", "chosen").mapInPandas(_cutter(length), CUT)
-    buckets = cuts.where("not hot").repartition("range").sortWithinPartitions("range", "key")
+    # copies of a text list the same places: a set holds them once, as many as a text has
+    names = ["place", "key", "range", "hot"]
+    chosen = places.join(keys, "key").groupBy("text_key").agg(F.collect_set(F.struct(*names)).alias("c"))
+
+    def cut(which: DataFrame) -> DataFrame:
+        columns = [F.col("c")[c].alias(c) for c in names]
+        return texts.join(which, "text_key").select("text", "text_key", *columns).mapInPandas(_cutter(length), CUT)
+
+    cool = chosen.withColumn("c", F.filter("c", lambda x: ~x["hot"])).where(F.size("c") > 0)
+    buckets = cut(cool).select("range", "key", "text_key", "place", "before", "after")
+    buckets = buckets.repartition("range").sortWithinPartitions("range", "key")
     spans = buckets.mapInPandas(_sorter(length), "text_key long, start int, end int")
     if keys.where("hot").limit(1).count():
-        spans = spans.union(_hot_spans(cuts.where("hot"), length, steps_))
+        some = chosen.withColumn("c", F.filter("c", lambda x: x["hot"])).where(F.size("c") > 0)
+        spans = spans.union(_hot_spans(cut(some), length, bucket_rows, steps_))
     return texts, spans
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 
 #: Bytes of text that one numpy step handles; a longer text makes a step alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 U = np.uint64
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 END_ID = 0
 FILE_BYTES = 512 << 20
 #: Distinct words, and runs between spaces, whose ids a worker remembers.
-MEMORY = 600_000
+MEMORY = 800_000
 LEVEL = 3
 
 # fixed values of the zstandard frame format and its seekable extension
@@ -93,6 +93,11 @@ class Encoder:
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self._added = re.compile("|".join(added)) if added else None
         self._words: dict[str, bytes] = {}
+        # the characters that stand for bytes in such vocabularies: visible ones for themselves
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        self._letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+        self._model = self._tokenizer.model
         self._feed = self._ask(["\n"])[0]
         self._forget_runs()
 
@@ -105,6 +110,11 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self._code, e.ids).tobytes() for e in found]
 
+    def _ask_word(self, word: str) -> bytes:
+        """The same for one word: the library's model without what goes around it."""
+        tokens = self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))
+        return array(self._code, [t.id for t in tokens]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text and the end id."""
         if not text:
@@ -154,7 +164,7 @@ class Encoder:
             if len(known) + len(new) > MEMORY:
                 known.clear()
                 new = list({w for own in words for w in own})
-            known.update(zip(new, self._ask(new), strict=True))
+            known.update((w, self._ask_word(w)) for w in new)
         return [b"".join([known[w] for w in own]) for own in words]
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ids in a block. Rows are sorted within blocks only.
 BLOCK_IDS = 1024
+#: Most blocks whose first ids are sent to all tasks (some tens of megabytes).
+BROADCAST_BLOCKS = 500_000
 
 
 def with_next(df: DataFrame, doc_id: str, columns: Sequence[str], prefix: str = "next_") -> DataFrame:
@@ -29,7 +31,10 @@ def with_next(df: DataFrame, doc_id: str, columns: Sequence[str], prefix: str =
     ordered = Window.orderBy("_block")
     around = F.coalesce(F.lead(F.struct("_first")).over(ordered), F.first(F.struct("_first")).over(ordered))
     after = firsts.withColumn("_after", around["_first"])
-    heads = df.join(after.select(F.col("_after").alias("_id")).distinct(), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    wanted = after.select(F.col("_after").alias("_id")).distinct()
+    if firsts.count() <= BROADCAST_BLOCKS:  # else a shuffle of the rows finds them
+        wanted = F.broadcast(wanted)
+    heads = df.join(wanted, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
     heads = heads.groupBy(F.col(doc_id).alias("_id")).agg(F.min(this).alias("_head"))
     heads = after.join(heads, F.col("_after").eqNullSafe(F.col("_id"))).select("_block", "_head")
     joined = led.join(heads, "_block", "left")

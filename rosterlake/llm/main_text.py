@@ -14,6 +14,8 @@ put into and around it, filled with paragraphs of other pages, and with its
 article renamed, so that neither text nor one tag decides alone.
 
 * Null and empty pages give the empty text, as do pages without main text.
+* Text in the body that stands in no block is a node of its own, scored like any other.
+  A head without end tag ends at the first text or element that can't stand in one.
 * White space in a block becomes one space; blocks are joined by line feeds in page
   order; character references are decoded. Pages of any length are read whole.
 * Repeated rows are extracted each; extra columns pass through.
@@ -47,6 +49,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp title textarea".split())
+#: Anything else, and text, ends an open head.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 UNSEEN = frozenset("head button select datalist object svg math audio video canvas map".split())
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"},
@@ -130,6 +134,11 @@ def parse(source: str | None) -> Page:
             pieces.clear()
             if text:
                 node = stack[-1][1]
+                if node == root:
+                    # text in no block is a node of its own, with the links and inline elements in it
+                    node = page.add("#text", "", root)
+                    for counts in (page.links, page.inline):
+                        counts[node], counts[root] = counts[root], 0
                 page.blocks.append((node, text))
                 page.own[node] += len(text)
                 page.marks[node] += text.count(".") + text.count(",") + text.count(";")
@@ -148,6 +157,8 @@ def parse(source: str | None) -> Page:
     while at < size:
         found = MARKUP.search(text, at)
         stop = found.start() if found else size
+        if stack[-1][0] == "head" and text[at:stop].strip():
+            close(len(stack) - 1)
         if stop > at and not unseen:
             piece = html_module.unescape(text[at:stop])
             pieces.append(piece)
@@ -169,6 +180,8 @@ def parse(source: str | None) -> Page:
                     break
             continue
         attrs = found["attrs"] or found["attrs2"] or ""
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in RAW:
             end = _end_of(tag).search(text, at)
             at = end.end() if end else size
@@ -337,6 +350,12 @@ INSERTS = (
     '<div class="sidebar">{t}</div>',
     '<div class="share-buttons"><a href="#">{s}</a><a href="#">{s}</a></div>',
 )
+#: The same as text in no block.
+BARE_INSERTS = (
+    '<hr><a href="/a">{s}</a> | <a href="/b">{s}</a> | <a href="/c">{s}</a><hr>',
+    '<hr><a href="/a">{s}</a> <a href="/b">{s}</a><hr>',
+    "<hr>&copy; {s}<hr>",
+)
 #: What holds the article in training pages.
 HOLDERS = ("article", "main", 'div class="content"', 'div id="main-text"', 'section class="post-body"', "div", 'div class="entry"', 'article class="story"')
 #: Stands around the numbers of main blocks in training pages: a private character.
@@ -374,6 +393,26 @@ def training_page(body: list[str], others: list[str], rng: random.Random, plain:
     return f"<html><body>{''.join(before)}{main}{''.join(after)}</body></html>", marks
 
 
+def bare_page(body: list[str], others: list[str], rng: random.Random) -> str:
+    """A page with its main blocks straight in the body, mostly as text in no block."""
+
+    def text(most: int) -> str:
+        return html_module.escape(" ".join(rng.choice(others).split()[: rng.randint(1, most)]))
+
+    def insert() -> str:
+        return re.sub(r"\{([ts])\}", lambda m: text(120 if m[1] == "t" else 5), rng.choice([*INSERTS, *BARE_INSERTS]))
+
+    blocks = []
+    for i, own in enumerate(body):
+        own = f"{MARK}{i}{MARK}{html_module.escape(own)}"
+        if rng.random() < 0.3:
+            own = f"<b>{own}</b>"
+        blocks.append(f"<p>{own}</p>" if rng.random() < 0.3 else f"{own}{rng.choice(['<br>', '<br><br>', '<hr>'])}")
+    before = [insert() for _ in range(rng.randint(0, 2))]
+    after = [insert() for _ in range(rng.randint(0, 2))]
+    return f"<html><body>{''.join(before)}{''.join(blocks)}{''.join(after)}</body></html>"
+
+
 def _made_body(rng: random.Random) -> list[str]:
     """A headline and paragraphs of a few to a hundred words, in sentences."""
 
@@ -421,6 +460,9 @@ def train(pages: list[str], seed: int = 0, copies: int = 4) -> BoostedTrees:
         source, _ = training_page(body, others, rng, plain=k % copies == 0)
         page = parse(source)
         learn(page, {node for node, t in page.blocks if MARK in t})
+    for body in bodies:
+        page = parse(bare_page(body, [t for _ in range(4) for t in rng.choice(bodies)], rng))
+        learn(page, {node for node, t in page.blocks if MARK in t})
     return BoostedTrees().fit(np.concatenate(rows), np.concatenate(labels))
 
 
@@ -436,7 +478,7 @@ def sample(pages: DataFrame, html: str = "html", key: str = "url", most: int = S
 
 def _text(page: Page, log_odds: np.ndarray) -> str:
     kept = keep_nodes(page, log_odds)
-    return "\n".join(t for node, t in page.blocks if node and kept[node])
+    return "\n".join(t for node, t in page.blocks if kept[node])
 
 
 def extract(pages: DataFrame, model: BoostedTrees, html: str = "html", name: str = "text") -> DataFrame:

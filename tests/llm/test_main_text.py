@@ -40,6 +40,30 @@ def test_parsing_of_broken_markup():
     assert blocks("") == blocks(None) == blocks("<p></p><div> </div>") == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>{0}<br>{1}<br><br>{2}",
+        "<body><b>{0}</b> {1} <i>{2}</i></body>",
+        "<body><my-story>{0} {1} {2}</my-story></body>",
+        "<body><h1>{0}</h1><p>{1}</p>{2}",
+        "{0} {1} {2}",
+        "<html><head><title>no</title><meta charset=utf-8><body><article><h1>{0}</h1><p>{1}</p><p>{2}</p></article>",
+        "<html><head><title>no</title><link rel=x><article><h1>{0}</h1><p>{1}</p><p>{2}</p></article>",
+        "<head><title>no</title>{0} {1} {2}",
+    ],
+)
+def test_text_in_no_block_and_open_heads(model, page):
+    got = read(model, page.format(*TEXT[1:]))
+    assert got.split() == " ".join(TEXT[1:]).split()
+
+
+def test_menus_in_no_block_go(model):
+    body = "".join(f"<p>{t}</p>" for t in TEXT[1:])
+    menu = '<a href="/a">Home</a> | <a href="/b">News</a> | <a href="/c">Contact</a>'
+    assert read(model, f"<body>{menu}<article>{body}</article></body>") == "\n".join(TEXT[1:])
+
+
 def test_kept_nodes_are_the_best_closed_set():
     rng = np.random.default_rng(0)
     for _ in range(40):

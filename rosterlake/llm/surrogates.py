@@ -10,7 +10,8 @@ gender and script, family names their script and gender ending.
 
 Distinct entities get distinct surrogates, none of which is an entity of the
 corpus: surrogates are grouped and joined with the entities, and those that clash are
-derived anew until none does. Tables of entities stay distributed.
+derived anew until none does; where no surrogate of that form is free, a longer
+one is taken, and for secrets letters in place of other characters. Tables of entities stay distributed.
 
 * Null texts stay null; texts without entities stay as they are, also empty ones.
 * Repeated rows are treated alike and all kept. An empty table stays empty.
@@ -166,9 +167,18 @@ def _same_shape(text: str, numbers: Stream) -> str:
     return "".join(out)
 
 
+def _secret(text: str, numbers: Stream, more: int) -> str:
+    """The same shape with ASCII letters for other letters and digits; letters only
+    where there is nothing to change, or no surrogate of that shape was free."""
+    if more or not any(c.isalnum() for c in text):
+        return "".join(chr(97 + numbers.below(26)) for _ in range(len(text) + more))
+    return _same_shape("".join("a" if c.isalnum() and not c.isascii() else c for c in text), numbers)
+
+
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
-    """The canonical form of the replacement of an entity."""
+    """The canonical form of the replacement of an entity; longer after each eight attempts."""
     numbers = Stream(key, kind, canonical, str(attempt))
+    more = attempt // 8
     if kind.startswith("given"):
         # a secret rotation of the names of that script and gender: no two become one
         names = GIVEN[kind.removeprefix("given ")]
@@ -177,26 +187,26 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return names[(at + shift) % len(names)].lower()
     if kind.startswith("family"):
         parts = SYLLABLES[kind.removeprefix("family ")]
-        return "".join(parts[numbers.below(len(parts))] for _ in range(3 + numbers.below(2) + attempt // 8))
+        return "".join(parts[numbers.below(len(parts))] for _ in range(3 + numbers.below(2) + more))
     if kind == "ip":
-        return ".".join(str(1 + numbers.below(254)) for _ in range(4))
+        return ".".join(str(1 + numbers.below(254)) for _ in range(4 + more))
     if kind == "email":
         local, domain = canonical.split("@")
         body, _, top = domain.rpartition(".")
-        return f"{_same_shape(local, numbers)}@{_same_shape(body, numbers)}.{top}"
+        return f"{_same_shape(local + "a" * more, numbers)}@{_same_shape(body, numbers)}.{top}"
     if kind == "card":
-        body = canonical[0] + _same_shape(canonical[1:-1], numbers)
+        body = canonical[0] + _same_shape(canonical[1:-1] + "0" * more, numbers)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "iban":
-        country, body = canonical[:2], _same_shape(canonical[4:], numbers)
+        country, body = canonical[:2], _same_shape(canonical[4:] + "0" * more, numbers)
         return f"{country}{98 - mod97(country + '00' + body):02d}{body}"
     if kind == "phone":
         keep = max(0, len(canonical) - 10)  # a country code
-        return canonical[:keep] + _same_shape(canonical[keep:], numbers)
+        return canonical[:keep] + _same_shape(canonical[keep:] + "0" * more, numbers)
     if kind == "secret":
         fixed = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_)?", canonical)[0]
-        return fixed + _same_shape(canonical[len(fixed) :], numbers)
-    return _same_shape(canonical, numbers)
+        return fixed + _secret(canonical[len(fixed) :], numbers, more)
+    return _same_shape(canonical + "0" * more, numbers)
 
 
 def fitted(kind: str, mention: str, replacement: str) -> str:
@@ -208,9 +218,11 @@ def fitted(kind: str, mention: str, replacement: str) -> str:
     if kind in ("ip", "secret"):
         return replacement
     if kind == "email":
+        if len(replacement) != len(mention):
+            return replacement
         return "".join(r.upper() if c.isupper() else r for c, r in zip(mention, replacement, strict=True))
     letters = iter(replacement)
-    return "".join(next(letters) if c.isalnum() else c for c in mention)
+    return "".join([*(next(letters) if c.isalnum() else c for c in mention), *letters])
 
 
 def _finder():

@@ -73,6 +73,27 @@ def test_clashes_are_resolved(spark):
     assert len(new) == 40 and not new & old
 
 
+@pytest.mark.parametrize("text", ["********", "парольпароль", "пароль12", "------"])
+def test_masked_and_foreign_secrets_get_other_letters(text):
+    new = surrogate(KEY, "secret", text, 0)
+    assert new != text and not any(c.isalpha() and not c.isascii() for c in new) and any(c.isalnum() for c in new)
+
+
+@pytest.mark.parametrize("kind, plain", [("email", "a@b.com"), ("phone", "12345"), ("ssn", "123456789"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("secret", "a-----")])
+def test_forms_are_left_after_some_attempts(kind, plain):
+    new = surrogate(KEY, kind, plain, 16)
+    assert len(new) == len(plain) + 2 and re.sub(r"\W", "", fitted(kind, plain, new)) == re.sub(r"\W", "", new)
+
+
+def test_masked_secret_and_exhausted_emails_end(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("secret", "********"), ("secret", "парольпароль")] + [("email", f"{a}@{b}.com") for a in letters for b in letters]
+    entities = spark.createDataFrame(rows, "kind string, canonical string")
+    out = surrogates.distinct_surrogates(entities, KEY, StepTables(spark)).collect()
+    new, old = {r["replacement"] for r in out}, {r["canonical"] for r in out}
+    assert len(new) == len(rows) and not new & old
+
+
 def test_awkward_rows(spark):
     docs = clashing(awkward(spark))
     out = surrogates.replace_entities(docs, KEY)

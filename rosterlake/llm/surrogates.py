@@ -2,8 +2,9 @@
 
 Detected entities are emails, phone numbers, IPv4 addresses, payment cards (with a
 valid check digit), IBANs (likewise), social security numbers, credentials, and names
-of persons (a title or a known given name before a capitalised family name; Latin and
-Cyrillic script). A surrogate is derived from a secret key and the entity's canonical
+of persons (a title or a known given name before one to five capitalised names, and
+those names wherever they stand alone in the same text; Latin and Cyrillic script).
+Persons with neither title nor known given name are not found. A surrogate is derived from a secret key and the entity's canonical
 form: the same entity gets the same surrogate in all documents and in every
 spelling of it. It keeps length, separators, case and check digits; given names keep
 gender and script, family names their script and gender ending.
@@ -61,11 +62,18 @@ SECRETS = re.compile(
     re.IGNORECASE,
 )
 _ALL = [n for names in GIVEN.values() for n in names]
+_ALL += [n.upper() for n in _ALL]
+_TITLES = [*TITLES, "MR", "MRS", "PROF", "HERR", "FRAU"]
+_PART = (
+    r"(?:(?:(?:Mc|Mac|[OD]['’])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|(?:[OD]['’])?[A-ZÀ-ÖØ-Þ]{2,})(?:-[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+))?"
+    r"|[А-ЯЁ](?:[а-яё]+|[А-ЯЁ]+)(?:-[А-ЯЁ](?:[а-яё]+|[А-ЯЁ]+))?)(?!\w)"
+)
 NAMES = re.compile(
-    rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? )?"
-    rf"(?:(?P<given>{'|'.join(_ALL)}) )?(?P<family>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,}}(?:-[A-Z][a-z]+)?|[А-ЯЁ][а-яё]{{2,}})(?!\w)"
+    rf"(?<!\w)(?:(?:(?P<title>{'|'.join(_TITLES)})\.? (?:(?P<given>{'|'.join(_ALL)}) )?|(?P<first>{'|'.join(_ALL)}) )"
+    rf"(?P<middle>(?:(?:{_PART}|van|von|der|den|zu|de|del|della|di|da|dos|la|le|ter|bin|al) ){{0,4}}))?(?P<family>{_PART})"
 )
-STARTS = re.compile(rf"(?<!\w)(?:{'|'.join(sorted({re.escape(t) for t in [*TITLES, *_ALL]}))})\.? [A-ZÀ-ÖØ-ÞА-ЯЁ]")
+PART = re.compile(rf"(?<!\w){_PART}")
+STARTS = re.compile(rf"(?<!\w)(?:{'|'.join(sorted({re.escape(t) for t in [*_TITLES, *_ALL]}))})\.? [A-ZÀ-ÖØ-ÞА-ЯЁ]")
 
 MENTION = "kind string, canonical string, start int, end int"
 
@@ -116,12 +124,23 @@ def mentions(text: str | None) -> list[tuple[str, str, int, int]]:
             found.append(("secret", m[group], m.start(group), m.end(group)))
     if STARTS.search(text):
         for m in NAMES.finditer(text):
-            if not (m["title"] or m["given"]):
+            own = "given" if m["given"] else "first"
+            if not (m["title"] or m[own]):
                 continue
-            family = m["family"]
-            if m["given"]:
-                found.append((f"given {_group(m['given'])}", m["given"].lower(), m.start("given"), m.end("given")))
-            found.append((f"family {script_of(family)}", _stem(family)[0], m.start("family"), m.end("family")))
+            parts = [(m["family"], m.start("family"))]
+            parts += [(p[0], m.start("middle") + p.start()) for p in PART.finditer(m["middle"])]
+            if m[own]:
+                given = m[own].capitalize()
+                found.append((f"given {_group(given)}", given.lower(), m.start(own), m.end(own)))
+            found += [(f"family {script_of(p)}", _stem(p)[0], at, at + len(p)) for p, at in parts]
+        # the same names where they stand alone in this text
+        known = {canonical: kind for kind, canonical, *_ in found if kind.startswith(("family", "given"))}
+        if known:
+            for m in PART.finditer(text):
+                for canonical in (m[0].lower(), _stem(m[0])[0]):
+                    if canonical in known:
+                        found.append((known[canonical], canonical, m.start(), m.end()))
+                        break
     found.sort(key=lambda x: (x[2], -x[3]))
     out: list[tuple[str, str, int, int]] = []
     for one in found:
@@ -212,9 +231,10 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 def fitted(kind: str, mention: str, replacement: str) -> str:
     """A canonical replacement in the form of a mention: separators, case, ending."""
     if kind.startswith("given"):
-        return replacement.capitalize()
+        return replacement.upper() if mention.isupper() else replacement.capitalize()
     if kind.startswith("family"):
-        return (replacement + _stem(mention)[1]).capitalize()
+        name = replacement + _stem(mention)[1]
+        return name.upper() if mention.isupper() else name.capitalize()
     if kind in ("ip", "secret"):
         return replacement
     if kind == "email":

@@ -25,6 +25,23 @@ def test_entities_are_found():
     assert kinds("Это Анна Иванова.") == [("given cyrillic female", "Анна"), ("family cyrillic", "Иванова")]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("John Smith came. Smith said that John left; SMITH's car.", ["John", "Smith", "Smith", "John", "SMITH"]),
+        ("Mr. Xavier Young and Prof. Ute van Dyck", ["Xavier", "Young", "Ute", "Dyck"]),
+        ("Mary Ann Smith wrote.", ["Mary", "Ann", "Smith"]),
+        ("John McDonald, Mary O'Brien, Dr. Wu and JOHN BAKER", ["John", "McDonald", "Mary", "O'Brien", "Wu", "JOHN", "BAKER"]),
+        ("Анна Иванова и Иванов", ["Анна", "Иванова", "Иванов"]),
+        ("Yesterday Paris was wet, said Mr. Lee. Paris dried.", ["Lee"]),
+    ],
+)
+def test_names_of_all_forms_and_alone(text, names):
+    found = mentions(text)
+    assert [text[m[2] : m[3]] for m in found] == names
+    assert {fitted(m[0], text[m[2] : m[3]], "xy").isupper() for m in found if text[m[2] : m[3]].isupper()} <= {True}
+
+
 @pytest.mark.parametrize("text", ["4111111111111112", "1.2.3", "1.2.3.4.5", "300.1.1.1", "2024-01-02", "v10.2.3.4a", "Mary had a lamb", "a@b", "12345", "", None])
 def test_look_alikes_stay(text):
     assert mentions(text) == []

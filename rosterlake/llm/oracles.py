@@ -82,3 +82,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
+
+_TERMS = _WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+ORACLES["op11_norm_buckets"] = """
+WITH vectors AS (
+ SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+ FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+ SELECT q.rid AS query, q.vec_id AS query_id, c.rid, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM vectors q JOIN vectors c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+ SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, rid) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES["op12_ranked_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM docs WHERE len(w) > 0),
+held AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) GROUP BY ALL),
+items AS (SELECT row_number() OVER () AS iid, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+wanted AS (SELECT iid, unnest(w) AS term FROM items),
+weights AS (
+ SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(rid) + 1)::DOUBLE)) AS BIGINT) AS weight
+ FROM (SELECT DISTINCT term FROM wanted) LEFT JOIN held USING (term), totals GROUP BY term, n_docs),
+sized AS (SELECT rid, doc_id, 10 + (90 * len(w) * n_docs) // n_words AS m FROM docs, totals WHERE len(w) > 0),
+scored AS (
+ SELECT iid, rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+ FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sized USING (rid) GROUP BY iid, rid),
+ranked AS (
+ SELECT iid, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+ FROM scored JOIN sized USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE rank <= 10
+"""
+
+ORACLES["op13_fill_middle"] = """
+WITH drawn AS (
+ SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+ranks AS (
+ SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+  list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM drawn),
+cuts AS (
+ SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+   WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM ranks),
+parts AS (
+ SELECT doc_id, t, n, form, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle,
+  array_to_string(u[b + 1 :], '') AS suffix FROM cuts)
+SELECT doc_id, n, form,
+ CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+ CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+  ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+ sha256(t) AS restored_sha256
+FROM parts
+"""

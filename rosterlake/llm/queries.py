@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rosterlake.llm import (
     decontaminate,
+    fill_middle,
     fingerprints,
     language,
     main_text,
     mixing,
     near_dedup,
+    ranked_search,
     repeats,
     sharding,
     surrogates,
     token_frames,
+    vector_search,
 )
 from rosterlake.llm.columns import table, whole_text
 from rosterlake.llm.models import held_out, language_model, public_file
@@ -134,6 +137,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.col("fim")
+    return docs.select(
+        "doc_id",
+        *[cut[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(cut["output"], 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(cut["output"], cut["form"]), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_one_permutation_fingerprints": op2_one_permutation_fingerprints,
@@ -145,5 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fair_mix": op4_fair_mix,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_norm_buckets": op11_norm_buckets,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_fill_middle": op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }

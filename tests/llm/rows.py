@@ -35,6 +35,6 @@ def clashing(df):
     """Extra columns with names that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("_block", "_before", "_size", "_language", "_contamination", "_words", "_mins", "_filled", "_found", "_row", "key", "size", "id"):
+    for name in ("row", "cuts", "n_entities", "_kept", "_mixed_id", "_mixed_size", "_mixed_times", "contamination", "same", "node", "least", "_same", "_kept_id", "_copy", "_index", "_block", "_before", "_size", "_language", "_contamination", "_words", "_mins", "_filled", "_found", "_row", "key", "size", "id"):
         df = df.withColumn(name, F.lit(name))
     return df

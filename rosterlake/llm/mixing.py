@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats
 
 def _queue(rows: DataFrame, targets: DataFrame, blocks: int) -> DataFrame:
     """Rows with the words of their source before them in the shuffled order."""
-    order = ["h", "doc_id", "size"]
+    order = ["h", "doc_id", "size", *(c for c in rows.columns if c == "row")]
     block = F.floor(F.col("h") / F.lit(2.0**52 / blocks)).cast("int")
     rows = rows.withColumn("h", hash52(F.lit("mix"), F.col("doc_id"))).withColumn("block", block)
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
@@ -93,13 +93,15 @@ def _finish(copy: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, numbered: bool = False
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (array: words
-    taken of each copy of the document) of a table of doc_id, source, size."""
+    taken of each copy of the document) of a table of doc_id, source, size; if that is
+    ``numbered``, also its column row, which tells equal rows apart."""
     spark = docs.sparkSession
     # three passes follow: the sizes are counted once and written
-    rows = StepTables(spark).write("sizes", docs.select("doc_id", "source", "size"))
+    number = ["row"] if numbered else []
+    rows = StepTables(spark).write("sizes", docs.select("doc_id", "source", "size", *number))
     n, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks = max(1, n // BLOCK_ROWS)
     queued = _queue(rows, source_targets(rows, weights, repeats), blocks)
@@ -112,7 +114,7 @@ def mix(
     last = ranges.withColumn("up_to", up_to).where(F.col("up_to") >= budget).orderBy("range").first()
     if last is None:  # no words at all
         nothing = F.array(*[F.lit(0).cast("long") for _ in copies])
-        return queued.select("doc_id", "source", "size", "source_size", "target", nothing.alias("taken"))
+        return queued.select(*number, "doc_id", "source", "size", "source_size", "target", nothing.alias("taken"))
     in_order = Window.orderBy("finish", F.col("source").asc_nulls_last()).rowsBetween(FIRST, 0)
     cut = (
         entries.where(F.col("range") == last["range"])
@@ -130,7 +132,7 @@ def mix(
         return F.coalesce(F.when(_finish(copy).isNotNull(), whole), F.lit(0)).cast("long")
 
     return queued.select(
-        "doc_id", "source", "size", "source_size", "target", F.array(*[taken(c) for c in copies]).alias("taken")
+        *number, "doc_id", "source", "size", "source_size", "target", F.array(*[taken(c) for c in copies]).alias("taken")
     )
 
 
@@ -144,22 +146,13 @@ def _place(finish: Column, source: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` once for each copy of which the mix takes any word.
 
-    The document at the end of the budget is kept whole. Rows with the
-    same doc_id, source and size are taken equally often.
+    The document at the end of the budget is kept whole. Every row is a document of its own:
+    the rows are numbered and written once, and joined by number.
     """
-    sized = docs.withColumn(size := unused(docs, "_size"), words_in(F.col("text")))
-    mixed = mix(sized.select("doc_id", "source", F.col(size).alias("size")), **options)
-    times = F.size(F.filter("taken", lambda t: t > 0))
-    mixed = mixed.groupBy(
-        F.col("doc_id").alias("_mixed_id"), F.col("source").alias("_mixed_source"), F.col("size").alias("_mixed_size")
-    ).agg(F.max(times).alias("_mixed_times"))
-    same = (
-        F.col("_mixed_id").eqNullSafe(sized["doc_id"])
-        & F.col("_mixed_source").eqNullSafe(sized["source"])
-        & (F.col("_mixed_size") == sized[size])
-    )
-    return (
-        sized.join(mixed.where("_mixed_times > 0"), same)
-        .withColumn(unused(docs, "_copy"), F.explode(F.sequence(F.lit(1), F.col("_mixed_times"))))
-        .select(*[sized[c] for c in docs.columns])
-    )
+    row, size, copy = (unused(docs, c) for c in ("_row", "_size", "_copy"))
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(size, words_in(F.col("text")))
+    rows = StepTables(docs.sparkSession).write("rows", rows)
+    mixed = mix(rows.select("doc_id", "source", F.col(size).alias("size"), F.col(row).alias("row")), numbered=True, **options)
+    times = mixed.select(F.col("row").alias(row), F.size(F.filter("taken", lambda t: t > 0)).alias(copy)).where(F.col(copy) > 0)
+    rows = rows.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return rows.select(*docs.columns)

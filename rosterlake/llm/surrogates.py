@@ -280,7 +280,8 @@ def distinct_surrogates(entities: DataFrame, key: bytes, steps: StepTables) -> D
 
 
 def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str = "n_entities") -> DataFrame:
-    """``docs`` with surrogates in ``text``, and the number of them as ``count``.
+    """``docs`` with surrogates in ``text``, and the number of them as ``count`` (in
+    place of a column of that name).
 
     Texts without entities are only scanned; the others, with their entities, are
     written once, and their entities replaced by joins.
@@ -288,7 +289,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
     if not key:
         raise ValueError("a key is needed")
     steps = StepTables(docs.sparkSession)
-    found, row = unused(docs, "_found"), unused(docs, "_row")
+    found, row, cuts = (unused(docs, c) for c in ("_found", "_row", "_cuts"))
     marked = docs.withColumn(found, _finder()(F.col(text)))
     some = F.coalesce(F.size(found) > 0, F.lit(False))
     held = steps.write("held", marked.where(some).withColumn(row, F.monotonically_increasing_id()))
@@ -309,8 +310,9 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
             out.append("".join([*parts, own[at:]]))
         return pd.Series(out, dtype=object)
 
-    joined = held.join(per_row, F.col(row) == F.col("row"))
-    columns = [rewritten(F.col(text), F.col("cuts")).alias(text) if c == text else F.col(c) for c in docs.columns]
-    changed = joined.select(*columns, F.size("cuts").alias(count))
-    same = marked.where(~some).select(*docs.columns, F.lit(0).alias(count))
+    joined = held.join(per_row.select(F.col("row").alias(row), F.col("cuts").alias(cuts)), row)
+    others = [c for c in docs.columns if c.lower() != count.lower()]
+    columns = [rewritten(F.col(text), F.col(cuts)).alias(text) if c == text else F.col(c) for c in others]
+    changed = joined.select(*columns, F.size(cuts).alias(count))
+    same = marked.where(~some).select(*others, F.lit(0).alias(count))
     return changed.unionByName(same)

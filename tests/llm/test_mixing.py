@@ -61,3 +61,12 @@ def test_awkward_rows_and_reruns(spark):
 def test_words(spark):
     df = spark.createDataFrame([(None,), ("",), (" a\tb\x0bc\n",), ("x\xa0y z",)], "t string")
     assert [r[0] for r in df.select(mixing.words_in(F.col("t"))).collect()] == [0, 0, 3, 2]
+
+
+def test_each_repeated_row_is_taken_for_itself(spark):
+    """100 equal rows of one source, whose target is 800 of their 1,000 words."""
+    rows = [(1, " ".join("x" * 10), "a")] * 100 + [(i + 2, "y", "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("r"))
+    kept = mixing.mixed_documents(docs, weights=(4.0, 3.0))
+    taken = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("n")).collect()}
+    assert taken == {"a": 800, "b": 600} and kept.columns == docs.columns

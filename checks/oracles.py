@@ -498,6 +498,20 @@ walk AS ( -- a row for each step of each root: its queue of pages with the way t
 SELECT root, visit_no, url, depth, ancestors FROM walk WHERE visit_no > 0
 """, "fx_links")
 
+oracle("closure_delta", """
+WITH RECURSIVE
+numbered AS (SELECT *, CAST(regexp_extract(dst, '([0-9]+)$', 1) AS BIGINT) AS number FROM fx_links),
+changed AS (
+ SELECT src, dst FROM numbered WHERE NOT CASE kind WHEN 'next' THEN number % 13 = 5 ELSE number % 11 = 3 END
+ UNION
+ SELECT src, regexp_replace(dst, '[0-9]+$', '') || CAST(number + 2 AS VARCHAR) FROM numbered WHERE kind = 'next' AND number % 7 = 2),
+walk AS (
+ SELECT DISTINCT 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS root, 'https://d/r' || CAST(r_regionkey AS VARCHAR) AS url, 0 AS depth FROM region
+ UNION -- no chain of links that are left is longer
+ SELECT w.root, l.dst, w.depth + 1 FROM walk w JOIN changed l ON l.src = w.url WHERE w.depth < 40)
+SELECT root, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, url
+""", "fx_links")
+
 oracle("frontier_pruned", """
 WITH full_pages AS (
  SELECT url FROM (SELECT 'https://d/r' || CAST(o_custkey % 2 AS VARCHAR) AS url FROM orders) GROUP BY url HAVING count(*) >= 40)

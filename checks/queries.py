@@ -11,7 +11,7 @@ from rosterlake.functions import html as H
 from rosterlake.functions import keys as K
 from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
-from rosterlake.operators import dedup, enrichment, hits, lifecycle, links, listing, pages
+from rosterlake.operators import closure_updates, dedup, enrichment, hits, lifecycle, links, listing, pages
 from rosterlake.operators import records, requests, responses, targets, traversal
 from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
@@ -328,6 +328,28 @@ def crawl_order(spark, sf):
     return order.withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
+def _changed_links(spark, sf):
+    """Links that are gone, and links that are new: from a page to the next but one."""
+    links = fx(spark, sf, "fx_links")
+    number = F.regexp_extract("dst", "([0-9]+)$", 1).cast("bigint")
+    removed = links.where(F.when(F.col("kind") == "next", number % 13 == 5).otherwise(number % 11 == 3))
+    added = links.where((F.col("kind") == "next") & (number % 7 == 2)).select(
+        "src",
+        F.concat(F.regexp_replace("dst", "[0-9]+$", ""), (number + 2).cast("string")).alias("dst"),
+        F.lit("child").alias("kind"),
+        F.lit(99).cast("bigint").alias("pos"),
+    )
+    return links, added, removed
+
+
+@query
+def closure_delta(spark, sf):
+    """The closure after the links changed, from the one before and what changes in it."""
+    before = crawl_closure(spark, sf)
+    changes = closure_updates.closure_changes(before, *_changed_links(spark, sf))
+    return closure_updates.updated_closure(before, changes)
+
+
 @query
 def frontier_pruned(spark, sf):
     found = table(spark, sf, "orders").select(

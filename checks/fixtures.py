@@ -96,6 +96,23 @@ SELECT CASE page_id % 10 WHEN 9 THEN url || '/moved' ELSE url END AS url, CAST(2
 FROM pages
 """
 
+SQL["fx_page_kinds"] = """
+SELECT url, CAST(page_id % 12 AS BIGINT) AS run_no, CASE page_id % 12
+ WHEN 0 THEN replace(html, '</article>', '<ul><li>Prof. Ann Lee, +1 555 403 1234</li><li>Dr. Bo Day, +1 555 403 1235</li></ul></article>')
+ WHEN 1 THEN replace(html, '</article>', '<p>Parking is forbidden. It takes just a moment.</p></article>')
+ WHEN 2 THEN regexp_replace(html, '<title>', '<title>403 Forbidden ')
+ WHEN 3 THEN regexp_replace(html, '<h1>', '<H1 class="x">Just a Moment ')
+ WHEN 4 THEN concat('<html><body><p>Access FORBIDDEN</p><script>', repeat('var a = "403";', 100), '</script></body></html>')
+ WHEN 5 THEN concat('<html><body><p>Welcome</p><script>', repeat('var a = "forbidden 403";', 100), '</script></body></html>')
+ WHEN 6 THEN replace(html, '</article>', '<pre><code>{{ name }}</code></pre><p>Use <code>v-bind</code> or <textarea rows="2">ng-app</textarea></p></article>')
+ WHEN 7 THEN replace(html, '</article>', '<div>{{ name }}</div></article>')
+ WHEN 8 THEN replace(html, '</article>', '<pre>{{ name }}</pre><script>fetch("/api/staff")</script></article>')
+ WHEN 9 THEN concat(html, '<i>cf-browser-verification</i>')
+ WHEN 10 THEN concat('<p>', repeat('lorem ', 59), 'forbidden</p>', repeat(' ', 1000))
+ ELSE concat('<p>', repeat('lorem ', 60), 'forbidden</p>', repeat(' ', 1000)) END AS html
+FROM pages
+"""
+
 SQL["fx_links"] = """
 SELECT 'https://d/r' || CAST(n_regionkey AS STRING) AS src, 'https://d/n' || CAST(n_nationkey AS STRING) AS dst,
  'child' AS kind, CAST(n_nationkey AS BIGINT) AS pos FROM nation

@@ -186,25 +186,38 @@ def _any(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-oracle("page_flags", rf"""
+def _without(text: str, *elements: str) -> str:
+    for name in elements:
+        text = f"regexp_replace({text}, '(?is)<{name}([ \\t\\n\\f\\r][^>]*)?>.*?</{name}>', ' ', 'g')"
+    return text
+
+
+SHOWN = f"regexp_replace({_without('html', 'script', 'style')}, '<[^>]+>', ' ', 'g')"
+REFUSED = "'(?i)403|forbidden|just a moment'"
+PAGE_FLAGS = rf"""
 WITH f AS (
  SELECT url, run_no, html, length(html) AS n_chars,
   length(regexp_replace({TEXT}, '^\s+|\s+$', '', 'g')) > 200 AS has_content,
-  {_any("html", MARKERS)}
+  {_any(_without("html", "pre", "code", "textarea"), MARKERS)}
    OR len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>'),
        lambda s: {_any("lower(s)", APIS)})) > 0
    OR ({_any(f"lower({TEXT})", WORDS)} AND length(html) > 15000
        AND len(list_distinct(regexp_extract_all(html, '{EMAIL}'))) < 3
        AND NOT regexp_matches(html, '(?is)<li[^>]*>\s*(?:Prof\.|Dr\.|Professor)\s*[A-Z]')
        AND NOT regexp_matches(html, '(?is)<table[^>]*>.*?<t[rd][^>]*>\s*(?:Prof\.|Dr\.|Professor)\s+[A-Z].*?</table>')) AS is_template,
-  length(html) < 1000 OR regexp_matches(html, '(?i)403|forbidden|just a moment')
+  length(html) < 1000
+   OR regexp_matches(regexp_extract(html, '(?is)<title([ \t\n\f\r][^>]*)?>(.*?)</title>', 2), {REFUSED})
+   OR regexp_matches(regexp_extract(html, '(?is)<h1([ \t\n\f\r][^>]*)?>(.*?)</h1>', 2), {REFUSED})
+   OR len(regexp_extract_all({SHOWN}, '[^ \t\n\f\r]+')) <= 60 AND regexp_matches({SHOWN}, {REFUSED})
    OR contains(html, 'cf-browser-verification') AS is_blocked,
   len(list_distinct(regexp_extract_all(html, '{EMAIL}'))) AS n_emails
  FROM fx_snapshots)
 SELECT url, run_no, n_chars, has_content, is_template, is_blocked, n_emails,
  CASE WHEN has_content AND NOT is_template AND n_chars >= 5000 THEN 'accept' WHEN is_blocked THEN 'blocked' ELSE 'render' END AS page_route
 FROM f
-""", "fx_snapshots")
+"""
+oracle("page_flags", PAGE_FLAGS, "fx_snapshots")
+oracle("page_flags_kinds", PAGE_FLAGS.replace("fx_snapshots", "fx_page_kinds"), "fx_page_kinds")
 
 REWRITES = [
     (r'\bid=(?:"|&quot;)[^"&]*(?:"|&quot;)', "", "g"),

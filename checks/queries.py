@@ -164,6 +164,12 @@ def page_flags(spark, sf):
     return pages.page_flags(fx(spark, sf, "fx_snapshots"), keep=("url", "run_no"))
 
 
+@query
+def page_flags_kinds(spark, sf):
+    """Signs of refused pages and of templates where they mean that, and where they don't."""
+    return pages.page_flags(fx(spark, sf, "fx_page_kinds"), keep=("url", "run_no"))
+
+
 @query
 def page_fingerprint(spark, sf):
     return pages.fingerprint_snapshots(fx(spark, sf, "fx_snapshots"))

@@ -53,6 +53,11 @@ BLOCKED_MIN_CHARS = 1_000
 BLOCKED_HEAD_PATTERN = r"(?i)403|forbidden|just a moment"
 BLOCKED_TITLE_TEXTS = ("403", "Forbidden", "Just a moment")
 BLOCKED_MARKER = "cf-browser-verification"
+#: Pages of up to so many words say no more than why they were refused.
+BLOCKED_MAX_WORDS = 60
+#: Elements whose text shows code instead of running it.
+CODE_ELEMENTS = ("pre", "code", "textarea")
+SCRIPT_ELEMENTS = ("script", "style")
 CONTENT_MIN_CHARS = 200
 ACCEPT_MIN_CHARS = 5_000
 

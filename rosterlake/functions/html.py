@@ -60,6 +60,17 @@ def _head(html: Column, chars: int | None) -> Column:
     return html if chars is None else F.substring(html, 1, chars)
 
 
+def _without(html: Column, elements: tuple[str, ...]) -> Column:
+    for name in elements:
+        html = F.regexp_replace(html, rf"(?is)<{name}(?:[ \t\n\f\r][^>]*)?>.*?</{name}>", " ")
+    return html
+
+
+def _first(html: Column, element: str) -> Column:
+    """Text of the first element of a name, tags in it included; empty if there is none."""
+    return F.regexp_extract(html, rf"(?is)<{element}(?:[ \t\n\f\r][^>]*)?>(.*?)</{element}>", 1)
+
+
 def has_content(html: Column | str, min_chars: int = fv.CONTENT_MIN_CHARS) -> Column:
     """Whether the visible text has more than ``min_chars`` characters."""
     return F.length(strip(visible_text(html))) > min_chars
@@ -70,13 +81,16 @@ def is_template(
 ) -> Column:
     """Pages whose records are filled in by scripts and so need rendering.
 
-    Framework markers and data scripts are looked for in the whole page, or in
-    its first ``head_chars``; only pages of more than ``min_chars`` can be
+    Framework markers and data scripts are looked for in the whole page, markers not
+    in code that it shows; with ``head_chars`` everywhere in so many first characters.
+    Only pages of more than ``min_chars`` can be
     templates for mentioning staff without listing any.
     """
     html = as_col(html)
     head = _head(html, head_chars)
     framework = contains_any(head, fv.TEMPLATE_MARKERS)
+    if head_chars is None:  # few pages have a marker at all
+        framework = framework & contains_any(_without(html, fv.CODE_ELEMENTS), fv.TEMPLATE_MARKERS)
     scripts = F.regexp_extract_all(head, F.lit(r"(?is)<script[^>]*>.*?</script>"), 0)
     data_script = F.exists(scripts, lambda s: contains_any(F.lower(s), fv.DATA_API_MARKERS))
     # cheap tests first: the rest is only evaluated for long pages
@@ -94,20 +108,30 @@ def is_template(
 
 
 def is_blocked(
-    html: Column | str, head_chars: int | None = None, min_chars: int = fv.BLOCKED_MIN_CHARS
+    html: Column | str,
+    head_chars: int | None = None,
+    min_chars: int = fv.BLOCKED_MIN_CHARS,
+    max_words: int = fv.BLOCKED_MAX_WORDS,
 ) -> Column:
     """Missing, refused or challenge pages and those under ``min_chars``; never NULL.
 
-    The signs are looked for in the whole page, or in its first ``head_chars``.
+    Pages are read whole. What they are called says whether they were refused: the title, the
+    first heading, and all visible text of a page of up to ``max_words`` words. A longer
+    page may have 403 in a phone number or write of what is forbidden. With
+    ``head_chars`` the signs count wherever they are in so many first characters.
     """
     html = as_col(html)
-    head = _head(html, head_chars)
-    return F.coalesce(
-        (F.length(html) < min_chars)
-        | head.rlike(fv.BLOCKED_HEAD_PATTERN)
-        | head.contains(fv.BLOCKED_MARKER),
-        F.lit(True),
-    )
+    if head_chars is not None:
+        head = _head(html, head_chars)
+        refused = head.rlike(fv.BLOCKED_HEAD_PATTERN) | head.contains(fv.BLOCKED_MARKER)
+    else:
+        # the words are only counted in pages that have a sign somewhere
+        text = visible_text(_without(html, fv.SCRIPT_ELEMENTS))
+        short = F.regexp_count(text, F.lit(r"[^ \t\n\f\r]+")) <= max_words
+        names = F.concat(_first(html, "title"), F.lit(" "), _first(html, "h1"))
+        said = names.rlike(fv.BLOCKED_HEAD_PATTERN) | (short & text.rlike(fv.BLOCKED_HEAD_PATTERN))
+        refused = (html.rlike(fv.BLOCKED_HEAD_PATTERN) & said) | html.contains(fv.BLOCKED_MARKER)
+    return F.coalesce((F.length(html) < min_chars) | refused, F.lit(True))
 
 
 def is_blocked_render(

@@ -25,8 +25,8 @@ def page_flags(
 ) -> DataFrame:
     """Content, template and block tests per page, with the resulting route.
 
-    Markers are looked for in whole pages (``head_chars``: only in so many first
-    characters). A page has content from ``content_chars`` of visible text on,
+    Pages are read whole (``head_chars``: signs and markers count wherever they are in
+    so many first characters). A page has content from ``content_chars`` of visible text on,
     may be a template for its staff words from ``template_chars`` on, is blocked
     under ``blocked_chars`` and accepted without rendering from ``accept_chars`` on.
     """

@@ -128,6 +128,42 @@ def test_cache_buster_patterns_match_the_plain_form(value):
         assert value(comparable, text) == want.strip()
 
 
+PEOPLE = "<ul>" + "<li>Prof. A. Name, room 1, +1 555 403 1234</li>" * 40 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (PEOPLE, False),
+        (PEOPLE + "<p>Smoking is forbidden; checking in takes just a moment</p>", False),
+        ("<title>403</title>" + PEOPLE, True),
+        ("<TITLE lang='en'>\nForbidden</TITLE>" + PEOPLE, True),
+        (PEOPLE + "<h1 class='a'>Just a <b>x</b></h1>", False),
+        ("<h1><b>403</b> Error</h1><h1>other</h1>" + PEOPLE, True),
+        ("<h1>other</h1><h1>403</h1>" + PEOPLE, False),
+        ("<p>Error 403</p><script>" + "var words = 1; " * 200 + "</script>", True),
+        ("<p>Welcome</p><script>" + "forbidden 403 " * 200 + "</script>", False),
+        (PEOPLE + "<i>cf-browser-verification</i>", True),
+    ],
+)
+def test_signs_of_refusal_in_real_pages(value, html, want):
+    assert value(H.is_blocked, html) is want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<pre class='x'>{{ a }}</pre><code>v-for</code>", False),
+        ("<pre>{{ a }}</pre>{{ b }}", True),
+        ("<preface>{{ a }}</preface>", True),
+        ("<textarea>\nng-app</textarea>" + PEOPLE, False),
+        ("<div ng-app><code>ng-app</code></div>", True),
+    ],
+)
+def test_markers_in_shown_code(value, html, want):
+    assert value(H.is_template, html) is want
+
+
 def test_heads_of_pages_by_choice(value):
     late = "x" * 2000 + "forbidden {{ late }}"
     assert value(lambda c: H.is_blocked(c, head_chars=2000), late) is False

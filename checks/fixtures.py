@@ -247,6 +247,14 @@ SELECT p_partkey AS ord, p_brand AS university,
 FROM part
 """
 
+SQL["fx_unit_names"] = """
+SELECT p_brand AS university, CASE p_partkey % 5 WHEN 0 THEN 'Applied ' || p_name || ' studies ' || CAST(p_size AS STRING)
+ WHEN 1 THEN p_name || ' studies ' || CAST(p_size AS STRING) || ', Department of' WHEN 2 THEN upper(p_name) || '  Study ' || CAST(p_size AS STRING)
+ WHEN 3 THEN CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 9 = 1 THEN ' ' ELSE 'School of ' || p_name || ' & ' || CAST(p_size AS STRING) END
+ ELSE p_name || ' studies ' || CAST(p_size AS STRING) END AS name
+FROM part
+"""
+
 SQL["fx_department_lists"] = """
 SELECT p_partkey AS ord, p_brand AS university,
  CASE p_partkey % 5 WHEN 0 THEN 'nothing found' WHEN 1 THEN '{"departments": [broken'

@@ -781,6 +781,22 @@ SELECT university, arg_min(trim(name), ord) AS name, min(ord) AS ord FROM fx_dep
 WHERE trim(coalesce(name, '')) <> '' GROUP BY university, lower(trim(name))
 """, "fx_departments")
 
+_UNITS = "(department|dept[.]?|school|faculty|division|institute) of"
+oracle("departments_similar", rf"""
+WITH keys AS ( -- all pairs of one university, by brute force
+ SELECT DISTINCT university, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '[ \t]+', ' ', 'g'),
+  ', {_UNITS}$', ''), '^{_UNITS} ', '')) AS key FROM fx_unit_names WHERE trim(coalesce(name, '')) <> ''),
+sets AS (
+ SELECT *, list_distinct(list_transform(range(1, length(key) + 3), lambda i: substr('  ' || key || '  ', i, 3))) AS grams,
+  list_transform(['applied', 'clinical', 'computational', 'experimental', 'theoretical'],
+   lambda w: list_contains(string_split_regex(key, '[^a-z0-9]+'), w)) AS marks FROM keys WHERE key <> ''),
+pairs AS (
+ SELECT a.university, a.key, b.key AS other, CAST(len(list_intersect(a.grams, b.grams)) AS BIGINT) AS n_common, len(a.grams) + len(b.grams) AS n
+ FROM sets a JOIN sets b ON a.university = b.university AND a.key < b.key AND a.marks = b.marks)
+SELECT university, key, other, n_common, CAST(n - n_common AS BIGINT) AS n_either FROM pairs
+WHERE n_common * 1000000 >= (n - n_common) * 700000
+""", "fx_unit_names")
+
 oracle("departments_canonical", rf"""
 WITH k AS (
  SELECT university, trim(name) AS name, regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '[ \t]+', ' ', 'g'),

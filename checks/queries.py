@@ -12,7 +12,7 @@ from rosterlake.functions import keys as K
 from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import closure_updates, dedup, enrichment, hits, lifecycle, links, listing, pages
-from rosterlake.operators import records, requests, responses, targets, traversal
+from rosterlake.operators import records, requests, responses, similar_names, targets, traversal
 from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
@@ -565,6 +565,12 @@ def departments_canonical(spark, sf):
     return dedup.canonical_names(fx(spark, sf, "fx_departments"), scope=("university",))
 
 
+@query
+def departments_similar(spark, sf):
+    """Names of units of one university that are nearly the same."""
+    return similar_names.similar_names(fx(spark, sf, "fx_unit_names"), scope=("university",), similarity=0.7)
+
+
 @query
 def results_filtered(spark, sf):
     rows = _records(spark, sf).select(

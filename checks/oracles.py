@@ -936,6 +936,25 @@ m AS (
 SELECT *, CASE WHEN misses = 0 THEN 'active' WHEN misses >= 2 THEN 'archived' ELSE 'not_found' END AS status FROM m
 """, "fx_sightings")
 
+oracle("records_as_of", """
+WITH seen AS (SELECT DISTINCT * FROM fx_sightings),
+runs AS (
+ SELECT *, row_number() OVER (PARTITION BY university, department ORDER BY run_no) AS place
+ FROM (SELECT DISTINCT university, department, run_no FROM seen)),
+placed AS (
+ SELECT s.*, r.place, r.place - lag(r.place) OVER (PARTITION BY s.university, s.department, s.rec_key ORDER BY s.run_no) - 1 AS gap
+ FROM seen s JOIN runs r USING (university, department, run_no)),
+asking AS (SELECT DISTINCT unnest([run_no - 1, run_no, run_no + 1]) AS asked FROM seen),
+latest AS (SELECT asked, university, department, max(place) AS now FROM asking JOIN runs ON run_no <= asked GROUP BY ALL),
+held AS ( -- every run looks through all sightings up to it
+ SELECT asked, university, department, rec_key, max(place) AS place, max(run_no) AS last_run,
+  max(run_no) FILTER (WHERE gap IS NULL OR gap >= 2) AS first_run
+ FROM asking JOIN placed ON run_no <= asked GROUP BY asked, university, department, rec_key)
+SELECT asked AS run_no, university, department, rec_key, first_run, last_run,
+ CASE now - place WHEN 0 THEN 'active' WHEN 1 THEN 'not_found' ELSE 'archived' END AS status
+FROM held JOIN latest USING (asked, university, department)
+""", "fx_sightings")
+
 oracle("lifecycle_run_counts", f"""
 WITH {PLACED},
 a AS (SELECT run_no, count(*) FILTER (WHERE prev IS NULL) AS arrivals, count(*) FILTER (WHERE prev IS NOT NULL AND gap > 0) AS returns,

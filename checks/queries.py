@@ -11,7 +11,7 @@ from rosterlake.functions import html as H
 from rosterlake.functions import keys as K
 from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
-from rosterlake.operators import closure_updates, dedup, enrichment, hits, lifecycle, links, listing, pages
+from rosterlake.operators import closure_updates, dedup, enrichment, history, hits, lifecycle, links, listing, pages
 from rosterlake.operators import records, requests, responses, similar_names, targets, traversal
 from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
@@ -709,6 +709,15 @@ def lifecycle_history(spark, sf):
     return lifecycle.lifecycle_history(fx(spark, sf, "fx_sightings"), archive_after=2)
 
 
+@query
+def records_as_of(spark, sf):
+    """The state of every record in every run, one before the first and one after the last."""
+    seen = fx(spark, sf, "fx_sightings")
+    runs = seen.select(F.explode(F.array(F.col("run_no") - 1, F.col("run_no"), F.col("run_no") + 1)).alias("run_no"))
+    found = history.as_of(history.state_intervals(seen, archive_after=2), runs)
+    return found.select("run_no", "university", "department", "rec_key", "status", "first_run", "last_run")
+
+
 @query
 def lifecycle_run_counts(spark, sf):
     return lifecycle.lifecycle_run_counts(fx(spark, sf, "fx_sightings"))

@@ -511,6 +511,40 @@ walk AS ( -- a row for each step of each root: its queue of pages with the way t
 SELECT root, visit_no, url, depth, ancestors FROM walk WHERE visit_no > 0
 """, "fx_links")
 
+oracle("crawl_order_full", """
+WITH RECURSIVE
+urls AS (SELECT url, row_number() OVER (ORDER BY url) AS no FROM (
+ SELECT src AS url FROM fx_links UNION SELECT dst FROM fx_links UNION SELECT 'https://d/n' || CAST(n_nationkey AS VARCHAR) FROM nation)),
+steps AS (SELECT s.no AS src, d.no AS dst, kind, pos, l.dst AS name FROM fx_links l JOIN urls s ON s.url = l.src JOIN urls d ON d.url = l.dst),
+nexts AS (SELECT src, arg_min(dst, (pos, name)) AS nxt FROM steps WHERE kind = 'next' GROUP BY src),
+kids AS (
+ SELECT src, list(dst ORDER BY pos, name) AS kids
+ FROM (SELECT src, dst, name, min(pos) AS pos FROM steps WHERE kind = 'child' GROUP BY src, dst, name) GROUP BY src),
+walk USING KEY (root) AS ( -- the state of each root, which a step replaces: its queue, all pages queued so far and by whom, all visits
+ SELECT no AS root, [no] AS queue, [no] AS known, [CAST(0 AS BIGINT)] AS parents, CAST([] AS BIGINT[]) AS visits
+ FROM urls JOIN nation ON url = 'https://d/n' || CAST(n_nationkey AS VARCHAR)
+ UNION
+ SELECT root, ahead || rest || children, known || ahead || children,
+  parents || list_transform(ahead || children, lambda u: page), list_append(visits, page)
+ FROM (
+  SELECT root, known, parents, visits, page, rest, ahead, CASE WHEN len(kids) = 0 THEN kids
+    WHEN len(kids) = 1 THEN CASE WHEN list_contains(known, kids[1]) OR list_contains(ahead, kids[1]) THEN [] ELSE kids END
+    ELSE list_filter(kids, lambda u: NOT list_contains(known, u) AND NOT list_contains(ahead, u)) END AS children
+  FROM (
+   SELECT w.root, w.known, w.parents, w.visits, w.queue[1] AS page, w.queue[2:] AS rest, coalesce(k.kids, []) AS kids,
+    CASE WHEN x.nxt IS NULL OR list_contains(w.known, x.nxt) THEN [] ELSE [x.nxt] END AS ahead
+   FROM walk w LEFT JOIN nexts x ON x.src = w.queue[1] LEFT JOIN kids k ON k.src = w.queue[1]
+   WHERE len(w.queue) > 0))),
+visited AS (SELECT root, generate_subscripts(visits, 1) AS visit_no, unnest(visits) AS page FROM walk),
+offered AS (SELECT root, unnest(known) AS page, unnest(parents) AS parent FROM walk),
+deep AS (
+ SELECT root, page, CAST(0 AS BIGINT) AS depth FROM offered WHERE parent = 0
+ UNION ALL SELECT o.root, o.page, d.depth + 1 FROM deep d JOIN offered o ON o.root = d.root AND o.parent = d.page)
+SELECT r.url AS root, CAST(visit_no AS BIGINT) AS visit_no, u.url, depth, p.url AS parent
+FROM visited v JOIN offered o USING (root, page) JOIN deep USING (root, page)
+JOIN urls r ON r.no = root JOIN urls u ON u.no = page LEFT JOIN urls p ON p.no = parent
+""", "fx_links")
+
 oracle("closure_delta", """
 WITH RECURSIVE
 numbered AS (SELECT *, CAST(regexp_extract(dst, '([0-9]+)$', 1) AS BIGINT) AS number FROM fx_links),

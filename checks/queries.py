@@ -12,7 +12,7 @@ from rosterlake.functions import keys as K
 from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import closure_updates, dedup, enrichment, history, hits, lifecycle, links, listing, pages
-from rosterlake.operators import records, requests, responses, similar_names, targets, traversal
+from rosterlake.operators import records, requests, responses, similar_names, targets, traversal, visit_order
 from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
@@ -334,6 +334,15 @@ def crawl_order(spark, sf):
     return order.withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
+@query
+def crawl_order_full(spark, sf):
+    """The visiting order of all pages that the nations lead to, without a budget."""
+    roots = table(spark, sf, "nation").select(
+        F.concat(F.lit("https://d/n"), F.col("n_nationkey").cast("string")).alias("root")
+    )
+    return visit_order.visit_order(roots, fx(spark, sf, "fx_links"))
+
+
 def _changed_links(spark, sf):
     """Links that are gone, and links that are new: from a page to the next but one."""
     links = fx(spark, sf, "fx_links")

@@ -355,6 +355,13 @@ FROM (SELECT url, regexp_extract_all(html, '{ANCHOR}', 1) AS links, regexp_extra
  unnest(range(1, len(regexp_extract_all(html, '{ANCHOR}', 1)) + 1)) AS i FROM pages)
 """)
 
+oracle("records_mined", """
+SELECT 'https://d.edu/people/' || CAST(c_custkey // 40 AS VARCHAR) AS url, CAST(c_custkey % 40 AS BIGINT) AS pos, c_name AS name,
+ CASE WHEN c_custkey // 40 % 2 = 0 THEN 'https://d.edu/p/' || CAST(c_custkey AS VARCHAR) END AS profile_url,
+ CASE WHEN c_custkey // 40 % 4 <> 2 THEN 'm' || CAST(c_custkey AS VARCHAR) || '@d.edu' END AS email
+FROM customer
+""")
+
 DEPT_OUT = (
     "hr|human resources|finance|it|library|registrar|centre|center|lab|laboratory|graduate school"
     "|continuing education|professional studies"

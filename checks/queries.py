@@ -224,6 +224,40 @@ def listing_rows(spark, sf):
     return listing.listing_rows(table(spark, sf, "pages"))
 
 
+def _directories(spark, sf):
+    """Pages that list forty customers each: cards, terms, lists in lists and table rows."""
+    number, at = F.expr("c_custkey div 40"), F.col("c_custkey") % 40
+    key = F.col("c_custkey").cast("string")
+    link = F.concat(F.lit('<a href="/p/'), key, F.lit('">'), F.col("c_name"), F.lit("</a>"))
+    mail = F.concat(F.lit("m"), key, F.lit("@d.edu"))
+    in_list = F.when(at % 3 == 0, "<ul>").when(at % 3 == 1, "</li>").otherwise("</ul></li>")
+    shapes = [
+        ("", F.concat(F.lit("<div><div><b>"), link, F.lit("</div><div>"), F.col("c_mktsegment"), F.lit("<br>"), mail, F.lit("</div></div>")), ""),
+        ("<dl>", F.concat(F.lit("<dt>"), F.col("c_name"), F.lit("<dd>"), mail, F.lit("<dd>"), F.col("c_mktsegment")), "</dl>"),
+        ("<ul>", F.concat(F.lit("<li>"), link, in_list), "</ul>"),
+        ("<table><tr><th>Name<th>Mail", F.concat(F.lit("<tr><td>"), F.col("c_name"), F.lit('<td><a href="mailto:'), mail, F.lit('">write</a>')), "</table>"),
+    ]
+    rows = table(spark, sf, "customer").select(number.alias("page"), at.alias("at"), *(s[1].alias(f"s{i}") for i, s in enumerate(shapes)))
+    shape = F.col("page") % 4
+    entry = F.when(shape == 0, F.col("s0")).when(shape == 1, F.col("s1")).when(shape == 2, F.col("s2")).otherwise(F.col("s3"))
+    pages = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", entry.alias("entry")))).alias("entries"))
+    menu = "<nav><ul>{}</ul></nav>".format("".join(f'<li><a href="/{w}">{w}</a>' for w in ("home", "news", "visit")))
+    head, tail = (
+        F.element_at(F.array(*(F.lit(s[at]) for s in shapes)), (shape + 1).cast("int")) for at in (0, 2)
+    )
+    return pages.select(
+        F.concat(F.lit("https://d.edu/people/"), F.col("page").cast("string")).alias("url"),
+        F.concat(F.lit(f"<html><body>{menu}<div><p><b>All people<br>"), head, F.array_join("entries.entry", ""), tail, F.lit("</div></body></html>")).alias("html"),
+    )
+
+
+@query
+def records_mined(spark, sf):
+    """Entries of directory pages by their repeated structure."""
+    mined = listing.records_mined(_directories(spark, sf))
+    return mined.select("url", "pos", "name", "profile_url", "email")
+
+
 @query
 def records_extracted(spark, sf):
     def anchors(url: str, html: str):

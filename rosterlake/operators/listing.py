@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import html as H
 from ..functions import text as X
+from ..functions.page_structure import entries_of
 from ..functions.urls import resolve
 from ..spec import RecordSpec
 
@@ -51,6 +52,42 @@ def listing_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def records_mined(pages: DataFrame, min_repeats: int = 3) -> DataFrame:
+    """Candidate rows from repeated structure: cards, lists in lists, terms, table rows.
+
+    An entry is what stands ``min_repeats`` times at the same path of tags and classes of a
+    page (see ``page_structure.entries_of``). Columns as in ``listing_rows``, and the
+    text; ``name`` is that of its first link to a page, or else its first piece of text
+    up to a comma or an address. Pages are parsed where they are read, without a shuffle; NULL pages have
+    no entries.
+    """
+
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (url, pos, *entry)
+                for url, html in zip(batch["url"], batch["html"], strict=True)
+                for pos, entry in enumerate(entries_of(html, min_repeats))
+            ]
+            yield pd.DataFrame(rows, columns=["url", "pos", "_name", "_href", "_mail", "text"])
+
+    schema = "url string, pos bigint, _name string, _href string, _mail string, text string"
+    rows = pages.where("html is not null").select("url", "html").mapInPandas(mine, schema)
+    written = F.try_element_at(X.emails_in(X.deobfuscate_emails("text")), F.lit(1))
+    name = F.regexp_replace("_name", r"(?s)[,:;|].*|\S+@.*", "")
+    return rows.select(
+        "url",
+        "pos",
+        X.strip(name).alias("name"),
+        F.when(F.col("_href") != "", resolve("url", "_href")).alias("profile_url"),
+        F.when(F.col("_mail") != "", F.lower("_mail")).otherwise(written).alias("email"),
+        X.title_prefix("text").alias("title"),
+        X.has_included_role("text").alias("is_academic_role"),
+        "text",
+    )
+
+
+
 Extractor = Callable[[str, str], Iterable[dict[str, str | None]]]
 
 

@@ -14,7 +14,8 @@ the least hashes of doc_id, so it doesn't grow with the table.
 
 * ``und`` with score 0 for null and empty texts and texts without a letter.
 * Words are runs of letters, digits and characters beyond ASCII after lowering
-  A-Z; longer ones than ``WORD_CHARS`` are cut there and all parts count.
+  A-Z. They are segmented whole, however long; sums are scaled anew every few
+  characters, so those of long words stay in the range of doubles.
 * Rows with null language or text don't train. Without training rows every
   prediction is ``und``. Equal texts get equal predictions; ties go to the first
   language by code point. Repeated rows and extra columns change nothing else.
@@ -35,12 +36,16 @@ from rosterlake.llm.wordhash import ALNUM, Words, mix, steps
 UNDETERMINED = "und"
 SAMPLE_DOCS = 400
 ITERATIONS = 4
-#: A word's characters that are segmented together, with the mark of its start.
-WORD_CHARS = 40
 #: Added to the expected count of each piece.
 SMOOTHING = 0.02
-#: Scales a character's probability so that long words stay in range.
-PER_CHAR = 50.0
+#: Characters between two scalings of the sums.
+SCALED_CHARS = 16
+#: Ends of pieces that are looked up at once in words of one length.
+LOOKED_UP = 64
+#: Words of up to so many characters are handled with those of their own length only.
+SHORT = 40
+#: Sums held at once, in words times languages times characters.
+HELD = 4_000_000
 #: Words remembered by a worker.
 MEMORY = 400_000
 
@@ -75,82 +80,134 @@ class Lattice:
 
     def steps(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """From, to, words and pieces of all steps through words of one length, by end."""
-        codes = self._codes(words)
-        length = codes.shape[1]
-        running: list[np.ndarray | None] = []
-        for end in range(1, length + 1):
-            running.append(np.zeros(len(words), np.uint64))
-            for start in range(max(0, end - self.longest), end):
-                running[start] = mix(running[start] * np.uint64(31) + codes[:, end - 1] + np.uint64(1))
-                n = end - start
+        codes = np.ascontiguousarray(self._codes(words).T)
+        length = len(codes)
+        for low in range(1, length + 1, LOOKED_UP):
+            high = min(low + LOOKED_UP, length + 1)
+            origin = max(0, low - self.longest)
+            running = np.zeros((high - origin, len(words)), np.uint64)
+            found = []
+            for n in range(1, min(self.longest, high - 1 - origin) + 1):
+                # hashes of the n characters from each start on whose end is below high
+                rest = running[: high - n - origin]
+                running = mix(rest * np.uint64(31) + codes[origin + n - 1 : high - 1] + np.uint64(1))
+                if n > 1 and n not in self.tables:
+                    continue
+                first = max(low, origin + n)
+                own = running[first - n - origin :]
                 if n in self.tables:
                     hashes, numbers = self.tables[n]
-                    at = np.minimum(np.searchsorted(hashes, running[start]), len(hashes) - 1)
-                    found = hashes[at] == running[start]
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    known, pieces = hashes[at] == own, numbers[at]
                 else:
-                    found, numbers, at = np.zeros(len(words), bool), np.zeros(1, np.int64), np.zeros(len(words), np.int64)
+                    known, pieces = np.zeros(own.shape, bool), np.zeros(own.shape, np.int64)
                 if n == 1:
-                    yield start, end, np.arange(len(words)), np.where(found, numbers[at], self.size - 1)
-                elif found.any():
-                    rows = np.flatnonzero(found)
-                    yield start, end, rows, numbers[at[rows]]
-
-
-def _forward(lattice: Lattice, words: list[str], p: np.ndarray):
-    """Sums over segmentations of all beginnings, and the steps; p: pieces x languages."""
-    sums = np.zeros((len(words[0]) + 1, len(words), p.shape[1]))
-    sums[0] = 1
-    taken = []
-    for start, end, rows, pieces in lattice.steps(words):
-        sums[end, rows] += sums[start, rows] * p[pieces] * PER_CHAR ** (end - start)
-        taken.append((start, end, rows, pieces))
-    return sums, taken
-
-
-def _of_one_length(words: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        same = np.flatnonzero(lengths == n)
+                    known, pieces = np.ones(own.shape, bool), np.where(known, pieces, self.size - 1)
+                place, rows = np.nonzero(known)
+                bounds = np.searchsorted(place + first, np.arange(low, high + 1))
+                found.append((n, bounds, rows, pieces[place, rows]))
+            for end in range(low, high):
+                for n, bounds, rows, pieces in reversed(found):
+                    a, b = bounds[end - low], bounds[end - low + 1]
+                    if a < b:
+                        yield end - n, end, rows[a:b], pieces[a:b]
+
+
+class Sums:
+    """Sums over the segmentations of all beginnings of words of one length.
+
+    The sum of a beginning of t characters is ``of(t) * exp(scale[t // SCALED_CHARS])``, by
+    word and language; p holds pieces x languages. Sums of a beginning that no piece can
+    reach back to are overwritten unless ``keep``.
+    """
+
+    def __init__(self, lattice: Lattice, words: list[str], p: np.ndarray, keep: bool = False) -> None:
+        self.words, self.p, self.lattice = words, p, lattice
+        length = len(words[0])
+        shape = (len(words), p.shape[1])
+        self.held = np.zeros((length + 1 if keep else min(length, lattice.longest) + 1, *shape))
+        self.scale = np.zeros((length // SCALED_CHARS + 1, *shape))
+        self.held[0] = 1
+
+    def of(self, t: int) -> np.ndarray:
+        return self.held[t % len(self.held)]
+
+    def step(self, start: int, end: int, rows: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """What a step multiplies its sum by."""
+        a, b = start // SCALED_CHARS, end // SCALED_CHARS
+        out = self.p[pieces]
+        return out if a == b else out * np.exp(self.scale[a, rows] - self.scale[b, rows])
+
+    def run(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """All steps, each after it has been added; those of the next end start anew."""
+        last = 0
+        for start, end, rows, pieces in self.lattice.steps(self.words):
+            if end != last:
+                if end % SCALED_CHARS == 0:
+                    # every sum is above 0, since any single character is a piece
+                    block = end // SCALED_CHARS
+                    self.scale[block] = self.scale[block - 1] + np.log(self.of(end - 1))
+                self.of(end)[:] = 0
+                last = end
+            self.of(end)[rows] += self.of(start)[rows] * self.step(start, end, rows, pieces)
+            yield start, end, rows, pieces
+
+    def ends(self) -> Iterator[int]:
+        """Each end once its sum is whole."""
+        last = 0
+        for _, end, _, _ in self.run():
+            # a step of the next end has been added by now; the ring still holds the one before
+            if last and end != last:
+                yield last
+            last = end
+        yield last
+
+
+def _like_lengths(words: list[str], languages: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Which words, their lengths, and the words, long ones filled up to one length."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    # long words go with those of up to a quarter more characters
+    grade = np.ceil(np.log(np.maximum(lengths, SHORT) / SHORT) / np.log(1.25))
+    filled = np.where(lengths <= SHORT, lengths, np.ceil(SHORT * 1.25**grade).astype(np.int64) + 1)
+    for n in np.unique(filled):
+        same = np.flatnonzero(filled == n)
+        most = max(1, int(HELD // (n * max(languages, 1))))
         for k in range(0, len(same), most):
-            yield same[k : k + most]
-
-
-def parts(word: str) -> list[str]:
-    """A word with the mark of its start, cut where it is too long."""
-    marked = "▁" + word
-    return [marked[k : k + WORD_CHARS] for k in range(0, len(marked), WORD_CHARS)]
+            own = same[k : k + most]
+            longest = int(lengths[own].max())
+            yield own, lengths[own], [words[i].ljust(longest, "\0") for i in own]
 
 
 def log_likelihood(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
     """Of each word (row) in each language (column)."""
-    pieces = [(i, part) for i, w in enumerate(words) for part in parts(w)]
+    marked = ["▁" + w for w in words]
     out = np.zeros((len(words), p.shape[1]))
-    texts = [part for _, part in pieces]
-    owner = np.array([i for i, _ in pieces])
-    for same in _of_one_length(texts):
-        group = [texts[i] for i in same]
-        sums, _ = _forward(lattice, group, p)
-        scale = len(group[0]) * np.log(PER_CHAR)
-        np.add.at(out, owner[same], np.log(np.maximum(sums[-1], 1e-300)) - scale)
+    for own, lengths, group in _like_lengths(marked, p.shape[1]):
+        sums = Sums(lattice, group, p)
+        ending = {n: np.flatnonzero(lengths == n) for n in set(lengths.tolist())}
+        for end in sums.ends():
+            if end in ending:
+                rows = ending[end]
+                out[own[rows]] = np.log(sums.of(end)[rows]) + sums.scale[end // SCALED_CHARS, rows]
     return out
 
 
 def fit(lattice: Lattice, words: list[str], counts: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
     """Piece probabilities by language, of counts of words by language."""
-    texts = [part for w in words for part in parts(w)]
-    owner = np.array([i for i, w in enumerate(words) for _ in parts(w)])
+    marked = ["▁" + w for w in words]
     p = np.full((lattice.size, counts.shape[1]), 1 / lattice.size)
     for _ in range(iterations):
         expected = np.full_like(p, SMOOTHING)
-        for same in _of_one_length(texts):
-            group, weight = [texts[i] for i in same], counts[owner[same]]
-            sums, taken = _forward(lattice, group, p)
-            rest = np.zeros_like(sums)
-            rest[-1] = weight / np.maximum(sums[-1], 1e-300)
+        for own, lengths, group in _like_lengths(marked, p.shape[1]):
+            sums = Sums(lattice, group, p, keep=True)
+            taken = list(sums.run())
+            rest = np.zeros_like(sums.held)
+            each = np.arange(len(own))
+            rest[lengths, each] = counts[own] / sums.held[lengths, each]
             for start, end, rows, pieces in reversed(taken):
-                back = rest[end, rows] * p[pieces] * PER_CHAR ** (end - start)
+                back = rest[end, rows] * sums.step(start, end, rows, pieces)
                 rest[start, rows] += back
-                share = sums[start, rows] * back
+                share = sums.held[start, rows] * back
                 for language in range(p.shape[1]):
                     expected[:, language] += np.bincount(pieces, share[:, language], len(p))
         p = expected / expected.sum(axis=0)

@@ -1,5 +1,6 @@
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -45,6 +46,48 @@ def test_forward_sums_all_segmentations():
             assert row[k] == pytest.approx(math.log(brute(pieces, p[:, k], "▁" + w)))
 
 
+def by_recursion(pieces, p, word):
+    """The logarithm of the sum, in exact fractions from left to right."""
+    number = {piece: i for i, piece in enumerate(pieces) if piece}
+    exact = [Fraction(float(x)) for x in p]
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        total = Fraction(0)
+        for start in range(max(0, end - 4), end):
+            part = word[start:end]
+            if part in number or len(part) == 1:
+                total += sums[start] * exact[number.get(part, len(pieces))]
+        sums.append(total)
+    last = sums[-1]
+    return (math.log(last.numerator) - math.log(last.denominator)) if last else -math.inf
+
+
+def test_long_words_are_segmented_whole():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "abab", "", "aba"]
+    lattice = language.Lattice(pieces)
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.full(len(pieces) + 1, 0.3), 3).T + 1e-9
+    words = ["".join(rng.choice(list("abü"), n)) for n in (1, 15, 16, 17, 39, 40, 41, 63, 64, 65, 80, 81, 400)] * 2
+    got = language.log_likelihood(lattice, p, words)
+    for row, w in zip(got, words, strict=True):
+        assert row == pytest.approx([by_recursion(pieces, p[:, k], "▁" + w) for k in range(3)], rel=1e-9)
+
+
+def test_very_long_words_still_tell_languages_apart():
+    lattice = language.Lattice(["▁", "a", "b", "ab"])
+    p = np.array([[0.2, 0.2], [0.3, 1e-7], [1e-7, 0.3], [0.2, 0.2], [0.3, 0.3]])
+    got = language.log_likelihood(lattice, p, ["a" * 20_000, "b" * 20_000])
+    assert np.isfinite(got).all() and got[0, 0] - got[0, 1] > 100_000 and got[1, 1] - got[1, 0] > 100_000
+
+
+def test_expected_counts_of_long_words():
+    lattice = language.Lattice(["▁", "a", "b", "ab", "ba"])
+    word = "ab" * 150
+    p = language.fit(lattice, [word, "ab"], np.array([[3.0], [1.0]]), 6)
+    assert np.isfinite(p).all() and np.isclose(p.sum(), 1)
+    assert p[3, 0] > 0.9 * (1 - p[0, 0])
+
+
 def test_fitting_raises_the_likelihood():
     lattice = language.Lattice(["▁", "a", "b", "ab", "▁ab", "ba"])
     words, counts = ["abab", "ba", "aab"], np.array([[5.0], [2.0], [3.0]])

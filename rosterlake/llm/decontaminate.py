@@ -6,7 +6,8 @@ words of each hit, and marks the words that lie in hits. No shuffle, whole texts
 
 A broadcast set has a proven size: the benchmark's bytes are counted first, and
 a benchmark of more than ``broadcast_bytes`` is cut by a hash of the item id
-into slices below that. The scan then runs once per slice, each adding
+into slices below that. A slice of that size is held in up to 15 times its bytes, of words of one
+letter, and 6 times, of common words. The scan then runs once per slice, each adding
 its hits to those before in the same row, so the result is the same.
 
 Words are runs of digits, letters and characters beyond ASCII after lowering A-Z.
@@ -35,7 +36,7 @@ from rosterlake.llm.wordhash import ALNUM, Words, steps
 
 WINDOW_WORDS = 13
 #: Of a slice of the benchmark that is held in memory by driver and workers.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: A document counts as contaminated from this part of its words on.
 CONTAMINATED_PART = (1, 20)
 
@@ -43,34 +44,65 @@ HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:
 
 
 class WindowSet:
-    """Windows of benchmark items by length: hashes, and words and items by hash."""
+    """Windows of benchmark items by length, packed into arrays.
+
+    The words of all items stand in one buffer, a space between two. A window is
+    the hash of its words, its place there and its item: 28 bytes a window beside the
+    text, whatever the number of windows.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.by_length: dict[int, np.ndarray] = {}
-        self.items: dict[tuple[int, int], dict[tuple[bytes, ...], set[str]]] = {}
-        found: dict[int, set[int]] = defaultdict(set)
+        self.names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        texts, origin = [], 0
         for item, text in items:
             for run in steps([text]):
                 words = Words(run, ALNUM, lower=True)
                 n = min(window, len(words.hash))
                 if not n:
                     continue
-                for at, h in zip(*words.windows(n), strict=True):
-                    found[n].add(int(h))
-                    same = self.items.setdefault((n, int(h)), {})
-                    same.setdefault(tuple(words.text(i) for i in range(at, at + n)), set()).add(item)
-        for n, hashes in found.items():
-            self.by_length[n] = np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+                # words end where the next one starts, but for a space
+                lengths = words.end - words.start
+                start = origin + np.concatenate(([0], np.cumsum(lengths + 1)))
+                at, hashes = words.windows(n)
+                owner = np.full(len(at), number[item], np.int32)
+                found[n].append((hashes, start[at], start[at + n] - 1, owner))
+                texts.append(b" ".join(words.text(i) for i in range(len(lengths))) + b" ")
+                origin = int(start[-1])
+        self.text = b"".join(texts)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for n, parts in found.items():
+            hashes, start, end, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((owner, hashes))
+            hashes, owner = hashes[order], owner[order]
+            # a window repeated by an item counts once, unless it may be another with its hash
+            start, end = start[order], end[order]
+            again = np.zeros(len(order), bool)
+            twin = np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])) + 1
+            for i in twin.tolist():
+                again[i] = self.text[start[i] : end[i]] == self.text[start[i - 1] : end[i - 1]]
+            self.by_length[n] = (hashes[~again], start[~again], end[~again], owner[~again])
+
+    @property
+    def n_bytes(self) -> int:
+        """What the set holds, but for the item ids."""
+        return len(self.text) + sum(a.nbytes for arrays in self.by_length.values() for a in arrays)
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
         """First word, number of words and items of each window found."""
-        for n, known in self.by_length.items():
+        for n, (known, start, end, owner) in self.by_length.items():
             at, hashes = words.windows(n)
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for i in np.flatnonzero(known[place] == hashes):
+            low = np.searchsorted(known, hashes)
+            for i in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == hashes):
                 first = int(at[i])
-                own = tuple(words.text(k) for k in range(first, first + n))
-                items = self.items[n, int(hashes[i])].get(own)
+                own = b" ".join(words.text(k) for k in range(first, first + n))
+                items = set()
+                j = int(low[i])
+                while j < len(known) and known[j] == hashes[i]:
+                    if self.text[start[j] : end[j]] == own:
+                        items.add(self.names[owner[j]])
+                    j += 1
                 if items:
                     yield first, n, items
 
@@ -124,7 +156,7 @@ def find_contamination(
     broadcast_bytes: int = BROADCAST_BYTES,
     name: str = "contamination",
 ) -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, items (sorted ids
+    """``docs`` with a struct column ``name`` (one of that name is replaced): n_words, n_hit, items (sorted ids
     of the items with windows in the text), spans (byte ranges of hit words in
     the UTF-8 text), marks (a bit per word, null without hits)."""
     spark = docs.sparkSession

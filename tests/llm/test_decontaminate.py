@@ -53,6 +53,27 @@ def test_equals_brute_force_also_in_slices(spark, limit):
     assert got == brute(docs, items)
 
 
+def test_packed_windows_stay_small_and_tell_items_apart():
+    rng = random.Random(4)
+    some = [f"word{i}" for i in range(3000)]
+    shared = " ".join(some[:20])
+    items = [(f"i{k:04}", " ".join(rng.choices(some, k=200))) for k in range(1500)]
+    items += [(f"s{k}", shared) for k in range(50)] + [("twice", shared + " x " + shared)]
+    known = decontaminate.WindowSet(items, 13)
+    assert known.n_bytes < 6 * sum(len(t) for _, t in items)
+    hits = list(known.hits(decontaminate.Words([b"start " + shared.upper().encode() + b" end"], decontaminate.ALNUM, lower=True)))
+    assert [(first, n) for first, n, _ in hits] == [(1 + k, 13) for k in range(8)]
+    assert all(names == {*(f"s{k}" for k in range(50)), "twice"} for _, _, names in hits)
+
+
+def test_equal_hashes_of_unlike_words():
+    known = decontaminate.WindowSet([("a", "one two"), ("b", "one three"), ("c", "one two")], 2)
+    hashes, *rest = known.by_length[2]
+    own = decontaminate.Words([b"one two"], decontaminate.ALNUM, lower=True)
+    known.by_length[2] = (hashes * 0 + own.windows(2)[1][0], *rest)
+    assert list(known.hits(own)) == [(0, 2, {"a", "c"})]
+
+
 def test_awkward_rows(spark):
     docs = clashing(awkward(spark))
     bench = spark.createDataFrame([(1, BASE), (2, None), (3, ""), (None, "kurz")], ITEM)

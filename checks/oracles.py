@@ -277,6 +277,21 @@ SELECT c.url, c.status, coalesce(k.n, 0) AS n_children, coalesce(k.bad, 0) AS n_
 FROM changes c LEFT JOIN kids k ON k.src = c.url
 """, "fx_snapshots")
 
+oracle("subtree_changes_deep", f"""
+WITH RECURSIVE {CHANGES},
+edges AS (
+ SELECT p.url AS src, c.url AS dst FROM pages p JOIN pages c ON c.page_id IN (p.page_id * 2 + 1, p.page_id * 2 + 2)
+  OR (p.page_id % 4 = 0 AND p.page_id > 0 AND c.page_id = (p.page_id - 1) // 2)),
+marked AS (
+ SELECT url, 0 AS d FROM changes WHERE status <> 'unchanged'
+ UNION SELECT e.dst, 0 FROM edges e ANTI JOIN changes c ON c.url = e.dst
+ UNION -- a tree of pages, with links back up: no shortest way is longer than 60
+ SELECT e.src, m.d + 1 FROM marked m JOIN edges e ON e.dst = m.url WHERE m.d < 60),
+nearest AS (SELECT url, min(d) AS d FROM marked GROUP BY url)
+SELECT c.url, c.status, CAST(n.d AS BIGINT) AS links_to_change, n.d IS NULL AS can_skip
+FROM changes c LEFT JOIN nearest n ON n.url = c.url
+""", "fx_snapshots")
+
 
 def _emails(source: str, key: str, column: str) -> str:
     return f"""

@@ -12,7 +12,7 @@ from rosterlake.functions import keys as K
 from rosterlake.functions import text as X
 from rosterlake.functions import urls as U
 from rosterlake.operators import closure_updates, dedup, enrichment, history, hits, lifecycle, links, listing, pages
-from rosterlake.operators import records, requests, responses, similar_names, targets, traversal, visit_order
+from rosterlake.operators import records, requests, responses, similar_names, subtree, targets, traversal, visit_order
 from rosterlake.plans import discovery, roster_run
 from rosterlake.session import StepTables, scratch_root
 from rosterlake.sinks import tables
@@ -196,6 +196,18 @@ def subtree_changes(spark, sf):
     return pages.subtree_changes(changes, edges)
 
 
+@query
+def subtree_changes_deep(spark, sf):
+    """Pages with nothing changed at any depth below; every fourth page links back up."""
+    changes = pages.changes_between(fx(spark, sf, "fx_snapshots"), 2).select("url", "status")
+    p = table(spark, sf, "pages").select("page_id", "url")
+    n = F.col("page_id")
+    up = F.when((n % 4 == 0) & (n > 0), F.floor((n - 1) / 2))
+    to = p.select(F.col("url").alias("src"), F.explode(F.array(n * 2 + 1, n * 2 + 2, up)).alias("page_id"))
+    links = to.join(p.withColumnRenamed("url", "dst"), "page_id").select("src", "dst")
+    return subtree.changed_below(StepTables(spark).write("changes", changes), links)
+
+
 @query
 def page_emails(spark, sf):
     return pages.page_emails(fx(spark, sf, "fx_contacts"), "doc_id", "text")

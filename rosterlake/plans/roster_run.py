@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fv
 from ..functions.keys import SOURCE_KEY, job_id, source_key
 from ..functions.urls import is_http
-from ..operators import dedup, enrichment, pages, records, responses, targets, traversal
+from ..operators import dedup, enrichment, pages, records, responses, subtree, targets, traversal
 from ..session import StepTables
 from ..sinks.tables import GenerationTable
 from ..spec import RecordSpec
@@ -137,13 +137,7 @@ def plan_run(
     direct = pages.subtree_changes(changes, links).select("url", "can_skip")
     # pages further below count too, as far as they are known
     usable = traversal.usable_links(links, known.select("url"))
-    tops = work.where(is_http("link")).select(F.col("link").alias("url")).distinct().join(known.select("url"), "url", "left_semi")
-    deep = (
-        traversal.crawl_closure(tops.select(F.col("url").alias("root")), usable)
-        .join(changes, "url")
-        .groupBy(F.col("root").alias("url"))
-        .agg(F.bool_and(F.col("status") == "unchanged").alias("all_same"))
-    )
+    deep = subtree.changed_below(changes, usable).select("url", F.col("can_skip").alias("all_same"))
     can_skip = direct.join(deep, "url").select(
         F.col("url").alias("link"), (F.col("can_skip") & F.col("all_same")).alias("can_skip")
     )

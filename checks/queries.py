@@ -828,11 +828,13 @@ def rows_numbered(spark, sf):
 def full_run(spark, sf):
     """Three runs over pages of which half change after the first.
 
-    Every page is the listing page of a target. Responses fail for half the pages in the
+    Every page is the listing page of a target, named by its URL and its number, as some
+    URLs have several pages. Responses fail for half the pages in the
     first two runs; one target in seven is not processed in the second. What changed
     meanwhile, or failed, is made up for in the third; the rest is skipped there.
     """
-    p = table(spark, sf, "pages")
+    named = F.concat("url", F.lit("#P"), F.col("page_id").cast("string"))
+    p = table(spark, sf, "pages").withColumn("url", named)
     no_status = F.lit(None).cast("string")
     t = p.select(
         U.host("url").alias("university"),
@@ -844,7 +846,7 @@ def full_run(spark, sf):
         F.col("page_id") % 4 >= 2, F.concat("html", F.lit("<p>another entry</p>"))
     ).otherwise(F.replace(F.col("html"), F.lit('class="ad"'), F.lit('class="ad-17"')))
     later = p.select("url", changed.alias("html"))
-    answers = fx(spark, sf, "fx_run_responses")
+    answers = fx(spark, sf, "fx_run_responses").withColumn("url", named)
     store = roster_run.RosterStore(
         spark, f"{scratch_root(spark)}/roster/{uuid.uuid4().hex}", LISTING_SPEC
     )

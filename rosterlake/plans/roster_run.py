@@ -111,7 +111,8 @@ def plan_run(
 
     ``target_rows`` are normalised targets and ``page_rows(url, html)`` the pages of
     this run. Pages for which ``gate`` (such as ``functions.html.is_blocked``) is true
-    count as not fetched; the stored page, if there is one, takes their place.
+    count as not fetched; the stored page, if there is one, takes their place. A URL that
+    stands there more than once is one page.
     Targets of one (university, department) are worked on together and skipped only if
     nothing below any of their links changed.
     """
@@ -120,6 +121,7 @@ def plan_run(
     if gate is not None:
         page_rows = page_rows.where(~gate(F.col("html")))
     fresh = pages.fingerprint_snapshots(page_rows, keep=("url",))
+    fresh = fresh.groupBy("url").agg(F.max("fingerprint").alias("fingerprint"))
     known = steps.write("known", _known_pages(store.pages(None if first_run else run_no), fresh))
     parsed = responses.parse_responses(known.where("response is not null").select("url", "response"))
     links = steps.write("links", responses.response_links(parsed))

@@ -52,3 +52,7 @@ def test_one_page_of_a_url_gives_its_rows(spark, tmp_path):
     assert sorted(map(tuple, table.current().drop("run_no").collect())) == [("a", "y"), ("b", "x")]
     tracker.process(spark.createDataFrame([("a", 2, "y"), ("a", 2, "z"), ("b", 2, "x")], SNAPSHOT), 1)
     assert sorted(map(tuple, table.current().drop("run_no").collect())) == [("a", "z"), ("b", "x")]
+
+
+def test_whole_run_as_in_sql(spark, repeated):
+    assert differences(spark, repeated, "full_run") is None

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_http
-from ..session import StepTables
+from ..session import LinkSteps, StepTables
 
 
 def usable_links(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def pagination_walk(
     the first repeat on a walk holds nothing new. Start at heads of chains: a
     walk from every page of a chain of n pages has n * n / 2 rows.
     """
-    steps = StepTables(starts.sparkSession)
+    steps = LinkSteps(starts.sparkSession)
     jump = (
         links.where(F.col("kind") == "next")
         .groupBy("src")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,3 +71,31 @@ class StepTables:
         jvm = self._spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self._root)
         path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class LinkSteps(StepTables):
+    """Steps of narrow rows, joined by their counted rows instead of the size of their files.
+
+    Files of links are so much smaller than their rows that Spark would send millions of
+    rows through the driver to all executors. Here a table of up to ``SMALL_ROWS`` is
+    sent, and a larger one is joined by sorting.
+    """
+
+    SMALL_ROWS = 20_000
+
+    def __init__(self, spark: SparkSession) -> None:
+        super().__init__(spark)
+        self.rows: dict[str, int] = {}
+
+    def _joined_by_size(self, df: DataFrame, rows: int) -> DataFrame:
+        return df.hint("broadcast" if rows <= self.SMALL_ROWS else "merge")
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        out = super().write(name, df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        rows = seen.get["rows"]
+        self.rows[name] = self.rows.get(name, 0) + rows
+        return self._joined_by_size(out, rows)
+
+    def union(self, name: str) -> DataFrame:
+        return self._joined_by_size(super().union(name), self.rows[name])

@@ -41,8 +41,8 @@ def crawl_closure(
     A page gets its smallest depth. Among the paths of that length the first in
     page order (next before children, children by position) gives the ancestors.
     """
-    steps = StepTables(roots.sparkSession)
-    edges = links.select("src", "dst", _step_key().alias("_step"))
+    steps = LinkSteps(roots.sparkSession)
+    edges = steps.write("edges", links.select("src", "dst", _step_key().alias("_step")))
     frontier = steps.write(
         "level",
         roots.select(F.col("root"), F.col("root").alias("url"))

@@ -8,17 +8,17 @@ least ``similarity``. No pair is looked at without a reason:
   one of their first n - ceil(similarity * n) + 1. Only these are joined, so the
   q-grams that many names have hardly ever are.
 * Length filter: the smaller set has at least ``similarity`` times the q-grams of the larger.
-* Positional filter: what stands before and after a shared q-gram in that order bounds how many
-  two sets can have in common at all.
+* Positional filter: what stands after the first q-gram that two sets share in that order bounds
+  how many they can have in common at all.
 
-What passes is verified on the whole sets. Names with different distinguishing words
+What passes is verified on the whole sets in the same join, at the first q-gram that both share,
+so candidates are neither shuffled nor compared twice. Names with different distinguishing words
 ("Applied Physics", "Physics") are never similar.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -58,35 +58,46 @@ def similar_names(
     """
     # whole numbers: a sum of doubles must not decide on which side of the threshold a pair is
     share = round(similarity * 1_000_000)
-    keys = names.where(~X.is_blank(name)).select(*scope, canonical_name_key(name).alias("key"))
-    keys = keys.where("key <> ''").distinct().withColumn("grams", q_grams(F.col("key"), q))
+    # few bytes, but much work on each name and far more pairs: adaptive execution would give
+    # them to one task. Each spelling is worked on once
+    spark = names.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spelled = names.select(*scope, F.col(name).alias("_name")).distinct().repartition(tasks, "_name")
+    keys = spelled.where(~X.is_blank("_name")).select(*scope, canonical_name_key("_name").alias("key"))
+    keys = keys.where("key <> ''").distinct().repartition(tasks, "key").withColumn("grams", q_grams(F.col("key"), q))
     keys = keys.withColumn("marks", marks(F.col("key"), distinguishing))
     place = F.struct(*[F.col(c).alias(c) for c in scope], F.col("key").alias("key"))
-    each = keys.select(place.alias("id"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    each = keys.select(place.alias("id"), "marks", F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("holders"))
-    by_rarity = W.partitionBy("id").orderBy("holders", "gram")
-    first = each.join(rarity, "gram").withColumn("at", F.row_number().over(by_rarity))
-    needed = F.ceil(F.col("n") * share / 1_000_000)
-    first = first.where(F.col("at") <= F.col("n") - needed + 1).select("id", "n", "gram", "at")
+    # one order of all q-grams, the rare ones first
+    order = F.struct("holders", F.xxhash64("gram").alias("hash"), "gram")
+    own = each.join(rarity, "gram").groupBy("id").agg(
+        F.first("marks").alias("marks"), F.sort_array(F.collect_list(order)).alias("grams")
+    )
+    own = own.select("id", "marks", F.size("grams").alias("n"), F.col("grams.gram").alias("grams"))
+    needed = F.ceil(F.col("n") * share / 1_000_000).cast("int")
+    first = own.select("*", F.posexplode(F.slice("grams", F.lit(1), F.col("n") - needed + 1)).alias("at", "gram"))
+    meeting = F.struct(*[F.col("id")[c].alias(c) for c in scope], "marks", "gram")
+    first = first.withColumn("meeting", meeting).drop("marks").repartition(tasks, "meeting")
 
     one, other = first.alias("a"), first.alias("b")
-    same = F.col("a.gram") == F.col("b.gram")
-    for c in scope:
-        same = same & F.col("a.id")[c].eqNullSafe(F.col("b.id")[c])
+    same = F.col("a.meeting") == F.col("b.meeting")
     n, m, at, to = (F.col(c) for c in ("a.n", "b.n", "a.at", "b.at"))
-    most = F.least(at, to) + F.least(n - at, m - to)
+    most = F.least(n - at, m - to)
     pairs = one.join(other, same & (F.col("a.id")["key"] < F.col("b.id")["key"]))
     pairs = pairs.where((n * 1_000_000 >= m * share) & (m * 1_000_000 >= n * share))
     # common / either >= s  <=>  common * (1 + s) >= s * (n + m)
     pairs = pairs.where(most * (1_000_000 + share) >= (n + m) * share)
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("to")).distinct()
-
-    sets = keys.select(place.alias("id"), "grams", "marks")
-    found = pairs.join(sets, "id").join(sets.withColumnsRenamed({"id": "to", "grams": "to_grams", "marks": "to_marks"}), "to")
-    common = F.size(F.array_intersect("grams", "to_grams")).cast("bigint")
-    found = found.where(F.col("marks") == F.col("to_marks")).withColumn("n_common", common)
-    found = found.withColumn("n_either", F.size("grams") + F.size("to_grams") - F.col("n_common"))
-    found = found.where(F.col("n_common") * 1_000_000 >= F.col("n_either") * share)
+    # a pair is verified where it first meets, so it is found once and never shuffled
+    common = F.array_intersect("a.grams", "b.grams")
+    ok = lambda c: (F.get(c, F.lit(0)) == F.col("a.gram")) & (F.size(c) * (1_000_000 + share) >= (n + m) * share)
+    found = pairs.where(F.exists(F.array(common), ok)).select(
+        F.col("a.id").alias("id"),
+        F.col("b.id").alias("to"),
+        F.size(common).cast("bigint").alias("n_common"),
+        (n + m).alias("both"),
+    )
+    found = found.withColumn("n_either", F.col("both") - F.col("n_common"))
     return found.select(
         *[F.col("id")[c].alias(c) for c in scope],
         F.col("id")["key"].alias("key"),

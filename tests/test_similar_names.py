@@ -51,3 +51,10 @@ def test_no_plan_of_all_pairs(spark):
     df = spark.createDataFrame([("a", "b")], "university string, name string")
     plan = similar_names(df, scope=("university",))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_candidates_are_not_shuffled(spark):
+    names = spark.createDataFrame([("u", f"name {i}") for i in range(50)], "university string, name string")
+    plan = similar_names(names, scope=("university",))._jdf.queryExecution().optimizedPlan().toString()
+    # candidate pairs were made distinct by the two ids before they were verified
+    assert not [line for line in plan.splitlines() if "Aggregate [id#" in line and ", to#" in line]

@@ -12,10 +12,11 @@ distance, not only of common words.
    least member first, so that large groups of near copies are joined by n - 1
    pairs. A bucket whose members are then in several groups is open.
 3. All pairs of an open bucket that stand in different groups are compared if it has up to
-   ``WHOLE`` members, in cells of two blocks of members. A larger one is split by the next
-   sketch of its members, the parts are compared with their least members, and so on in written rounds
-   until no bucket is open and large: texts that only share a frequent passage
-   have few sketches in common and fall apart, near copies have many.
+   ``WHOLE`` members, in cells of two blocks of members. Members of larger ones are dealt to
+   finer buckets that lose no link: texts within an edit distance have most runs of ``RUN`` words in
+   common, so of the runs of each, rarest first, the first few hold a common one. Texts that only share a
+   frequent passage have rare runs of their own, and fall apart. Pairs of a finer bucket that share
+   a sketch are compared as those of any other, in cells however large it is.
 4. Words fall into ``BINS`` bins by their hash. An edit changes the counts of the bins
    by one up and one down at most, so pairs whose counts differ by more than the permitted
    edits can't be links; this needs no texts. A pair is a link if the edit distance of its words, found in a band of the
@@ -25,10 +26,8 @@ distance, not only of common words.
    to the shared folder; nothing of this passes through the driver.
 
 Texts at five-word similarity s share a sketch with probability about s to the power
-``per_sketch``: at 0.8 they have 16 of 32 sketches in common. A pair is missed if all of these
-are in split buckets and the sketches after them differ: below 0.001 after one split,
-0.06 after two, if every one of its buckets is as large; a bucket
-of any words of their own isn't. Pairs whose edits are scattered so that few five-word
+``per_sketch``: at 0.8 they have 16 of 32 sketches in common. Every pair that shares one and is a
+link is joined, however large its buckets are. Pairs whose edits are scattered so that few five-word
 k-mers are left alike are no candidates, whatever their edit similarity.
 
 * Null and empty texts are one class of equal texts, and near to no other.
@@ -59,30 +58,39 @@ PER_SKETCH = 3
 SIMILARITY = 0.8
 #: Bins of the word counts that rule out pairs before their texts are read.
 BINS = 128
-#: Members of an open bucket up to which it is compared whole and not split by the next sketch.
+#: Members of an open bucket up to which it is compared whole and not by the rarest runs of its texts.
 WHOLE = 256
+#: Words of these runs, and the similarity from which two texts that are alike must share one.
+RUN = 2
+RUN_SIMILARITY = 0.75
 #: Sides of joins that all executors may hold, by their counted size.
 BROADCAST_BYTES = 32 << 20
 #: Members in a block of an open bucket, and pairs whose bins are compared at once.
 BLOCK = 256
-CHUNK_PAIRS = 8192
+CHUNK_PAIRS = 2048
 #: Pairs whose words are held at once while they are verified.
 HELD_PAIRS = 64
 
 
+def _labelled(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers of words, and each labelled with the number of equal ones before it."""
+    start = np.arange(max(1, len(words) - k + 1))
+    kmers = PrefixHash(words).of(start, np.minimum(start + k, len(words)))
+    by_kmer = np.argsort(kmers, kind="stable")
+    ranked = kmers[by_kmer]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    labels = np.empty(len(start), U)
+    labels[by_kmer] = mix(ranked + U(0x9E3779B97F4A7C15) * (start - np.maximum.accumulate(np.where(new, start, 0))).astype(U))
+    return kmers, labels
+
+
 def order_sketches(words: np.ndarray, k: int, sketches: int, per_sketch: int) -> np.ndarray:
     """The ordered sketches of a sequence of word hashes; none of an empty one."""
     n = max(1, len(words) - k + 1)
     if not len(words):
         return np.zeros(0, U)
     start = np.arange(n)
-    kmers = PrefixHash(words).of(start, np.minimum(start + k, len(words)))
-    # label each k-mer with the number of equal ones before it
-    by_kmer = np.argsort(kmers, kind="stable")
-    ranked = kmers[by_kmer]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    labels = np.empty(n, U)
-    labels[by_kmer] = mix(ranked + U(0x9E3779B97F4A7C15) * (start - np.maximum.accumulate(np.where(new, start, 0))).astype(U))
+    kmers, labels = _labelled(words, k)
     seeds = mix(np.arange(1, sketches + 1, dtype=U) << U(32))
     hashes = (labels[None, :] ^ seeds[:, None]) * (mix(seeds) | U(1))[:, None]
     if n > per_sketch:
@@ -149,33 +157,30 @@ def alignment_bound(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.nda
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edit distance of two sequences if it is at most ``limit``.
 
-    Diagonals of the alignment are followed in order of distance: for each
-    number of edits, how far each diagonal of the band can be reached.
+    A column of the table of distances is kept as two long integers, whose bits say where
+    it rises and falls, so a word of b takes a few operations on all words of a at once.
     """
     n, m = len(a), len(b)
     if abs(n - m) > limit:
         return None
-    ends: dict[int, list[int]] = {}
-
-    def slide(i: int, k: int) -> int:
-        """The first place from i on where diagonal k has different words."""
-        if k not in ends:
-            low, high = max(0, -k), min(n, m - k)
-            ends[k] = (np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist() + [high]
-        stops = ends[k]
-        return stops[bisect_left(stops, i)] if i < stops[-1] else stops[-1]
-
-    reach = {0: slide(0, 0)}
-    for edits in range(limit + 1):
-        if edits:
-            before, reach = reach, {}
-            for k in range(max(-edits, -n), min(edits, m) + 1):
-                i = max(before.get(k, -2) + 1, before.get(k + 1, -2) + 1, before.get(k - 1, -1))
-                if i >= max(0, -k):
-                    reach[k] = slide(min(i, n, m - k), k)
-        if reach.get(m - n, -1) >= n:
-            return edits
-    return None
+    if not n or not m:
+        return max(n, m)
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, cost = whole, 0, n
+    for j, word in enumerate(b.tolist(), 1):
+        same = places.get(word, 0)
+        level = ((((same & up) + up) ^ up) | same | down) & whole
+        more, less = down | (whole & ~(level | up)), level & up
+        cost += (more & last > 0) - (less & last > 0)
+        # each word to come lowers it by one at most
+        if cost - (m - j) > limit:
+            return None
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        up, down = less | (whole & ~(level | more)), level & more
+    return cost
 
 
 def unmatched(a: np.ndarray, b: np.ndarray, limit: int, k: int) -> int:
@@ -223,25 +228,33 @@ def may_be_alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _cell_pairs(similarity: float):
-    @F.pandas_udf("array<struct<i:int,j:int>>")
+    def fewest(counts: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The edits that the counts of words by bin ask for at least, of each pair."""
+        more = np.maximum(counts[i] - counts[j], 0).sum(axis=1, dtype=np.int64)
+        return np.maximum(more, more - words[i] + words[j])
+
+    @F.pandas_udf("array<long>")
     def pairs(cells: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for groups, blocks, bins in cells:
             out = []
             for group, block, counts in zip(groups, blocks, bins, strict=True):
-                counts = np.asarray(counts, np.int64).reshape(len(group), BINS)
-                words = counts.sum(axis=1)
-                i, j = np.triu_indices(len(group), 1)
-                # two blocks: pairs in one of them stand in its own cell
-                other = (block[i] != block[j]) | (block[0] == block).all()
-                limit = np.maximum(words[i], words[j]) * (1 - similarity) + 1e-9
-                maybe = np.flatnonzero(other & (group[i] != group[j]) & (np.abs(words[i] - words[j]) <= limit))
-                for at in range(0, len(maybe), CHUNK_PAIRS):
-                    some = maybe[at : at + CHUNK_PAIRS]
-                    more = np.maximum(counts[i[some]] - counts[j[some]], 0).sum(axis=1)
-                    fewer = more - words[i[some]] + words[j[some]]
-                    maybe[at : at + CHUNK_PAIRS] = np.where(np.maximum(more, fewer) <= limit[some], some, -1)
-                maybe = maybe[maybe >= 0]
-                out.append([{"i": a, "j": b} for a, b in zip(i[maybe].tolist(), j[maybe].tolist(), strict=True)])
+                counts = np.asarray(counts, np.int32).reshape(len(group), BINS)
+                words = counts.sum(axis=1, dtype=np.int64)
+                # sums of bins first, which rule out most at an eighth of the work
+                coarse = counts.reshape(len(group), -1, 8).sum(axis=2, dtype=np.int32)
+                limit = words * (1 - similarity) + 1e-9
+                # two blocks: pairs in one of them stand in their own cell
+                other = (block[:, None] != block) | (block[0] == block).all()
+                other &= (group[:, None] != group) & (np.abs(words[:, None] - words) <= np.maximum(limit[:, None], limit))
+                i, j = np.nonzero(np.triu(other, 1))
+                found = []
+                for at in range(0, len(i), CHUNK_PAIRS):
+                    one, two = i[at : at + CHUNK_PAIRS], j[at : at + CHUNK_PAIRS]
+                    for table in (coarse, counts):
+                        maybe = fewest(table, words, one, two) <= np.maximum(limit[one], limit[two])
+                        one, two = one[maybe], two[maybe]
+                    found.append(one * len(group) + two)
+                out.append(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pd.Series(out, dtype=object)
 
     return pairs
@@ -271,7 +284,8 @@ def _all_pairs(members: DataFrame, bins: DataFrame, similarity: float) -> DataFr
     cells = cells.agg(F.collect_list(member).alias("m"))
     found = _cell_pairs(similarity)("m.group", "m.block", F.flatten("m.bins"))
     found = cells.select(F.col("m.node").alias("ids"), F.explode(found).alias("p"))
-    one, other = (F.get("ids", F.col(f"p.{c}")) for c in "ij")
+    # a pair is one number: place of the one times the members, plus that of the other
+    one, other = (F.get("ids", F.expr(f"cast(p {sign} size(ids) as int)")) for sign in ("div", "%"))
     return found.select(F.greatest(one, other).alias("node"), F.least(one, other).alias("first"))
 
 
@@ -291,13 +305,47 @@ def _first_pairs(shared: DataFrame, bins: DataFrame, similarity: float) -> DataF
     return pairs.where(may_be_alike(F.col("bins"), F.col("first_bins"), similarity)).select("node", "first")
 
 
-def _split(members: DataFrame, keys: DataFrame, depth: int, sketches: int) -> DataFrame:
-    """The members under finer keys: those of before with the sketch ``depth`` places on."""
-    own = members.join(keys, "node")
-    at = F.coalesce(F.col("place"), F.array_position("keys", F.col("key")).cast("int") - 1)
-    own = own.select("key", "node", at.alias("place"), "keys")
-    after = F.get("keys", F.pmod(F.col("place") + depth, F.lit(sketches)))
-    return own.select(F.xxhash64("key", after).alias("key"), "node", "place")
+def least_shared(n: int, run: int, similarity: float) -> int:
+    """How many labelled runs a text of ``n`` words has in common with any that is alike.
+
+    Of the longer text's m words, at most n / similarity, each edit changes ``run`` runs.
+    """
+    m = np.arange(n, int(n / similarity) + 2)
+    edits = ((1 - similarity) * m + 1e-9).astype(np.int64)
+    return int((np.maximum(m - run + 1, 1) - run * edits).min())
+
+
+def _runs(similarity: float):
+    run = RUN if similarity >= RUN_SIMILARITY else 1
+
+    @F.pandas_udf("runs array<long>, n int")
+    def runs(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for some in steps(batch):
+                words = Words(some, VISIBLE, lower=True)
+                for d in range(len(some)):
+                    own = words.hash[words.first[d] : words.first[d + 1]]
+                    labels = _labelled(own, run)[1]
+                    out.append((labels.view(np.int64), len(labels) - max(1, least_shared(len(own), run, similarity)) + 1))
+            yield pd.DataFrame(out, columns=["runs", "n"])
+
+    return runs
+
+
+def _by_rare_runs(nodes: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
+    """Buckets (key, node) of two or more of these nodes: any two that are alike share one.
+
+    Texts that are alike have a number of runs in common, whatever their order, so not all of
+    these are among the last of either: the runs before those, rarest first, are the keys.
+    """
+    needed = classes.select("node", "same").join(nodes, "node", "left_semi")
+    needed = texts.join(needed, "same").dropDuplicates(["same"]).select("node", _runs(similarity)("t").alias("r"))
+    runs = steps_.write("runs", needed.select("node", "r.n", F.explode("r.runs").alias("key")))
+    often = runs.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = runs.join(often, "key").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("r"))
+    keys = ranked.select("node", F.explode(F.slice("r", 1, F.col("n"))).alias("r")).where("r.often > 1")
+    return steps_.write("rare", keys.select("r.key", "node"))
 
 
 def _alike(similarity: float):
@@ -360,12 +408,32 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: f
     # one text for each class, and only of classes in a pair
     needed = texts.join(needed, "same").dropDuplicates(["same"]).select("node", "t")
     needed = steps_.write("texts", needed)
-    needed = _side(needed, needed.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0])
+    size = needed.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # then no shuffle deals the pairs out, and a small table of them is one task
+        pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    needed = _side(needed, size)
     both = pairs.join(needed.withColumnRenamed("t", "one"), "node")
     both = both.join(needed.withColumnsRenamed({"node": "first", "t": "other"}), "first")
     return both.where(_alike(similarity)("one", "other")).select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (node, first) of different groups, with their other columns."""
+    one, other = (groups.select(F.col("id").alias(c), F.col("least").alias(f"_{c}")) for c in ("node", "first"))
+    own = pairs.join(one, "node", "left").join(other, "first", "left")
+    return own.where(F.coalesce("_node", "node") != F.coalesce("_first", "first")).drop("_node", "_first")
+
+
+def _joined(pairs: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
+    """The groups with the links of pairs (node, first) that were not compared before."""
+    pairs = pairs.distinct().join(steps_.union("pairs"), ["node", "first"], "left_anti")
+    pairs = steps_.write("pairs", pairs)
+    if pairs.isEmpty():
+        return groups
+    links = _links(pairs, classes, texts, similarity, steps_)
+    return connected(groups.select(F.col("id").alias("a"), F.col("least").alias("b")).union(links), steps_)
+
+
 def _groups(classes: DataFrame, texts: DataFrame, similarity: float, sketches: int, steps_: StepTables) -> DataFrame:
     """id and least id of its group, of the classes that are near to another one."""
     n = classes.count()
@@ -376,30 +444,27 @@ def _groups(classes: DataFrame, texts: DataFrame, similarity: float, sketches: i
     pairs = steps_.write("pairs", _first_pairs(shared, bins, similarity))
     groups = connected(_links(pairs, classes, texts, similarity, steps_), steps_)
     # the least member has been compared with all of its bucket
-    shared = shared.where("size > 2").select("key", "node", F.lit(None).cast("int").alias("place"))
-    for depth in range(1, sketches + 1):
-        open_ = steps_.write("open", _with_groups(shared.select("key", "node"), groups))
-        if not open_.limit(1).count():
-            break
-        whole = open_.where(F.col("size") <= WHOLE) if depth < sketches else open_
-        rest = _all_pairs(whole, bins, similarity)
-        large = open_.where(F.col("size") > WHOLE).select("key", "node") if depth < sketches else None
-        if large is not None and large.limit(1).count():
-            large = large.join(shared, ["key", "node"])
-            large = steps_.write("large", _split(large, keys, depth, sketches))
-            shared = steps_.write("split", _with_first(large.select("key", "node")))
-            rest = rest.unionByName(_first_pairs(shared, bins, similarity))
-            shared = shared.where("size > 2").select("key", "node").join(large, ["key", "node"])
-        else:
-            large = None
-        rest = rest.distinct().join(steps_.union("pairs"), ["node", "first"], "left_anti")
-        rest = steps_.write("pairs", rest)
-        if rest.limit(1).count():
-            links = _links(rest, classes, texts, similarity, steps_)
-            groups = connected(groups.select(F.col("id").alias("a"), F.col("least").alias("b")).union(links), steps_)
-        if large is None:
-            break
-    return groups
+    open_ = steps_.write("open", _with_groups(shared.where("size > 2").select("key", "node"), groups))
+    if open_.isEmpty():
+        return groups
+    whole = _all_pairs(open_.where(F.col("size") <= WHOLE), bins, similarity)
+    large = open_.where(F.col("size") > WHOLE).select("node").distinct()
+    if large.isEmpty():
+        return _joined(whole, groups, classes, texts, similarity, steps_)
+    rare = _by_rare_runs(large, classes, texts, similarity, steps_)
+
+    def sharing(found: DataFrame) -> DataFrame:
+        """Pairs that share a sketch."""
+        first_keys = keys.withColumnsRenamed({"node": "first", "keys": "first_keys"})
+        found = steps_.write("found", found.distinct()).join(keys, "node").join(first_keys, "first")
+        return found.where(F.arrays_overlap("keys", "first_keys")).select("node", "first")
+
+    # as before with the least of each finer bucket first, then all pairs of those still open
+    shared = _with_first(steps_.write("open_rare", _with_groups(rare, groups)).select("key", "node"))
+    first = _first_pairs(_apart(shared, groups), bins, similarity)
+    groups = _joined(whole.unionByName(sharing(first)), groups, classes, texts, similarity, steps_)
+    open_ = steps_.write("open_rare", _with_groups(shared.where("size > 2").select("key", "node"), groups))
+    return _joined(sharing(_all_pairs(open_, bins, similarity)), groups, classes, texts, similarity, steps_)
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, similarity: float, kmer_words: int, sketches: int, per_sketch: int):

@@ -195,3 +195,47 @@ def test_unlike_texts_of_one_id(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(7, ""), (7, " ".join(words)), (7, "quite another text")])
     found = near_dedup.near_duplicates(docs)
     assert found.count() == 5 and {r["group_id"] for r in found.collect()} == {7}
+
+
+@pytest.mark.parametrize("whole", [256, 12, 3])
+def test_large_buckets_lose_no_link(spark, monkeypatch, whole):
+    """Buckets of a frequent passage, in chains of near copies that often share one sketch only."""
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {}
+    for c in range(30):
+        words = passage + [f"o{c}x{k}" for k in range(rng.randrange(10, 60))]
+        for step in range(6):
+            texts[c * 10 + step] = list(words)
+            for at in rng.sample(range(len(words)), len(words) // 6):
+                words[at] = f"n{c}x{step}x{at}"
+    texts |= {900: ["P0"], 901: ["p0"], 902: ["p0", "p1"], 903: ["P0", "p1"]}
+    hashes = {i: Words([" ".join(w).encode()], VISIBLE, lower=True).hash for i, w in texts.items()}
+    keys = {i: set(near_dedup.order_sketches(h, 5, 32, 3).tolist()) for i, h in hashes.items()}
+    want, ids = {i: i for i in texts}, sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            limit = int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)
+            if want[i] != want[j] and keys[i] & keys[j] and near_dedup.banded_distance(hashes[i], hashes[j], limit) is not None:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if g == high else g for k, g in want.items()}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert groups(docs) == want
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.75, 0.6])
+def test_least_shared_runs_hold_for_any_edits(similarity):
+    run = near_dedup.RUN if similarity >= near_dedup.RUN_SIMILARITY else 1
+    rng = random.Random(5)
+    for _ in range(2000):
+        a = [rng.randrange(4) for _ in range(rng.randrange(1, 25))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(4)] * rng.randrange(2)
+        if not b or edit_distance(a, b) > int((1 - similarity) * max(len(a), len(b)) + 1e-9):
+            continue
+        one, other = (set(near_dedup._labelled(np.array(x, np.uint64), run)[1].tolist()) for x in (a, b))
+        for x in (a, b):
+            assert 1 <= near_dedup.least_shared(len(x), run, similarity) <= len(one & other)

@@ -12,8 +12,8 @@ distance, not only of common words.
    least member first, so that large groups of near copies are joined by n - 1
    pairs. A bucket whose members are then in several groups is open.
 3. All pairs of an open bucket that stand in different groups are compared if it has up to
-   ``WHOLE`` members, in cells of two blocks of members. Members of larger ones are dealt to
-   finer buckets that lose no link: texts within an edit distance have most runs of ``RUN`` words in
+   ``WHOLE`` members, in cells of two blocks of members. Larger ones are compared so too, unless
+   their cells hold more rows than their texts have words: then their members are dealt to finer buckets that lose no link: texts within an edit distance have most runs of ``RUN`` words in
    common, so of the runs of each, rarest first, the first few hold a common one. Texts that only share a
    frequent passage have rare runs of their own, and fall apart. Pairs of a finer bucket that share
    a sketch are compared as those of any other, in cells however large it is.
@@ -417,6 +417,13 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: f
     return both.where(_alike(similarity)("one", "other")).select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
+def _less_in_cells(large: DataFrame, classes: DataFrame) -> bool:
+    """Whether cells of these buckets hold no more rows than their texts have words."""
+    rows = large.agg(F.sum(F.ceil(F.col("size") / BLOCK))).first()[0] or 0
+    words = F.aggregate("bins", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return rows <= (classes.join(large, "node", "left_semi").agg(F.sum(words)).first()[0] or 0)
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (node, first) of different groups, with their other columns."""
     one, other = (groups.select(F.col("id").alias(c), F.col("least").alias(f"_{c}")) for c in ("node", "first"))
@@ -447,10 +454,11 @@ def _groups(classes: DataFrame, texts: DataFrame, similarity: float, sketches: i
     open_ = steps_.write("open", _with_groups(shared.where("size > 2").select("key", "node"), groups))
     if open_.isEmpty():
         return groups
+    large = open_.where(F.col("size") > WHOLE)
+    if _less_in_cells(large, classes):
+        return _joined(_all_pairs(open_, bins, similarity), groups, classes, texts, similarity, steps_)
+    large = large.select("node").distinct()
     whole = _all_pairs(open_.where(F.col("size") <= WHOLE), bins, similarity)
-    large = open_.where(F.col("size") > WHOLE).select("node").distinct()
-    if large.isEmpty():
-        return _joined(whole, groups, classes, texts, similarity, steps_)
     rare = _by_rare_runs(large, classes, texts, similarity, steps_)
 
     def sharing(found: DataFrame) -> DataFrame:

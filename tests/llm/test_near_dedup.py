@@ -197,10 +197,13 @@ def test_unlike_texts_of_one_id(spark):
     assert found.count() == 5 and {r["group_id"] for r in found.collect()} == {7}
 
 
-@pytest.mark.parametrize("whole", [256, 12, 3])
-def test_large_buckets_lose_no_link(spark, monkeypatch, whole):
+@pytest.mark.parametrize(("whole", "cells"), [(12, True), (12, False), (3, False)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, whole, cells):
     """Buckets of a frequent passage, in chains of near copies that often share one sketch only."""
     monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    monkeypatch.setattr(near_dedup, "_less_in_cells", lambda large, classes: cells)
+    by_runs, called = near_dedup._by_rare_runs, []
+    monkeypatch.setattr(near_dedup, "_by_rare_runs", lambda *a: called.append(1) or by_runs(*a))
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(40)]
     texts = {}
@@ -222,6 +225,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, whole):
                 want = {k: low if g == high else g for k, g in want.items()}
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     assert groups(docs) == want
+    assert bool(called) != cells
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.75, 0.6])

@@ -19,7 +19,9 @@ distance, not only of common words.
    a sketch are compared as those of any other, in cells however large it is.
 4. Words fall into ``BINS`` bins by their hash. An edit changes the counts of the bins
    by one up and one down at most, so pairs whose counts differ by more than the permitted
-   edits can't be links; this needs no texts. A pair is a link if the edit distance of its words, found in a band of the
+   edits can't be links; this needs no texts. In cells this is asked of ``FINE_BINS`` bins too, as
+   many words of long texts share a bin of the fewer, where different words cancel out. Counts stop at what
+   a place of them holds, which makes differences smaller and loses no pair. A pair is a link if the edit distance of its words, found in a band of the
    greatest width that the similarity permits, is at most 1 - ``similarity`` of
    the longer text. One text of each class is read for this, however often it occurs.
 5. Links are joined to groups by alternating star contractions, each written
@@ -58,15 +60,17 @@ PER_SKETCH = 3
 SIMILARITY = 0.8
 #: Bins of the word counts that rule out pairs before their texts are read.
 BINS = 128
+#: Bins of the counts, of four bits each, that rule out pairs of open buckets.
+FINE_BINS = 1024
 #: Members of an open bucket up to which it is compared whole and not by the rarest runs of its texts.
 WHOLE = 256
 #: Words of these runs, and the similarity from which two texts that are alike must share one.
 RUN = 2
 RUN_SIMILARITY = 0.75
 #: Sides of joins that all executors may hold, by their counted size.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Members in a block of an open bucket, and pairs whose bins are compared at once.
-BLOCK = 256
+BLOCK = 512
 CHUNK_PAIRS = 2048
 #: Pairs whose words are held at once while they are verified.
 HELD_PAIRS = 64
@@ -202,8 +206,28 @@ def unmatched(a: np.ndarray, b: np.ndarray, limit: int, k: int) -> int:
     return int((~there).sum())
 
 
+def _counts(words: np.ndarray, bins: int, most: int) -> np.ndarray:
+    """How many of the words fall into each bin, ``most`` at most."""
+    return np.minimum(np.bincount((words & U(bins - 1)).astype(np.int64), minlength=bins), most)
+
+
+def _fine_counter():
+    @F.pandas_udf("binary")
+    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            out = []
+            for run in steps(batch):
+                words = Words(run, VISIBLE, lower=True)
+                for d in range(len(run)):
+                    counts = _counts(words.hash[words.first[d] : words.first[d + 1]], FINE_BINS, 15).astype(np.uint8)
+                    out.append((counts[::2] | counts[1::2] << 4).tobytes())  # two to a byte
+            yield pd.Series(out, dtype=object)
+
+    return fine
+
+
 def _sketcher(k: int, sketches: int, per_sketch: int):
-    @F.pandas_udf("keys array<long>, bins array<int>")
+    @F.pandas_udf("keys array<long>, bins array<tinyint>, n int")
     def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
@@ -211,37 +235,39 @@ def _sketcher(k: int, sketches: int, per_sketch: int):
                 words = Words(run, VISIBLE, lower=True)
                 for d in range(len(run)):
                     own = words.hash[words.first[d] : words.first[d + 1]]
-                    bins = np.bincount((own & U(BINS - 1)).astype(np.int64), minlength=BINS)
-                    out.append((order_sketches(own, k, sketches, per_sketch).view(np.int64), bins.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["keys", "bins"])
+                    bins = _counts(own, BINS, 127).astype(np.int8)
+                    out.append((order_sketches(own, k, sketches, per_sketch).view(np.int64), bins, len(own)))
+            yield pd.DataFrame(out, columns=["keys", "bins", "n"])
 
     return keys
 
 
-def may_be_alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether counts of words by bin permit an edit distance that is small enough."""
+def may_be_alike(a: Column, b: Column, words: Column, similarity: float) -> Column:
+    """Whether counts by bin permit an edit distance that is small enough for so many words."""
     zero = F.lit(0)
     more = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x - y, zero)), zero, lambda acc, x: acc + x)
     fewer = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(y - x, zero)), zero, lambda acc, x: acc + x)
-    words = F.greatest(F.aggregate(a, zero, lambda acc, x: acc + x), F.aggregate(b, zero, lambda acc, x: acc + x))
     return F.greatest(more, fewer) <= words * (1 - similarity) + 1e-9
 
 
 def _cell_pairs(similarity: float):
-    def fewest(counts: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def fewest(counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The edits that the counts of words by bin ask for at least, of each pair."""
+        held = counts.sum(axis=1, dtype=np.int64)
         more = np.maximum(counts[i] - counts[j], 0).sum(axis=1, dtype=np.int64)
-        return np.maximum(more, more - words[i] + words[j])
+        return np.maximum(more, more - held[i] + held[j])
 
     @F.pandas_udf("array<long>")
-    def pairs(cells: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for groups, blocks, bins in cells:
+    def pairs(cells: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for buckets, groups, blocks, lengths, fine, keys in cells:
             out = []
-            for group, block, counts in zip(groups, blocks, bins, strict=True):
-                counts = np.asarray(counts, np.int32).reshape(len(group), BINS)
-                words = counts.sum(axis=1, dtype=np.int64)
-                # sums of bins first, which rule out most at an eighth of the work
-                coarse = counts.reshape(len(group), -1, 8).sum(axis=2, dtype=np.int32)
+            for bucket, group, block, words, packed, own in zip(buckets, groups, blocks, lengths, fine, keys, strict=True):
+                # a pair is found once, in the least of the buckets it shares
+                before = [set(k[k < bucket].tolist()) for k in map(np.asarray, own)]
+                packed = np.frombuffer(b"".join(packed), np.uint8).reshape(len(group), -1)
+                counts = np.stack((packed & 15, packed >> 4), axis=2).reshape(len(group), -1).astype(np.int8)
+                # sums of bins first, which rule out most at a fraction of the work
+                some, few = (counts.reshape(len(group), b, -1).sum(axis=2, dtype=np.int32) for b in (BINS, BINS // 8))
                 limit = words * (1 - similarity) + 1e-9
                 # two blocks: pairs in one of them stand in their own cell
                 other = (block[:, None] != block) | (block[0] == block).all()
@@ -250,10 +276,11 @@ def _cell_pairs(similarity: float):
                 found = []
                 for at in range(0, len(i), CHUNK_PAIRS):
                     one, two = i[at : at + CHUNK_PAIRS], j[at : at + CHUNK_PAIRS]
-                    for table in (coarse, counts):
-                        maybe = fewest(table, words, one, two) <= np.maximum(limit[one], limit[two])
+                    for table in (few, some, counts):
+                        maybe = fewest(table, one, two) <= np.maximum(limit[one], limit[two])
                         one, two = one[maybe], two[maybe]
-                    found.append(one * len(group) + two)
+                    new = [before[a].isdisjoint(before[b]) for a, b in zip(one.tolist(), two.tolist(), strict=True)]
+                    found.append((one * len(group) + two)[np.array(new, bool)])
                 out.append(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pd.Series(out, dtype=object)
 
@@ -273,16 +300,20 @@ def _with_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return own.join(open_.where("low < high").select("key", "size"), "key")
 
 
-def _all_pairs(members: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (node, first) of different groups in a bucket whose words by bin may be alike."""
+def _all_pairs(members: DataFrame, fine: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, first) of different groups in a bucket whose words by bin may be alike.
+
+    ``fine`` has the counts of each node and its keys, so that a pair is found in one bucket only;
+    without keys it is found in each.
+    """
     cells = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cells = cells.join(bins, "node")
+    cells = cells.join(fine, "node")
     cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.struct("node", F.xxhash64("least").alias("group"), "block", "bins")
+    member = F.struct("node", F.xxhash64("least").alias("group"), "block", "n", "fine", "keys")
     cells = cells.groupBy("key", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"))
     cells = cells.agg(F.collect_list(member).alias("m"))
-    found = _cell_pairs(similarity)("m.group", "m.block", F.flatten("m.bins"))
+    found = _cell_pairs(similarity)("key", "m.group", "m.block", "m.n", "m.fine", "m.keys")
     found = cells.select(F.col("m.node").alias("ids"), F.explode(found).alias("p"))
     # a pair is one number: place of the one times the members, plus that of the other
     one, other = (F.get("ids", F.expr(f"cast(p {sign} size(ids) as int)")) for sign in ("div", "%"))
@@ -300,9 +331,10 @@ def _with_first(members: DataFrame) -> DataFrame:
 def _first_pairs(shared: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
     """Pairs (node, first) of members and the least of their bucket that may be alike."""
     pairs = shared.select("node", "first").distinct()
-    first = bins.withColumnsRenamed({"node": "first", "bins": "first_bins"})
+    first = bins.withColumnsRenamed({"node": "first", "bins": "first_bins", "n": "first_n"})
     pairs = pairs.join(bins, "node").join(first, "first")
-    return pairs.where(may_be_alike(F.col("bins"), F.col("first_bins"), similarity)).select("node", "first")
+    maybe = may_be_alike(F.col("bins"), F.col("first_bins"), F.greatest("n", "first_n"), similarity)
+    return pairs.where(maybe).select("node", "first")
 
 
 def least_shared(n: int, run: int, similarity: float) -> int:
@@ -333,14 +365,13 @@ def _runs(similarity: float):
     return runs
 
 
-def _by_rare_runs(nodes: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
+def _by_rare_runs(nodes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
     """Buckets (key, node) of two or more of these nodes: any two that are alike share one.
 
     Texts that are alike have a number of runs in common, whatever their order, so not all of
     these are among the last of either: the runs before those, rarest first, are the keys.
     """
-    needed = classes.select("node", "same").join(nodes, "node", "left_semi")
-    needed = texts.join(needed, "same").dropDuplicates(["same"]).select("node", _runs(similarity)("t").alias("r"))
+    needed = texts.join(nodes, "node", "left_semi").select("node", _runs(similarity)("t").alias("r"))
     runs = steps_.write("runs", needed.select("node", "r.n", F.explode("r.runs").alias("key")))
     often = runs.groupBy("key").agg(F.count("*").alias("often"))
     ranked = runs.join(often, "key").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("r"))
@@ -401,27 +432,27 @@ def connected(edges: DataFrame, steps_: StepTables) -> DataFrame:
         edges = steps_.write("edges", small.where("a <> b").distinct())
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
-    """Edges (a, b) of the pairs (node, first) that are alike."""
-    needed = pairs.select("node").union(pairs.select("first")).distinct()
-    needed = classes.select("node", "same").join(needed, "node", "left_semi")
-    # one text for each class, and only of classes in a pair
-    needed = texts.join(needed, "same").dropDuplicates(["same"]).select("node", "t")
-    needed = steps_.write("texts", needed)
-    size = needed.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0] or 0
+def _texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, steps_: StepTables) -> DataFrame:
+    """node and t of these nodes: one text for each class, however often it occurs."""
+    needed = classes.select("node", "same").join(nodes.distinct(), "node", "left_semi")
+    return steps_.write("texts", texts.join(needed, "same").dropDuplicates(["same"]).select("node", "t"))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of the pairs (node, first) that are alike, of the texts (node, t)."""
+    size = texts.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:  # then no shuffle deals the pairs out, and a small table of them is one task
         pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
-    needed = _side(needed, size)
-    both = pairs.join(needed.withColumnRenamed("t", "one"), "node")
-    both = both.join(needed.withColumnsRenamed({"node": "first", "t": "other"}), "first")
+    texts = _side(texts, size)
+    both = pairs.join(texts.withColumnRenamed("t", "one"), "node")
+    both = both.join(texts.withColumnsRenamed({"node": "first", "t": "other"}), "first")
     return both.where(_alike(similarity)("one", "other")).select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
 def _less_in_cells(large: DataFrame, classes: DataFrame) -> bool:
     """Whether cells of these buckets hold no more rows than their texts have words."""
     rows = large.agg(F.sum(F.ceil(F.col("size") / BLOCK))).first()[0] or 0
-    words = F.aggregate("bins", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return rows <= (classes.join(large, "node", "left_semi").agg(F.sum(words)).first()[0] or 0)
+    return rows <= (classes.join(large, "node", "left_semi").agg(F.sum("n")).first()[0] or 0)
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -431,35 +462,41 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return own.where(F.coalesce("_node", "node") != F.coalesce("_first", "first")).drop("_node", "_first")
 
 
-def _joined(pairs: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
+def _joined(pairs: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, steps_: StepTables) -> DataFrame:
     """The groups with the links of pairs (node, first) that were not compared before."""
     pairs = pairs.distinct().join(steps_.union("pairs"), ["node", "first"], "left_anti")
     pairs = steps_.write("pairs", pairs)
     if pairs.isEmpty():
         return groups
-    links = _links(pairs, classes, texts, similarity, steps_)
+    links = _links(pairs, texts, similarity)
     return connected(groups.select(F.col("id").alias("a"), F.col("least").alias("b")).union(links), steps_)
 
 
 def _groups(classes: DataFrame, texts: DataFrame, similarity: float, sketches: int, steps_: StepTables) -> DataFrame:
     """id and least id of its group, of the classes that are near to another one."""
     n = classes.count()
-    bins = _side(classes.select("node", "bins"), n * (4 * BINS + 64))
+    bins = _side(classes.select("node", "bins", "n"), n * (BINS + 64))
     keys = _side(classes.select("node", "keys"), n * (8 * sketches + 64))
     members = classes.select("node", F.explode("keys").alias("key"))
     shared = steps_.write("shared", _with_first(members))
     pairs = steps_.write("pairs", _first_pairs(shared, bins, similarity))
-    groups = connected(_links(pairs, classes, texts, similarity, steps_), steps_)
+    own = _texts_of(pairs.select("node").union(pairs.select("first")), classes, texts, steps_)
+    groups = connected(_links(pairs, own, similarity), steps_)
     # the least member has been compared with all of its bucket
     open_ = steps_.write("open", _with_groups(shared.where("size > 2").select("key", "node"), groups))
     if open_.isEmpty():
         return groups
+    own = _texts_of(open_.select("node"), classes, texts, steps_)
+    fine = own.select("node", _fine_counter()("t").alias("fine")).join(classes.select("node", "n"), "node")
+    fine = fine.join(open_.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
+    fine = steps_.write("fine", fine)
+    fine = _side(fine, fine.count() * (FINE_BINS // 2 + 8 * sketches + 64))
     large = open_.where(F.col("size") > WHOLE)
     if _less_in_cells(large, classes):
-        return _joined(_all_pairs(open_, bins, similarity), groups, classes, texts, similarity, steps_)
+        return _joined(_all_pairs(open_, fine, similarity), groups, own, similarity, steps_)
     large = large.select("node").distinct()
-    whole = _all_pairs(open_.where(F.col("size") <= WHOLE), bins, similarity)
-    rare = _by_rare_runs(large, classes, texts, similarity, steps_)
+    whole = _all_pairs(open_.where(F.col("size") <= WHOLE), fine, similarity)
+    rare = _by_rare_runs(large, own, similarity, steps_)
 
     def sharing(found: DataFrame) -> DataFrame:
         """Pairs that share a sketch."""
@@ -470,9 +507,10 @@ def _groups(classes: DataFrame, texts: DataFrame, similarity: float, sketches: i
     # as before with the least of each finer bucket first, then all pairs of those still open
     shared = _with_first(steps_.write("open_rare", _with_groups(rare, groups)).select("key", "node"))
     first = _first_pairs(_apart(shared, groups), bins, similarity)
-    groups = _joined(whole.unionByName(sharing(first)), groups, classes, texts, similarity, steps_)
+    groups = _joined(whole.unionByName(sharing(first)), groups, own, similarity, steps_)
     open_ = steps_.write("open_rare", _with_groups(shared.where("size > 2").select("key", "node"), groups))
-    return _joined(sharing(_all_pairs(open_, bins, similarity)), groups, classes, texts, similarity, steps_)
+    fine = fine.withColumn("keys", F.array().cast("array<long>"))  # these buckets have other keys
+    return _joined(sharing(_all_pairs(open_, fine, similarity)), groups, own, similarity, steps_)
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, similarity: float, kmer_words: int, sketches: int, per_sketch: int):
@@ -483,7 +521,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similarity: float, kmer_wo
     keys = _sketcher(kmer_words, sketches, per_sketch)
     hashed = texts.select("id", F.md5("t").alias("same"), keys("t").alias("s")).select("id", "same", "s.*")
     rows = steps_.write("rows", hashed)
-    classes = rows.groupBy("same").agg(F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
+    classes = rows.groupBy("same").agg(F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.first("bins").alias("bins"), F.first("n").alias("n"))
     # numbers of classes; doc_ids won't do, as unlike texts may share one
     classes = classes.sortWithinPartitions("same").withColumn("node", F.monotonically_increasing_id())
     classes = steps_.write("classes", classes)

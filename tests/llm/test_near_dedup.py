@@ -243,3 +243,42 @@ def test_least_shared_runs_hold_for_any_edits(similarity):
         one, other = (set(near_dedup._labelled(np.array(x, np.uint64), run)[1].tolist()) for x in (a, b))
         for x in (a, b):
             assert 1 <= near_dedup.least_shared(len(x), run, similarity) <= len(one & other)
+
+
+def test_unlike_long_texts_are_ruled_out_by_their_counts(spark, monkeypatch):
+    """Copies of 800 words just beyond the similarity, whose counts in few bins look alike."""
+    write, pairs, cells = near_dedup.StepTables.write, [], []
+    all_pairs = near_dedup._all_pairs
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup.StepTables, "write", counted)
+    monkeypatch.setattr(near_dedup, "_all_pairs", lambda *a: cells.append(all_pairs(*a)) or cells[-1])
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(800)], []
+    for c in range(40):
+        texts.append(list(base))
+        for at in rng.sample(range(0, 800, 25), 5):
+            texts[-1][at : at + 25] = [f"n{c}x{at}x{k}" for k in range(25)]
+    texts += [[*texts[39][:60], *texts[39][100:]], ["the"] * 400 + base[:100], ["the"] * 405 + base[:100]]
+    want = list(range(43))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            limit = int(0.2 * max(len(a), len(texts[j])) + 1e-9)
+            if want[i] != want[j] and edit_distance_at_most(a, texts[j], limit):
+                low, high = sorted((want[i], want[j]))
+                want = [low if g == high else g for g in want]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert groups(docs) == dict(enumerate(want)) and len(set(want)) > 10
+    assert pairs[1] < 60
+    assert cells[0].count() == cells[0].distinct().count()
+
+
+def edit_distance_at_most(a, b, limit):
+    numbers = {w: i for i, w in enumerate({*a, *b})}
+    one, other = (np.array([numbers[w] for w in x], np.uint64) for x in (a, b))
+    return near_dedup.banded_distance(one, other, limit) is not None

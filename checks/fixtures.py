@@ -7,7 +7,10 @@ it never drops rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterlake.spec import RecordSpec
 
@@ -15,7 +18,9 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-SPREAD = ("pages", "documents", "conversations", "lineitem")
+#: Tables whose rows are dealt out, and by what: lineitem by the key that its joins use.
+SPREAD = {"pages": [], "documents": [], "conversations": [], "lineitem": ["l_orderkey"]}
+DEALT_BYTES = 8 << 20
 
 SQL: dict[str, str] = {}
 
@@ -335,9 +340,13 @@ DETAIL_SPEC = RecordSpec.from_dict(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # a file of the test data is one split: deal its rows out to all cores
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in SPREAD else df
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in SPREAD:
+        return df
+    # a file of the test data is one split: deal its rows out to all cores, those of large tables to more tasks
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return df.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES)), *SPREAD[name])
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

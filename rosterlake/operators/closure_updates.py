@@ -11,6 +11,7 @@ each. When links come and go, only what they touch is worked out again:
 
 Only the closures of roots that reach a changed link are read, once, and every round joins
 what changed in the round before. The number of rounds is that of the levels that change.
+Steps are counted: small ones go to the pages that they touch, large ones are joined by sorting.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import StepTables
+from ..session import LinkSteps
 
 LINK = ["src", "dst", "kind", "pos"]
 
@@ -41,16 +42,19 @@ def closure_changes(
     ``links`` are those that the closure was made from. ``depth_before`` is NULL for
     a page that is new to its root, ``depth`` for one that it no longer reaches.
     """
-    steps = StepTables(closure.sparkSession)
-    after = steps.write("after", links_after(links, added, removed).select("src", "dst").distinct())
+    steps = LinkSteps(closure.sparkSession)
+    links = steps.write("links", links.select(*LINK))
+    added = steps.write("links_added", added.select(*LINK))
+    removed = steps.write("links_removed", removed.select(*LINK))
+    after = steps.write("either", links_after(links, added, removed).select("src", "dst").distinct())
     # a link may be given twice, as next and as child: it is gone when no row is left
     pairs = removed.select("src", "dst").distinct()
-    gone = steps.write("gone", pairs.join(after.join(pairs, ["src", "dst"], "left_semi"), ["src", "dst"], "left_anti"))
+    gone = steps.write("either", pairs.join(after, ["src", "dst"], "left_anti"))
     new = steps.write("new", added.select("src", "dst").distinct())
-    either = after.unionByName(gone)
+    either = steps.union("either")
 
-    sources = gone.select("src").union(new.select("src")).distinct().withColumnRenamed("src", "url")
-    roots = closure.join(sources, "url", "left_semi").select("root").distinct()
+    sources = steps.write("sources", gone.select("src").union(new.select("src")).distinct().withColumnRenamed("src", "url"))
+    roots = steps.write("roots", closure.join(sources, "url", "left_semi").select("root").distinct())
     held = steps.write("held", closure.join(roots, "root", "left_semi").select("root", "url", "depth"))
 
     below = held.select("root", F.col("url").alias("dst"), (F.col("depth") - 1).alias("depth"))
@@ -67,14 +71,15 @@ def closure_changes(
     while (level := pending.agg(F.min("depth")).first()[0]) is not None:
         now = pending.where(F.col("depth") == level)
         parents = now.select("root", F.col("url").alias("dst")).join(after, "dst").select("root", "dst", F.col("src").alias("url"))
-        kept = held.where(F.col("depth") == level - 1).join(lost, ["root", "url"], "left_anti").select("root", "url")
-        supported = parents.join(kept, ["root", "url"], "left_semi").select("root", F.col("dst").alias("url"))
+        above = held.where(F.col("depth") == level - 1).select("root", "url")
+        kept = parents.join(above, ["root", "url"], "left_semi").join(lost.select("root", "url"), ["root", "url"], "left_anti")
+        supported = kept.select("root", F.col("dst").alias("url"))
         now = steps.write("lost", now.join(supported, ["root", "url"], "left_anti"))
         lost = steps.union("lost")
         further = pending.where(F.col("depth") > level).unionByName(targets(now, either)).distinct()
         pending = steps.write("pending", further)
 
-    kept = held.join(lost.select("root", "url"), ["root", "url"], "left_anti")
+    kept = steps.write("kept", held.join(lost.select("root", "url"), ["root", "url"], "left_anti"))
     into_lost = lost.select("root", F.col("url").alias("dst")).join(after, "dst")
     into_lost = into_lost.withColumnRenamed("src", "url").join(kept, ["root", "url"])
     by_new = kept.join(new, F.col("url") == F.col("src"))
@@ -82,10 +87,14 @@ def closure_changes(
     better = steps.write("better", none)
     while True:
         offers = offers.groupBy("root", F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
-        so_far = kept.unionByName(better).groupBy("root", "url").agg(F.min("depth").alias("so_far"))
+        offers = steps.write("offers", offers)
+        asked = offers.select("root", "url")  # only pages that are offered a depth are looked up
+        known = [pages.join(asked, ["root", "url"], "left_semi") for pages in (kept, better)]
+        so_far = known[0].unionByName(known[1]).groupBy("root", "url").agg(F.min("depth").alias("so_far"))
         gains = offers.join(so_far, ["root", "url"], "left").where("so_far is null or depth < so_far").drop("so_far")
+        before = steps.rows["better"]
         gains = steps.write("better", gains)
-        if gains.isEmpty():
+        if steps.rows["better"] == before:
             break
         better = steps.union("better")
         offers = gains.join(after, F.col("url") == F.col("src")).select("root", "dst", "depth")

@@ -38,3 +38,20 @@ def test_walks_and_closures_are_the_same_by_sorted_joins(spark, monkeypatch):
     assert [len(rows) for rows in sent] == [42, 16, 35]
     monkeypatch.setattr(LinkSteps, "SMALL_ROWS", 0)
     assert found() == sent
+
+
+def test_no_step_of_a_changed_closure_is_sent_beyond_the_limit(spark, monkeypatch):
+    """Steps and the result: with a limit of no row at all, none goes through the driver."""
+    monkeypatch.setattr(LinkSteps, "SMALL_ROWS", -1)
+    chain = [(f"p{i}", f"p{i + 1}", "next", 0) for i in range(9)] + [("p0", f"p{i}", "child", i) for i in (3, 5)]
+    links = spark.createDataFrame(chain, "src string, dst string, kind string, pos long")
+    closure = traversal.crawl_closure(spark.createDataFrame([("p0",), ("p2",)], "root string"), links)
+    plans = []
+    write = LinkSteps.write
+    monkeypatch.setattr(LinkSteps, "write", lambda self, name, df: plans.append(_plan(df)) or write(self, name, df))
+    gone = links.where("src = 'p4' or dst = 'p3'")
+    changes = closure_updates.closure_changes(closure.select("root", "url", "depth"), links, links.limit(0), gone)
+    plans.append(_plan(closure_updates.updated_closure(closure, changes)))
+    assert len(plans) > 10 and not [plan for plan in plans if "Broadcast" in plan]
+    got = {(r["root"], r["url"]): (r["depth_before"], r["depth"]) for r in changes.collect()}
+    assert got == {("p0", "p3"): (1, None), ("p0", "p4"): (2, None), **{("p2", f"p{i}"): (i - 2, None) for i in range(3, 10)}}

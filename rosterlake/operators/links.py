@@ -65,22 +65,28 @@ def pagination_series(urls: DataFrame, bucket: int = SERIES_BUCKET) -> DataFrame
 
     One series may hold a large part of all pages, so a series is cut into
     buckets of sequence numbers. Successors are found inside the buckets, and
-    only the last page of a bucket looks at the first page of the next one.
+    only the last page of a bucket looks at the first page of the next one. Numbers
+    aren't negative, so the first pages of buckets after 0 are all that is looked
+    at: short series, however many, give none. URLs are matched and shuffled once.
     """
-    pages = (
-        urls.select("url")
-        .distinct()
-        .select("url", F.inline(series_place("url")))
+    placed = (
+        urls.select("url", F.inline(series_place("url")))
         .withColumn("_bucket", F.floor(F.col("seq") / bucket))
-        .repartition("template", "_bucket")  # shared by both uses below
+        # what the join below would ask of one of the two uses, which share the shuffle
+        .where("template is not null and _bucket is not null")
+        .repartition("template", "_bucket")
     )
     this = F.struct("seq", "url")
     inside = W.partitionBy("template", "_bucket").orderBy("seq", "url")
-    firsts = pages.groupBy("template", "_bucket").agg(F.min(this).alias("_first"))
-    across = W.partitionBy("template").orderBy("_bucket")
-    heads = firsts.select(
-        "template", "_bucket", F.lead("_first").over(across).alias("_next_head")
+    # repeats of a URL follow each other in the order that its successor needs anyway
+    pages = placed.withColumn("_same", F.lag("url").over(inside)).where("_same is null or _same <> url").drop("_same")
+    firsts = (
+        placed.groupBy("template", "_bucket")
+        .agg(F.min(F.when(F.col("_bucket") > 0, this)).alias("_next_head"))
+        .where("_next_head is not null")
     )
+    before = F.lag("_bucket").over(W.partitionBy("template").orderBy("_bucket"))
+    heads = firsts.select("template", F.coalesce(before, F.lit(0)).alias("_bucket"), "_next_head")
     return (
         pages.withColumn("_in", F.lead(this).over(inside))
         .join(heads, ["template", "_bucket"], "left")
